@@ -109,12 +109,11 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
         yield now, held
 
 
-def bitmap(keys: DataFrame, key: str, bits: int = 25) -> np.ndarray:
-    """Which values of `key` occur, as 2**bits hashed bits: a filter of fixed size (4 MB), without false negatives.
+def bitmap(keys: DataFrame, at: Column, bits: int = 25) -> np.ndarray:
+    """Which places `at` (a non-negative long below 2**bits) occur: a filter of fixed size, 4 MB for 25 bits.
 
     Each of the 2**bits / 32768 rows that reach the driver holds 4 KB, whatever the number of keys.
     """
-    at = slot(F.col(key), bits)
     rows = (
         keys.select((at + 1).alias("at"))
         .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
@@ -128,10 +127,5 @@ def bitmap(keys: DataFrame, key: str, bits: int = 25) -> np.ndarray:
     return out
 
 
-def slot(key: Column, bits: int = 25) -> Column:
-    """A key's place in `bitmap`."""
-    return F.pmod(F.xxhash64(key), F.lit(1 << bits))
-
-
 def has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
