@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ngram_join import op3_ngram_join
 from .packing import op8_packing
 from .quality_rules import op1_quality_rules
 from .resharding import op5_resharding
 from .substring_dedup import op9_substring_dedup
 
-QUERIES = (op1_quality_rules, op5_resharding, op8_packing, op9_substring_dedup)
+QUERIES = (op1_quality_rules, op3_ngram_join, op5_resharding, op8_packing, op9_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
