@@ -57,7 +57,8 @@ def windows(hashes: Column) -> Column:
     """A 64-bit hash of each run of WINDOW words, from the words' hashes."""
     return F.when(
         F.size(hashes) >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW))),
+        # element by element: slice() would copy the whole array for each window
+        F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)])),
     ).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
@@ -69,7 +70,9 @@ def measured(docs: DataFrame) -> DataFrame:
     """
     out = docs.drop(*MEASURES, "_w", "_h", "_s")
     out = out.withColumn("_w", sql_words(F.col("text")))
-    out = out.withColumn("_h", windows(F.transform("_w", lambda w: F.xxhash64(w))))
+    # columns of their own, so that they are made once and not inside the lambdas that refer to them
+    out = out.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    out = out.withColumn("_h", windows(F.col("_h")))
     # (hash, start) pairs in order: a window is repeated if a neighbour has its hash
     pairs = F.array_sort(F.transform(F.col("_h"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), pairs))
