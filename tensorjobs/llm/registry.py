@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op10_mixing
+from .neighbours import op4_neighbours
 from .ngram_join import op3_ngram_join
 from .packing import op8_packing
 from .quality_rules import op1_quality_rules
 from .resharding import op5_resharding
 from .substring_dedup import op9_substring_dedup
+from .toxicity import op2_toxicity
 
-QUERIES = (op1_quality_rules, op3_ngram_join, op5_resharding, op8_packing, op9_substring_dedup)
+QUERIES = (
+    op1_quality_rules, op2_toxicity, op3_ngram_join, op4_neighbours, op5_resharding,
+    op8_packing, op9_substring_dedup, op10_mixing,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
