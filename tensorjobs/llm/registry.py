@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .class_lm import op6_class_lm
 from .mixing import op10_mixing
 from .neighbours import op4_neighbours
 from .ngram_join import op3_ngram_join
@@ -17,7 +18,7 @@ from .toxicity import op2_toxicity
 
 QUERIES = (
     op1_quality_rules, op2_toxicity, op3_ngram_join, op4_neighbours, op5_resharding,
-    op8_packing, op9_substring_dedup, op10_mixing,
+    op6_class_lm, op8_packing, op9_substring_dedup, op10_mixing,
 )
 
 
