@@ -11,8 +11,8 @@ sequence ids of their own; a null id stays null; an empty table gives an empty r
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -22,14 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE, table, texts_of
+from .common import table, texts_of
 
 SEQUENCE = 2048
-END = 1
+END_BYTES = np.array([1], "<u4").tobytes()
+#: Runs that a worker keeps (about 200 MB); the frequent ones are met first.
+KEPT = 1_000_000
 
 
 class WordIds(dict):
-    """Token ids of a run of characters without ASCII white space (as bytes), with a bounded cache.
+    """Token ids of a run of characters without ASCII white space, as bytes of 32-bit ids; KEPT runs are kept.
 
     The tokenizer turns white space into borders no token crosses, so a text's ids are those of its runs.
     """
@@ -39,16 +41,20 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(file)
 
-    def __missing__(self, run: bytes) -> list[int]:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self[run] = array("I", self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids)
+    def __missing__(self, run: bytes) -> bytes:
+        ids = np.array(self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) < KEPT:
+            self[run] = ids
         return ids
 
     def text(self, text: bytes | None) -> np.ndarray:
-        ids = array("I", chain.from_iterable(map(self.__getitem__, (text or b"").split())))
-        ids.append(END)
-        return np.frombuffer(ids, np.uint32)
+        return np.frombuffer(b"".join(chain(map(self.__getitem__, (text or b"").split()), (END_BYTES,))), "<u4")
+
+
+@cache
+def word_ids(file: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(file)
 
 
 def pieces(n: int, longest: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -73,7 +79,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, with_ids: boo
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         count = TaskContext.get().partitionId() << 33
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
@@ -83,7 +89,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, with_ids: boo
                     ids = words.text(text)
                     for start, length in pieces(len(ids), longest):
                         piece = ids[start : start + length]
-                        rows.append((doc_id, start, length, zlib.crc32(piece.astype("<u4").tobytes()), len(ids), count, 0, length.bit_length() - 1))
+                        rows.append((doc_id, start, length, zlib.crc32(piece), len(ids), count, 0, length.bit_length() - 1))
                         count += 1
                         if with_ids:
                             ids_of.append(piece.astype(np.int32))
