@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .class_lm import op6_class_lm
@@ -12,18 +13,19 @@ from .neighbours import op4_neighbours
 from .ngram_join import op3_ngram_join
 from .packing import op8_packing
 from .quality_rules import op1_quality_rules
+from .secret_scan import op7_secret_scan
 from .resharding import op5_resharding
 from .substring_dedup import op9_substring_dedup
 from .toxicity import op2_toxicity
 
 QUERIES = (
     op1_quality_rules, op2_toxicity, op3_ngram_join, op4_neighbours, op5_resharding,
-    op6_class_lm, op8_packing, op9_substring_dedup, op10_mixing,
+    op6_class_lm, op7_secret_scan, op8_packing, op9_substring_dedup, op10_mixing,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
