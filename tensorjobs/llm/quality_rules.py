@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sql_words, table
+from .common import let, sql_words, table
 
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "longest_word")
@@ -62,54 +62,51 @@ def windows(hashes: Column) -> Column:
     ).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with the columns MEASURES.
-
-    Windows are compared within one text. The sort is only reached by texts that repeat a window:
-    the starts of repeated windows, in order, each cover WINDOW words less the overlap.
-    """
-    out = docs.drop(*MEASURES, "_w", "_h", "_s")
-    out = out.withColumn("_w", sql_words(F.col("text")))
-    # columns of their own, so that they are made once and not inside the lambdas that refer to them
-    out = out.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    out = out.withColumn("_h", windows(F.col("_h")))
-    # (hash, start) pairs in order: a window is repeated if a neighbour has its hash
-    pairs = F.array_sort(F.transform(F.col("_h"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), pairs))
-    same = lambda x, i: (F.get(F.col("_s"), i - 1)["h"] == x["h"]) | (F.get(F.col("_s"), i + 1)["h"] == x["h"])
-    starts = F.array_sort(F.transform(F.filter(F.col("_s"), lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"]))
-    out = out.withColumn("_s", starts)
-    covered = F.aggregate(
-        F.col("_s"),
+def covered(starts: Column) -> Column:
+    """Words under windows that begin at the given places, which are in order."""
+    return F.aggregate(
+        starts,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")),
         lambda acc, s: F.struct((acc["n"] + F.least(F.lit(WINDOW), s - acc["last"])).alias("n"), s.alias("last")),
         lambda acc: acc["n"],
     )
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return (
-        out.withColumn("_l", lines)
-        .withColumns(
-            {
-                "n_words": F.size("_w").cast("long"),
-                "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-                "n_symbols": F.coalesce(F.regexp_count("text", F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long"),
-                "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-                "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-                "n_lines": F.size("_l").cast("long"),
-                "longest_word": F.coalesce(F.array_max(F.transform("_w", lambda w: F.length(w))), F.lit(0)).cast("long"),
-            }
-        )
-        .drop("_w", "_h", "_s", "_l")
-    )
+
+
+def repeat_words(words: Column) -> Column:
+    """Words in windows that the text has twice or more. Only texts that repeat a window sort theirs."""
+
+    def starts(pairs: Column) -> Column:
+        same = lambda x, i: (F.get(pairs, i - 1)["h"] == x["h"]) | (F.get(pairs, i + 1)["h"] == x["h"])
+        return F.array_sort(F.transform(F.filter(pairs, lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"]))
+
+    def count(found: Column) -> Column:
+        pairs = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(found)) < F.size(found), let(pairs, lambda p: covered(starts(p)))).otherwise(F.lit(0).cast("long"))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), count))
+
+
+def measures(text: Column) -> Column:
+    """A struct of MEASURES."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    of = lambda w, n: {
+        "n_words": F.size(w),
+        "word_chars": F.length(F.array_join(w, "")),
+        "n_symbols": F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>]")), F.lit(0)),
+        "n_dup_lines": F.size(n) - F.size(F.array_distinct(n)),
+        "n_repeat_words": repeat_words(w),
+        "n_lines": F.size(n),
+        "longest_word": F.coalesce(F.array_max(F.transform(w, lambda x: F.length(x))), F.lit(0)),
+    }
+    return let(sql_words(text), lambda w: let(lines, lambda n: F.struct(*[x.cast("long").alias(k) for k, x in of(w, n).items()])))
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with MEASURES and `failed` (long): bit r.bit is set where rule r fails."""
-    bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules]
-    failed = bits[0]
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b)
-    return measured(docs).withColumn("failed", failed)
+    kept = [c for c in docs.columns if c not in (*MEASURES, "failed")]
+    bits = [f"shiftleft(cast(coalesce({r.fails}, false) as bigint), {r.bit})" for r in rules]
+    measured = docs.select(*kept, measures(F.col("text")).alias("_m")).select(*kept, "_m.*")
+    return measured.withColumn("failed", F.expr(" | ".join(bits)))
 
 
 def passes(failed: Column, policy: str) -> Column:

@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, sql_words, table
+from .common import cut, let, sql_words, table
 
 CANDIDATE = r"(?=[A-Za-z_\-+/=]*[0-9])[A-Za-z0-9_\-+/=]{16,}"
 SAMPLE = 20_000
@@ -55,14 +55,13 @@ def featured(found: DataFrame) -> DataFrame:
     """found with the columns FEATURES (doubles)."""
     c, n = F.col("candidate"), F.length("candidate")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
-    chars = F.split(c, "")
     flag = lambda x: x.cast("double")
-    found = found.withColumn("_c", F.array_sort(chars))
-    # runs of equal characters in the sorted array: their lengths give the distribution in one pass
-    ends = F.filter(F.transform("_c", lambda x, i: F.when(~F.get("_c", i + 1).eqNullSafe(x), i + 1)), lambda x: x.isNotNull())
-    found = found.withColumn("_e", ends)
-    p = lambda e, i: (e - F.coalesce(F.get("_e", i - 1), F.lit(0))) / F.length("candidate")
-    entropy = F.aggregate(F.transform("_e", lambda e, i: -p(e, i) * F.log2(p(e, i))), F.lit(0.0), lambda a, x: a + x)
+    # ends of the runs of equal characters in the sorted array: their lengths give the distribution
+    runs = let(F.array_sort(F.split(c, "")), lambda x: F.filter(F.transform(x, lambda y, i: F.when(~F.get(x, i + 1).eqNullSafe(y), i + 1)), lambda y: y.isNotNull()))
+    found = found.withColumn("_e", runs)
+    p = lambda e, ends, i: (e - F.coalesce(F.get(ends, i - 1), F.lit(0))) / n
+    bits = lambda q: -q * F.log2(q)
+    entropy = let(F.col("_e"), lambda ends: F.aggregate(F.transform(ends, lambda e, i: bits(p(e, ends, i))), F.lit(0.0), lambda a, x: a + x))
     before = F.concat_ws(" ", "before2", "before", F.expr("substring_index(word, candidate, 1)"))
     return found.withColumns(
         {
@@ -85,7 +84,7 @@ def featured(found: DataFrame) -> DataFrame:
             "after_harmless": flag(F.col("after").rlike(HARMLESS)),
             "quoted": flag(F.col("word").rlike("[\"'`]")),
         }
-    ).drop("_c", "_e")
+    ).drop("_e")
 
 
 def weak_label() -> Column:
