@@ -5,9 +5,10 @@ Steps:
 
 1. `_sets`: per text its node and set size, and a count sketch of shingles over all texts (2**20 counts,
    a fixed size). Shingles are globally ordered by the logarithm of their count, then by hash.
-2. `_memberships`: two sets at the threshold share one of their first n - ceil(t*n) + 1 (rarest) shingles.
-   The smallest node among those with a shingle is its hub; a node joins the block of each of its hubs.
-   Every pair that shares a shingle meets in a block; blocks grow with links, not with their squares.
+2. `_memberships`: two sets at the threshold share k of their first n - ceil(t*n) + k (rarest) shingles. A set
+   of which fewer than k are shared with anyone links with nothing; k grows with n, so common passages don't
+   suffice. The smallest node among those with a shingle is its hub; a node joins the block of each of its
+   hubs, so every pair that shares a shingle meets in a block.
 3. `_join_blocks`: large blocks are split in chunks that all hold the hub. In a chunk the ordered sets (most
    frequent shingle first) form a prefix tree - the sorted sequences with their common prefix lengths.
    A probe walks it, keeps the overlap counted along the shared path, and leaves a subtree as soon as
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, bitmap, cut, gram_hashes, has_bit, mix, runs, table, texts_of, word_hashes
+from .common import WordHash, bitmap, cut, gram_hashes, has_bit, mix, runs, table, texts_of, word_hash, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -39,6 +40,8 @@ SKETCH_BITS, SLICE = 20, 4096
 KEY_BITS = 25
 #: Shingles in a chunk of a block, on average.
 CHUNK = 150_000
+#: One more shared shingle is asked for per so many of a set, in a prefix that much longer.
+EVIDENCE = 16
 STEP = 48  # shingles between two looks at the bound
 
 
@@ -68,7 +71,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "text_key", "n", "node", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total, size = WordHash(), np.zeros(1 << SKETCH_BITS, np.int64), 1 << SKETCH_BITS
+        cache, total, size = word_hash(), np.zeros(1 << SKETCH_BITS, np.int64), 1 << SKETCH_BITS
         for batch in batches:
             n, node, held, held_n = [], [], [], 0
             for text in texts_of(batch):
@@ -113,11 +116,19 @@ def _ranks(sketch: DataFrame) -> np.ndarray:
     return out
 
 
+def prefix_length(n: int, percent: int) -> int:
+    """Shingles of a set of n to look at: 1 + n // EVIDENCE of them at least are in any set it links with.
+
+    Both sets of a link see the first k they share, where k is that of the smaller set, of percent * n / 100 at least.
+    """
+    return n - -(-percent * n // 100) + 1 + n // EVIDENCE
+
+
 def _memberships(docs: DataFrame, ranks, percent: int) -> DataFrame:
-    """(hub, node, n): the nodes of each hub's block, without the hub."""
+    """(hub, node, n): the nodes of each hub's block, the hub (their smallest) among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
+        cache = word_hash()
         for batch in batches:
             texts = texts_of(batch)
             for lo in range(0, len(texts), 500):
@@ -125,11 +136,10 @@ def _memberships(docs: DataFrame, ranks, percent: int) -> DataFrame:
                 for text in texts[lo : lo + 500]:
                     s = shingle_set(cache, text)
                     if len(s):
-                        n = len(s)
-                        k = n - -(-percent * n // 100) + 1
+                        k = min(len(s), prefix_length(len(s), percent))
                         tokens.append(rare_first(s, ranks.value)[:k])
                         nodes.append(node_of(s))
-                        sizes.append(n)
+                        sizes.append(len(s))
                         lengths.append(k)
                 if tokens:
                     columns = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))]
@@ -137,7 +147,12 @@ def _memberships(docs: DataFrame, ranks, percent: int) -> DataFrame:
 
     prefixes = docs.select("text").mapInArrow(run, "shingle long, node long, n int")
     hubs = prefixes.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("shingle", "hub")
-    return prefixes.join(hubs, "shingle").where("node <> hub").select("hub", "node", "n").distinct()
+    # a node without enough shared shingles links with nothing; exact copies repeat rows, which only lets more nodes pass
+    met = cut(prefixes.join(hubs, "shingle").groupBy("hub", "node", "n").agg(F.count("*").alias("k")), "meetings")
+    fit = met.groupBy("node").agg(F.sum("k").alias("k"), F.first("n").alias("n")).where(F.col("k") > F.floor(F.col("n") * percent / (100 * EVIDENCE))).select("node")
+    members = met.select("hub", "node", "n").join(fit, "node")
+    first = members.groupBy("hub").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("hub", "first")
+    return members.join(first, "hub").select(F.col("first").alias("hub"), "node", "n").distinct()
 
 
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -241,7 +256,7 @@ def _join_blocks(blocks: DataFrame, ranks, percent: int) -> DataFrame:
     schema = "hub long, node long, n int, common int, link long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out = WordHash(), []
+        cache, out = word_hash(), []
         for (hub, _), parts in runs(batches, ["hub", "chunk"]):
             nodes = [x for p in parts for x in p.column("node").to_pylist()]
             split = parts[0].column("split")[0].as_py()
@@ -297,7 +312,7 @@ def _rest(joined: DataFrame, roots: DataFrame, texts: DataFrame, sizes: DataFram
     keys = ["hub", "bin", "cell", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out = WordHash(), []
+        cache, out = word_hash(), []
         now, nodes, roots_, sets, tree = None, [], [], [], None
         for key, parts in runs(batches, [*keys, "side"]):
             for p in parts:
@@ -333,11 +348,12 @@ def link(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFra
     members = cut(_memberships(docs, ranks, percent), "memberships")
     hubs = members.groupBy("hub").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
     blocks = (
-        members.join(hubs, "hub")
+        members.where("node <> hub")
+        .join(hubs, "hub")
         .select("hub", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "node", (F.col("chunks") > 1).alias("split"))
         .unionByName(hubs.select("hub", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.col("hub").alias("node"), (F.col("chunks") > 1).alias("split")))
     )
-    involved = cut(members.select("node").union(members.select("hub")).distinct().join(classes, "node"), "involved")
+    involved = cut(members.select("node").distinct().join(classes, "node"), "involved")
     texts = involved.select("node", "text_key").join(_texts(docs, involved), "text_key").select("node", "text")
     joined = cut(_join_blocks(blocks.join(texts, "node"), ranks, percent), "block-links")
     links = joined.where("link IS NOT NULL").select(F.col("node").alias("a"), F.col("link").alias("b"))

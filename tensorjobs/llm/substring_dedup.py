@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, bitmap, cut, gram_hashes, has_bit, runs, table, texts_of, word_hashes
+from .common import bitmap, cut, gram_hashes, has_bit, runs, table, texts_of, word_hash, word_hashes
 
 WINDOW = 50
 GRAM = 8
@@ -77,7 +77,7 @@ def _rows(docs: DataFrame, window: int, marks: tuple[np.ndarray, np.ndarray, np.
     sent = docs.sparkSession.sparkContext.broadcast(marks) if marks is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
+        cache = word_hash()
         for batch in batches:
             ids, keys, texts = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), texts_of(batch)
             out: list[tuple] = []

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, crc_mod, gram_hashes, mix, table, texts_of, word_hashes
+from .common import CACHE, WordHash, crc_mod, gram_hashes, mix, table, texts_of, word_hash, word_hashes
 
 BITS = 20
 #: Labelled documents that are learned from, at most.
@@ -36,8 +37,9 @@ class CleanHash(WordHash):
     """Hashes of words in lower case without punctuation around them."""
 
     def __missing__(self, word: bytes) -> int:
-        h = super().__missing__(_EDGES.sub(b"", word))
-        self[word] = h
+        h = xxhash.xxh3_64_intdigest(_EDGES.sub(b"", word))
+        if len(self) < CACHE:
+            self[word] = h
         return h
 
 
@@ -74,7 +76,7 @@ def _featured(docs: DataFrame, *keep: str) -> DataFrame:
     names = [*keep, "f"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = CleanHash()
+        cache = word_hash(CleanHash)
         for batch in batches:
             f = [features(cache, t).astype(np.int32) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(f, pa.list_(pa.int32()))], names)
@@ -109,7 +111,7 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = CleanHash()
+        cache = word_hash(CleanHash)
         for batch in batches:
             s = np.array([sent.value[features(cache, t)].sum() for t in texts_of(batch)], np.float64)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(1.0 / (1.0 + np.exp(-np.clip(s, -500, 500))))], [*keep, "score"])
