@@ -10,6 +10,7 @@ sequence ids of their own; a null id stays null; an empty table gives an empty r
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -48,7 +49,21 @@ class WordIds(dict):
         return ids
 
     def text(self, text: bytes | None) -> np.ndarray:
-        return np.frombuffer(b"".join(chain(map(self.__getitem__, (text or b"").split()), (END_BYTES,))), "<u4")
+        return np.frombuffer(b"".join(chain(map(self.__getitem__, simplified(text or b"").split()), (END_BYTES,))), "<u4")
+
+
+def simplified(text: bytes) -> bytes:
+    """A text with the same ids but fewer distinct runs: ASCII letters small, a full stop or comma after a word apart.
+
+    The tokenizer itself lowers letters and cuts before such marks. Texts that hold '<|' (special tokens) or
+    combining marks, which could compose with a small letter only, are left as they are.
+    """
+    if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+        return text
+    return _MARK.sub(rb" \1", text.lower())
+
+
+_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 
 
 @cache
