@@ -143,6 +143,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM win) WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY rid),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(n, 0) AS n_repeat_words, coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS longest_word
+  FROM d LEFT JOIN cov USING (rid)),
+b AS (SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines FROM m),
+f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) | (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END) | (CASE WHEN 10 * n_symbols > word_chars THEN 4 ELSE 0 END)
+  | (CASE WHEN 100 * n_dup_lines > 30 * n_lines AND n_lines >= 4 THEN 8 ELSE 0 END) | (CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END)
+  | (CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END) | (CASE WHEN longest_word > 1000 THEN 64 ELSE 0 END) AS failed FROM b)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  failed & 3 <> 0 AS base_failed, failed & 15 = 0 AS kept, failed::BIGINT AS failed FROM f"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that policy v1 keeps."""
     return ledger(docs.select("doc_id", "text", "lang", "source", "n_chars")).where(passes(F.col("failed"), "v1")).drop(*MEASURES, "failed")

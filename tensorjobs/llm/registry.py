@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules, substring_dedup
 from .class_lm import op6_class_lm
 from .mixing import op10_mixing
 from .neighbours import op4_neighbours
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL}

@@ -203,3 +203,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT, with_text: bool
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+hit AS (SELECT rid, i FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY h) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS p FROM hit),
+word AS (SELECT rid, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT word.rid, string_agg(x, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS t, count(gone.p) AS n FROM word LEFT JOIN gone ON word.rid = gone.rid AND word.p = gone.p GROUP BY word.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""

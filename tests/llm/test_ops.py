@@ -1,0 +1,348 @@
+"""The ten operators and the pipeline's stages against brute force on small fixtures, with awkward rows."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tensorjobs.llm import class_lm, mixing, neighbours, ngram_join, packing, quality_rules, resharding, secret_scan, substring_dedup, toxicity
+from tensorjobs.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+def sample(n=60, seed=0):
+    """Random texts with exact and near copies, shared passages, repeated rows, nulls, blanks."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(60)]
+    passage = " ".join(rng.choice(vocab) for _ in range(70))
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 150))) for _ in range(n)]
+    for i in range(0, n, 6):
+        texts[i] = texts[i] + "\n" + passage
+    for i in range(3, n, 7):
+        w = texts[i - 3].split(" ")
+        w[len(w) // 2] = "changed"
+        texts[i] = " ".join(w)
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 4}", len(t)) for i, t in enumerate(texts)]
+    rows += [(n, None, "en", None, None), (n + 1, "", "en", "s1", 0), (n + 2, " \t\n", "fr", "s1", 3), (n + 3, texts[0], "en", "s1", 1), (5, texts[5], "en", "s1", 1), (None, texts[1], "en", "s1", 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(sample(), DOCS).withColumn("failed", F.lit("clash"))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_quality(spark, docs, empty):
+    texts = {"a b " * 30: None, "x": None}
+    out = quality_rules.ledger(docs.unionByName(spark.createDataFrame([(900 + i, t, "en", "s", 1, "z") for i, t in enumerate(texts)], [*docs.columns])))
+    for r in out.collect():
+        w = words(r["text"])
+        c = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        cov = {x for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for x in range(k, k + 8)}
+        assert (r["n_words"], r["n_repeat_words"], r["word_chars"]) == (len(w), len(cov), sum(len(x.decode()) for x in w))
+        assert (r["failed"] & 1 == 1) == (len(w) < 20) and (r["failed"] & 2 == 2) == (100 * len(cov) > 30 * len(w))
+    led = quality_rules.ledger(docs)
+    ab = {r["rule"]: r for r in quality_rules.ablations(led, "v1").collect()}
+    failed = [r["failed"] for r in led.collect()]
+    assert ab["too_few_words"]["n_failed"] == sum(f & 1 for f in failed)
+    assert ab["too_few_words"]["n_kept_without"] == sum(f & quality_rules.POLICIES["v1"] & ~1 == 0 for f in failed)
+    assert quality_rules.ledger(empty).count() == 0
+
+
+def test_toxicity(spark, empty):
+    rng = random.Random(1)
+    vocab = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        t = [rng.choice(vocab) for _ in range(40)]
+        if bad:
+            t[7] = "Vile,"
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(bad)))
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+    w = toxicity.train(d, l, F.col("doc_id") < 300)
+    s = {r["doc_id"]: r["score"] for r in toxicity.score(d.unionByName(spark.createDataFrame([(1000, None), (1001, "")], d.schema)), w, "doc_id").collect()}
+    assert all((s[i] >= 0.3) == (i % 5 == 0) for i in range(300, 400)) and s[1000] == s[1001] < 0.3
+    assert (w != 0).sum() < 2000
+    none = toxicity.train(d, l.limit(0), F.lit(True))
+    assert toxicity.score(d, none, "doc_id").first()["score"] == 0.5
+    assert toxicity.score(empty, w, "doc_id").count() == 0
+
+
+def brute_components(rows):
+    sets = []
+    for _, t, *_ in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                parent[root(i)] = root(j)
+    ids = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            ids[root(i)].append(r[0])
+    return [(r[0], len(sets[i]), min(ids[root(i)], default=None)) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("chunk", [150_000, 150])
+def test_ngram_join(spark, docs, empty, chunk):
+    got = [tuple(r) for r in ngram_join.link(docs, chunk=chunk).collect()]
+    assert sorted(got, key=repr) == sorted(brute_components(sample()), key=repr)
+    if chunk > 1000:
+        assert ngram_join.link(empty).count() == 0
+
+
+def test_ngram_chain_over_chunks(spark):
+    """A chain of copies, each near its neighbour only: components must follow it across chunks."""
+    base = [f"t{i}" for i in range(204)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for j in range(i * 2):
+            w[(j * 5) % 200] = f"c{j}"
+        rows.append((i, " ".join(w)))
+    out = [tuple(r) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), chunk=600).collect()]
+    assert sorted(out) == sorted(brute_components(rows))
+
+
+def test_prefix_tree():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(200)]
+    tree = ngram_join.PrefixTree(sets)
+    for s in sets[:50]:
+        want = {j: len(np.intersect1d(s, x)) for j, x in enumerate(sets) if 100 * len(np.intersect1d(s, x)) >= 80 * len(np.union1d(s, x))}
+        assert dict(tree.overlaps(s, 80)) == want
+
+
+def test_components_random(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
+    parent = {x: x for l in links for x in l}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for l in links for x in l if any(x in m and m[0] != m[1] for m in links)}
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((600, 24))
+    x[100:140] = x[100]
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(700, None, 0), (750, [0.0] * 24, 0), (701, [float("nan")] * 24, 0), (702, [None] * 24, 0), (800, [1.0, 2.0], 0), (50, [float(v) for v in x[50]], 0)]
+    v = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id"), F.col("embedding"))
+    out = collections.defaultdict(list)
+    for r in neighbours.nearest(v, F.col("vec_id") % 50 == 0, block=100).orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
+    hit = 0
+    for q in range(0, 600, 50):
+        s = x @ x[q] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q])
+        s = np.round(s, 12)
+        s[q] = -9
+        best = np.lexsort((np.arange(600), -s))[:5]
+        hit += len({a for a, _ in out[q]} & set(best.tolist()))
+        assert len(out[q]) == 5 and all(abs(s[a] - b) < 1e-9 for a, b in out[q])
+    assert hit >= 0.9 * 60 and [a for a, _ in out[100]] == [101, 102, 103, 104, 105] and 750 not in out and not out[800]
+    few = v.where("vec_id in (0, 1, 2)")
+    assert neighbours.nearest(few, F.col("vec_id") == 0).count() == 2
+    assert neighbours.nearest(v.limit(0), F.lit(True)).count() == 0
+
+
+def test_min_cost_flow_is_least():
+    flow = resharding.min_cost_flow([50, 10, 0], [20, 20, 20], [[int(i != j) for j in range(3)] for i in range(3)])
+    assert sum(flow[i][i] for i in range(3)) == 30 and [sum(r) for r in flow] == [50, 10, 0]
+    with pytest.raises(ValueError):
+        resharding.min_cost_flow([5], [4], [[0]])
+
+
+def test_resharding(spark, docs, empty, tmp_path):
+    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit(""))), F.lit(3))
+    placed, transfers = resharding.plan(docs, old, 4)
+    rows = placed.collect()
+    texts = sample()
+    assert len(rows) == len(texts) and sum(r["size"] for r in rows) == sum(len((t[1] or "").encode()) + 1 for t in texts)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r)
+    load = [sum(r["size"] for r in g) for g in by.values()]
+    assert max(load) - min(load) <= max(r["size"] for r in rows)
+    assert all(sorted(r["slot"] for r in g) == list(range(len(g))) for g in by.values())
+    moved = resharding.rewrite(docs, transfers, old, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == sum(len(by[j]) for j in moved)
+    assert resharding.plan(empty, old, 4)[0].count() == 0
+
+
+def test_class_lm(spark, docs, empty):
+    train = docs.where("doc_id % 3 <> 0 OR doc_id IS NULL")
+    counts, model = class_lm.train(train, clustered=20, classes=4, head=30)
+    got = class_lm.score(docs, counts, model, "doc_id", "text").collect()
+    c = collections.Counter()
+    for i, t, *_ in sample():
+        if i is None or i % 3:
+            c.update([*(t or "").encode().lower().split(), b""])
+    n, v = sum(c.values()), len(c)
+    for r in got:
+        tokens = [*(r["text"] or "").encode().lower().split(), b""]
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(c[w] > 0 for w in tokens), n)
+    assert class_lm.score(empty, counts, model, "doc_id").count() == 0
+    counts, model = class_lm.train(empty)
+    assert class_lm.score(docs, counts, model, "doc_id").count() == len(sample())
+
+
+def test_class_probabilities_sum_to_one(spark):
+    """Over all next words (the unknown one too) after any word."""
+    text = "a b a c a b d e f g a b"
+    counts, model = class_lm.train(spark.createDataFrame([(1, text)], "doc_id long, text string"), clustered=3, classes=2, head=5)
+    vocab = [*dict.fromkeys(text.split()), "unknown"]
+    prefix = "a "
+    rows = [(i, prefix + w) for i, w in enumerate(vocab)] + [(99, "a")]
+    score = {r["doc_id"]: r["score"] for r in class_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), counts, model, "doc_id").collect()}
+    k = model["log_next"]
+    assert np.allclose((10**k).sum(1), 1)
+    emission = collections.defaultdict(float)
+    n = collections.Counter([*text.split(), ""])
+    place = {w.decode(): i for i, w in enumerate(model["words"])}
+    for w in [*n, None]:
+        cls = model["cls"][model["m"] + 1] if w == "" else model["cls"][place[w]] if w in place and place[w] < model["m"] else model["tail"]
+        emission[int(cls)] += (n[w] + 1) / 10 ** model["log_room"][cls] if w is not None else 1 / 10 ** model["log_room"][cls]
+    assert all(abs(x - 1) < 1e-9 for x in emission.values()) and all(s < 0 for s in score.values())
+
+
+def test_exchange_raises_likelihood():
+    rng = np.random.default_rng(0)
+    truth = np.arange(40) % 4
+    pairs = rng.poisson(np.where((truth[:, None] + 1) % 4 == truth[None], 20, 0.5))
+    full = np.zeros((42, 42))
+    full[:40, :40] = pairs
+    cls = class_lm.exchange(full, 4, 10)[:40]
+    pure = sum(collections.Counter(truth[cls == c]).most_common(1)[0][1] for c in set(cls))
+    assert pure >= 36
+
+
+def test_secrets(spark, empty):
+    rng = random.Random(2)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows, secret, plain = [], {}, {}
+    for i in range(120):
+        k = key()
+        if i % 2:
+            secret[i] = k
+            rows.append((i, f'some words token = "{k}" and more', "en", "src1", 1))
+        else:
+            k = k if i % 4 else "".join(rng.choice("0123456789") for _ in range(16))
+            plain[i] = k
+            rows.append((i, f"commit {k} was merged here", "en", "src1", 1))
+    rows += [(500, None, None, None, None), (501, "", "en", "s", 0), (None, 'token = "0a1b2c3d4e5f60718293a4b5c6d7e8f9aabbccdd"', "en", None, 1), (1, rows[1][1], "en", "src1", 1), (502, "token = " + "a1B2" * 30_000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = secret_scan.scan(docs, F.col("source")).collect()
+    verdict = {(r["doc_id"], r["candidate"]): r["secret"] for r in found}
+    assert all(verdict[i, k] for i, k in secret.items()) and not any(verdict[i, k] for i, k in plain.items())
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, F.col("source")).collect()}
+    assert all(k not in out[i] and "[SECRET]" in out[i] for i, k in secret.items()) and all(k in out[i] for i, k in plain.items())
+    assert out[500] is None and out[501] == "" and len(secret_scan.redact(docs, F.col("source")).collect()) == len(rows)
+    assert secret_scan.scan(empty, F.col("source")).count() == 0
+
+
+def test_packing(spark, docs, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(file)
+    odd = ["It's THE end., ok", "á H̱.", "x<|endoftext|>Y <|ENDOFTEXT|>", "tab\x1csep nbsp line.", "...,, a.b, c,", "word " * 5000]
+    more = spark.createDataFrame([(800 + i, x, "en", "s", 1, "z") for i, x in enumerate(odd)], docs.columns)
+    rows = packing.pack(docs.unionByName(more), file, with_ids=True).collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows) and all(r["length"] == 1 << r["bucket"] and r["offset"] == 0 for r in rows)
+    texts = {800 + i: x for i, x in enumerate(odd)} | {i: x for i, x, *_ in sample() if i != 5}
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+    for i, x in texts.items():
+        if i is None:
+            continue
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        pieces = sorted(by[i], key=lambda r: r["start"])
+        assert [a for r in pieces for a in r["ids"]] == ids and pieces[0]["doc_tokens"] == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in pieces)
+    assert packing.pack(empty, file).count() == 0
+
+
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_substrings(spark, docs, empty, hot):
+    rows = sample()
+    first = {}
+    for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        w = words(t)
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    want = []
+    for i, t, *_ in rows:
+        w = words(t)
+        cov = {x for k in range(len(w) - 49) if i is not None and first[tuple(w[k : k + 50])] < i for x in range(k, k + 50)}
+        want.append((i, len(w), len(cov), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in cov)).hexdigest()))
+    got = [tuple(r) for r in substring_dedup.dedup(docs, hot=hot).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(x[2] for x in want) > 500
+    if hot > 1:
+        assert substring_dedup.dedup(empty).count() == 0
+
+
+def test_mixing(spark, docs, empty):
+    rows = mixing.mix(docs, topic=F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"), targets={"topic": {"even": 0.5, "odd": 0.5}}).collect()
+    tokens = [len(words(t)) for _, t, *_ in sample()]
+    assert sum(r["n_tokens"] for r in rows) == sum(tokens) and all(0 <= r["probability"] <= 1 for r in rows)
+    mass = collections.Counter()
+    for r in rows:
+        mass[r["topic"]] += r["n_tokens"] * r["probability"]
+    assert mass["even"] == pytest.approx(mass["odd"], rel=1e-6)
+    assert mixing.mix(empty).count() == 0
+    m = np.array([3.0, 1.0, 2.0, 4.0])
+    w = mixing.rake(m, np.array([[0, 0, 1, 1], [0, 1, 0, 1]]), [np.array([0.3, 0.7]), np.array([0.6, 0.4])])
+    p = m * w / (m * w).sum()
+    assert p[0] + p[1] == pytest.approx(0.3) and p[0] + p[2] == pytest.approx(0.6)
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline
+
+    d = docs.drop("failed")
+    kept = quality_rules.stage(spark, d, SF)
+    assert sorted(kept.columns) == sorted(d.columns)
+    want = {i for i, t, *_ in sample() if len(words(t)) >= 20}
+    assert {r["doc_id"] for r in kept.collect()} == want
+    once = ngram_join.stage(spark, d, SF)
+    groups = {c for _, _, c in brute_components(sample())}
+    assert sorted(r["doc_id"] for r in once.where("doc_id IS NOT NULL").collect()) == sorted(x for x in groups if x is not None)
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 5
+    assert corpus_pipeline.run(spark, SF).count() > 0
