@@ -42,8 +42,10 @@ def write_named_tensors(df: DataFrame, path: str) -> None:
 
 def read_chat_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Chats with file and pos; lines that don't parse are skipped."""
-    rows = spark.read.schema(CHAT).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos")).where("_corrupt IS NULL").drop("_corrupt")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos")).where(F.col("value").rlike(r"\S"))
+    parsed = lines.withColumn("r", F.from_json("value", CHAT, {"columnNameOfCorruptRecord": "_corrupt"}))
+    return parsed.where("r IS NOT NULL AND r._corrupt IS NULL").select("r.messages", "r.instruction", "r.input", "r.output", "file", "pos")
 
 
 def read_library(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
