@@ -82,7 +82,7 @@ def _featured(docs: DataFrame, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(f, pa.list_(pa.int32()))], names)
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", f array<int>")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", f array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> np.ndarray:
@@ -117,7 +117,7 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(1.0 / (1.0 + np.exp(-np.clip(s, -500, 500))))], [*keep, "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", score double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
