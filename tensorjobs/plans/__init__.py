@@ -1 +1 @@
-"""See the modules."""
+"""Queries over the given tables."""
