@@ -23,7 +23,7 @@ an id are nodes like others; null ids take part but never name a component unles
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +124,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 + n // EVIDENCE
 
 
-def _memberships(docs: DataFrame, ranks, percent: int) -> DataFrame:
+def _memberships(docs: DataFrame, ranks, classes: DataFrame, percent: int) -> DataFrame:
     """(hub, node, n): the nodes of each hub's block, the hub (their smallest) among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +147,10 @@ def _memberships(docs: DataFrame, ranks, percent: int) -> DataFrame:
 
     prefixes = docs.select("text").mapInArrow(run, "shingle long, node long, n int")
     hubs = prefixes.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("shingle", "hub")
-    # a node without enough shared shingles links with nothing; exact copies repeat rows, which only lets more nodes pass
+    # a node without enough shared shingles links with nothing; each exact copy of a text has counted them once
     met = cut(prefixes.join(hubs, "shingle").groupBy("hub", "node", "n").agg(F.count("*").alias("k")), "meetings")
-    fit = met.groupBy("node").agg(F.sum("k").alias("k"), F.first("n").alias("n")).where(F.col("k") > F.floor(F.col("n") * percent / (100 * EVIDENCE))).select("node")
+    shared = met.groupBy("node").agg(F.sum("k").alias("k"), F.first("n").alias("n")).join(classes.select("node", "copies"), "node")
+    fit = shared.where(F.col("k") > F.col("copies") * F.floor(F.col("n") * percent / (100 * EVIDENCE))).select("node")
     members = met.select("hub", "node", "n").join(fit, "node")
     first = members.groupBy("hub").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("hub", "first")
     return members.join(first, "hub").select(F.col("first").alias("hub"), "node", "n").distinct()
@@ -286,7 +287,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("n", "common") else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
 
-def _rest(joined: DataFrame, roots: DataFrame, texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _rest(joined: DataFrame, roots: DataFrame, with_text: Callable[[DataFrame], DataFrame], sizes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that meet in a split block, in which neither was the hub's own chunk mate.
 
     Probes are the members outside the hub's component, in cells of like distance to the hub; each cell gets the
@@ -335,7 +336,7 @@ def _rest(joined: DataFrame, roots: DataFrame, texts: DataFrame, sizes: DataFram
         if out:
             yield _batch(out, ["a", "b"])
 
-    return rows.join(texts, "node").repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "a long, b long")
+    return with_text(rows).repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
@@ -344,8 +345,8 @@ def link(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFra
     sets = _sets(docs)
     ranks = docs.sparkSession.sparkContext.broadcast(_ranks(sets.where("chunk IS NOT NULL")))
     rows = sets.where("chunk IS NULL").select("doc_id", "text_key", "n", "node")
-    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"))
-    members = cut(_memberships(docs, ranks, percent), "memberships")
+    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    members = cut(_memberships(docs, ranks, classes, percent), "memberships")
     hubs = members.groupBy("hub").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
     blocks = (
         members.where("node <> hub")
@@ -354,12 +355,13 @@ def link(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFra
         .unionByName(hubs.select("hub", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.col("hub").alias("node"), (F.col("chunks") > 1).alias("split")))
     )
     involved = cut(members.select("node").distinct().join(classes, "node"), "involved")
-    texts = involved.select("node", "text_key").join(_texts(docs, involved), "text_key").select("node", "text")
-    joined = cut(_join_blocks(blocks.join(texts, "node"), ranks, percent), "block-links")
+    texts = _texts(docs, involved)
+    with_text = lambda df: df.join(involved.select("node", "text_key"), "node").join(texts, "text_key").drop("text_key")
+    joined = cut(_join_blocks(with_text(blocks), ranks, percent), "block-links")
     links = joined.where("link IS NOT NULL").select(F.col("node").alias("a"), F.col("link").alias("b"))
     roots = components(links)
     if joined.where("common IS NOT NULL").limit(1).count():
-        more = cut(_rest(joined, roots, texts, involved, percent), "rest-links")
+        more = cut(_rest(joined, roots, with_text, involved, percent), "rest-links")
         if more.limit(1).count():
             roots = components(links.union(more))
     smallest = roots.join(classes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("smallest"))
