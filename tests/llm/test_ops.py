@@ -333,6 +333,40 @@ def test_mixing(spark, docs, empty):
     assert p[0] + p[1] == pytest.approx(0.3) and p[0] + p[2] == pytest.approx(0.6)
 
 
+def test_mixing_tiny_source(spark):
+    """One short document of a new source neither lowers what is kept of large sources, nor does growth of these."""
+    text = "one two three four five six seven eight nine ten " * 10
+    rows = [(i, text, ("en", "fr", "de", "es")[i % 4], f"s{i % 3}", 1) for i in range(240)]
+    odd = [(1000, "uno dos tres", "es", "tiny", 1)]
+
+    def shares(data):
+        got = mixing.mix(spark.createDataFrame(data, DOCS)).collect()
+        kept, seen = collections.Counter(), collections.Counter()
+        for r in got:
+            kept[r["lang"]] += r["n_tokens"] * r["probability"]
+            seen[r["lang"]] += r["n_tokens"]
+        assert all(0 <= r["probability"] <= 1 for r in got)
+        return {r["doc_id"]: r["probability"] for r in got}, sum(kept.values()) / sum(seen.values()), {k: x / sum(kept.values()) for k, x in kept.items()}
+
+    for times in (1, 20):
+        large = [(i + 2000 * k, *r) for k in range(times) for i, *r in rows]
+        before, after = shares(large), shares(large + odd)
+        assert before[1] == pytest.approx(mixing.KEEP) and after[1] == pytest.approx(mixing.KEEP)
+        assert after[0][1000] == pytest.approx(1) and all(abs(after[0][i] - p) < 0.01 for i, p in before[0].items())
+        # half of the tokens are to be kept, 55 % of these English, but English has a quarter of all: kept whole
+        assert after[2]["en"] == pytest.approx(0.5, abs=0.01) and after[2]["es"] == pytest.approx(1 / 6, abs=0.01)
+
+
+def test_mixing_calibration():
+    tokens = np.array([5.0, 100.0, 400.0, 50.0, 300.0, 900.0])
+    codes = np.array([[0, 0, 1, 1, 2, 2], [0, 1, 0, 1, 0, 1]])
+    for amount in (1.0, 300.0, 900.0, 1755.0):
+        p = mixing.calibrate(tokens, codes, [np.array([0.2, 0.4, 0.4]), np.array([0.4, 0.6])], amount)
+        assert (p >= 0).all() and (p <= 1).all() and (p * tokens).sum() == pytest.approx(amount)
+    p = mixing.calibrate(tokens, codes, [np.array([0.2, 0.4, 0.4]), np.array([0.4, 0.6])], 300.0)
+    assert np.bincount(codes[0], p * tokens) / 300 == pytest.approx([0.2, 0.4, 0.4]) and np.bincount(codes[1], p * tokens) / 300 == pytest.approx([0.4, 0.6])
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
