@@ -1,9 +1,19 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more key characters with a digit in it, inside a word. The forest sees its
-length, character transitions and distribution, how much of it a dictionary covers, the path of its
-document and the neighbouring words. It learns from labelled findings; where nobody has labelled any,
-`weak_label` gives labels to the clear cases of a bounded sample (SAMPLE) and none to the others.
+A candidate is
+- a value assigned to a keyword (password = ..., "token": ...), of any length and characters,
+- a password of a URL (scheme://user:password@host),
+- a key with a known prefix (AKIA..., ghp_..., PREFIXES),
+- a piece of the body of a PEM private key, also with line ends written as \\n,
+- a run of 16 or more key characters with a digit in it, inside a word.
+The forest sees its length, character transitions and distribution, how much of it a dictionary covers, the path
+of its document and the neighbouring words. It learns from labelled findings; where nobody has labelled any,
+`weak_label` gives labels to the clear cases, which are their verdict, and the forest learns from a bounded sample of
+them (SAMPLE) to judge the others. A run without a keyword is clearly harmless only if something says so.
+
+Out of reach: values after a keyword without : or = ("the password is ...", <password>...</password>), values on another
+line than an opening quote, the rest of unquoted values after a blank, a quote or one of , ; &, runs without keyword and
+prefix that are shorter than 16 or have no digit, and secrets that are split or encoded.
 
 Built-in functions and the DataFrame forest only. Texts without candidates are dropped by one pattern
 before anything is taken apart. Defined results: null and empty texts have no candidates; null paths
@@ -22,6 +32,21 @@ from pyspark.sql import functions as F
 from .common import cut, let, sql_words, table
 
 CANDIDATE = r"(?=[A-Za-z_\-+/=]*[0-9])[A-Za-z0-9_\-+/=]{16,}"
+#: Patterns whose first group is the candidate; nothing is matched after it.
+ASSIGNED = (
+    r"(?i)(?<![a-z])(?:[a-z]{0,24}[_\-.])?(?:passw(?:or)?d|passphrase|pass|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth|authorization|credentials?|key)"
+    r"(?:[_\-]?(?:key|token|id|secret|hash|[0-9]{1,4}))?[\"'`\])]{0,2}\s{0,8}(?::=|=>|==?|:)\s{0,8}(?:(?:bearer|basic|token)\s{1,4})?[\"'`]?"
+    r"((?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|(?<=`)[^`\r\n]+(?=`)|[^\s\"'`,;&]+)"
+)
+URL = r"://[^\s/:@\"'<>]{0,256}:([^\s/\"'<>]+)(?=@[A-Za-z0-9\[])"
+PREFIXES = (
+    r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_\-]{16,}|xox[abeprs]-[A-Za-z0-9\-]{10,}"
+    r"|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{10,}|sk-[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{30,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})"
+)
+PEM = r"(?s)-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END|\z)"
+FORMS = {"assigned": ASSIGNED, "url": URL, "prefix": PREFIXES}
+#: Values that stand for a secret, as a whole.
+STANDIN = r"(?i)^(?:passw(?:or)?d|pass|pwd|secret|token|key|user|none|null|true|false|nil|undefined|[*x.\-_#]+|[$%<{\[(].*|.*\(\)?|os\..*|process\..*|self\..*)$"
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 20, 6, 11
 KEYWORDS = r"(?i)(token|secret|passw|pwd|api|key|auth|bearer|credential|private)"
@@ -41,14 +66,45 @@ FEATURES = (
 )
 
 
+def has_candidates(text: Column) -> Column:
+    return F.coalesce(text.rlike(CANDIDATE) | text.rlike(ASSIGNED) | text.rlike(URL) | text.rlike(PREFIXES) | text.contains("PRIVATE KEY"), F.lit(False))
+
+
+def _forms(text: Column, kind: str) -> Column:
+    """Structs (kind, at, candidate) of one pattern. Each match is taken with what is before it, so that lengths give places; \\G keeps the search for the last one linear."""
+    pattern = FORMS[kind]
+    flags = "(?is)" if pattern.startswith("(?i)") else "(?s)"
+    pattern = flags + r"\G.*?" + pattern.removeprefix("(?i)")
+    pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("c"))
+    at = lambda ps, i, x: F.size(sql_words(F.concat(F.substring(text, F.lit(1), F.aggregate(F.slice(ps, F.lit(1), i + 1), F.lit(0), lambda n, y: n + F.length(y["m"])) - F.length(x["c"])), F.lit("x")))) - 1
+    found = let(pieces, lambda ps: F.transform(ps, lambda x, i: F.struct(F.lit(kind).alias("kind"), at(ps, i, x).alias("at"), x["c"].alias("candidate"))))
+    return F.when(text.rlike(FORMS[kind]), found).otherwise(F.array().cast("array<struct<kind:string,at:int,candidate:string>>"))
+
+
+def _pem(text: Column, words: Column) -> Column:
+    """Structs (kind, at, candidate) of the pieces of PEM bodies; at is the first word that has the piece."""
+    bodies = F.regexp_extract_all(text, F.lit(PEM), F.lit(1))
+    bare = F.regexp_replace(F.regexp_replace(F.array_join(bodies, " "), r"\\[nr]", "\n"), r"(?m)^[A-Za-z\-]+: .*$", " ")
+    pieces = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"[A-Za-z0-9+/]{4,}={0,2}"), F.lit(0)))
+    at = lambda c: F.array_position(F.transform(words, lambda w: w.contains(c)), F.lit(True)).cast("int") - 1
+    found = F.transform(pieces, lambda c: F.struct(F.lit("pem").alias("kind"), at(c).alias("at"), c.alias("candidate")))
+    return F.when(text.contains("PRIVATE KEY"), found).otherwise(F.array().cast("array<struct<kind:string,at:int,candidate:string>>"))
+
+
 def candidates(docs: DataFrame, path: Column) -> DataFrame:
-    """A row per candidate: doc_id, text_key, at (word number), word, candidate, path, before2, before, after."""
-    words = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(path, F.lit("")).alias("path"), sql_words(F.col("text")).alias("w"))
+    """A row per candidate: doc_id, text_key, at (number of the word it starts in), word, kind, candidate, path, before2, before, after."""
+    text = F.col("text")
+    words = docs.where(has_candidates(text)).select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(path, F.lit("")).alias("path"), "text", sql_words(text).alias("w"))
     numbered = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].rlike(CANDIDATE))
-    hits = words.select("doc_id", "text_key", "path", "w", F.explode(numbered).alias("x"))
+    run = lambda x: F.transform(F.regexp_extract_all(x["word"], F.lit(CANDIDATE), F.lit(0)), lambda c: F.struct(F.lit("run").alias("kind"), x["at"].alias("at"), c.alias("candidate")))
+    forms = let(F.concat(_pem(text, F.col("w")), *[_forms(text, k) for k in ("prefix", "url", "assigned")]), lambda special: F.concat(
+        # the first form that has a candidate stands
+        F.filter(special, lambda x, i: ~F.exists(F.slice(special, F.lit(1), i), lambda y: (y["at"] == x["at"]) & (y["candidate"] == x["candidate"]))),
+        F.filter(F.flatten(F.transform(numbered, run)), lambda x: ~F.exists(special, lambda y: (y["at"] == x["at"]) & (y["candidate"] == x["candidate"]))),
+    ))
+    hits = words.select("doc_id", "text_key", "path", "w", F.explode(forms).alias("x"))
     near = lambda k: F.coalesce(F.get("w", F.col("x.at") + k), F.lit(""))
-    around = hits.select("doc_id", "text_key", "path", F.col("x.at").alias("at"), F.col("x.word").alias("word"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"))
-    return around.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))))
+    return hits.select("doc_id", "text_key", "path", F.col("x.at").alias("at"), near(0).alias("word"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"), "x.kind", "x.candidate")
 
 
 def featured(found: DataFrame) -> DataFrame:
@@ -88,10 +144,23 @@ def featured(found: DataFrame) -> DataFrame:
 
 
 def weak_label() -> Column:
-    """1 for findings that are clearly secrets, 0 for clear false positives, null for the rest; over FEATURES."""
+    """1 for findings that are clearly secrets, 0 for clear false positives, null for the rest; over FEATURES, kind and candidate."""
+    c, kind = F.col("candidate"), F.col("kind")
     random = (F.col("entropy") > 2.8) & (F.col("digit_share").between(0.1, 0.95)) & (F.col("dictionary_share") < 0.4)
-    return F.when((F.col("before_keyword") == 1) & (F.col("before_assigns") == 1) & random & (F.col("placeholder") == 0), 1.0).when(
-        (F.col("before_keyword") == 0) | (F.col("placeholder") == 1) | (F.col("dictionary_share") >= 0.6) | (F.col("digit_share") == 1), 0.0
+    keyed = (F.col("before_keyword") == 1) & (F.col("before_assigns") == 1) & random & (F.col("placeholder") == 0)
+    mixed = ((F.col("digit_share") > 0) & c.rlike("[A-Za-z]")) | (F.col("case_changes") > 0) | c.rlike(r"[A-Za-z0-9][^A-Za-z0-9\s.:][A-Za-z0-9]")
+    quoted = (F.col("quoted") == 1) & ~c.rlike(r"\s")
+    assigned = (kind == "assigned") & (F.length(c) >= 6) & (F.col("placeholder") == 0) & (mixed | quoted) & (F.col("dictionary_share") < 0.6)
+    harmless = (F.col("before_harmless") == 1) | (F.col("after_harmless") == 1) | (F.col("path_harmless") == 1)
+    return (
+        F.when(kind == "pem", 1.0)
+        .when(c.rlike(STANDIN), 0.0)
+        .when(kind == "url", 1.0)
+        .when(kind == "prefix", F.when(c.rlike(r"(?i)example|placeholder|dummy|xxxxxx"), 0.0).otherwise(1.0))
+        .when(keyed | assigned, 1.0)
+        .when((F.col("placeholder") == 1) | (F.col("dictionary_share") >= 0.6) | ((kind == "run") & (F.col("digit_share") == 1)), 0.0)
+        .when((kind == "run") & (F.col("before_keyword") == 0) & harmless, 0.0)
+        .when((kind == "assigned") & (F.col("quoted") == 0) & c.rlike(r"^[A-Za-z]?[a-z]*[.:!?)]*$"), 0.0)
     )
 
 
@@ -108,26 +177,45 @@ def judge(found: DataFrame, labelled: DataFrame, trees: int = TREES, depth: int
 
 
 def scan(docs: DataFrame, path: Column, labelled: DataFrame | None = None) -> DataFrame:
-    """Findings with their verdict: doc_id, text_key, path, at, word, candidate, FEATURES, probability, secret."""
-    found = featured(candidates(docs, path))
-    if labelled is None:
+    """Findings with their verdict: doc_id, text_key, path, at, word, kind, candidate, FEATURES, probability, secret."""
+    found = cut(featured(candidates(docs, path)), "findings")  # few and small; labels over computed features would make plans too large
+    clear = labelled is None
+    if clear:
         some = found.withColumn("label", weak_label()).where("label IS NOT NULL")
         order = F.xxhash64("doc_id", "text_key", "at", "candidate")
         labelled = cut(some.withColumn("_h", order).orderBy("_h").limit(SAMPLE).select(*FEATURES, "label"), "labelled-findings")
-    return judge(found, labelled)
+    out = judge(found, labelled)
+    if clear:
+        out = out.withColumn("probability", F.coalesce(weak_label(), "probability")).withColumn("secret", F.col("probability") >= 0.5)
+    return out
 
 
 def redact(docs: DataFrame, path: Column, labelled: DataFrame | None = None, mask: str = "[SECRET]") -> DataFrame:
     """docs with the secrets in `text` replaced. Only texts that have candidates are shuffled."""
-    has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+    has = has_candidates(F.col("text"))
     key = [F.xxhash64("text").alias("text_key"), F.coalesce(path, F.lit("")).alias("path")]
     found = scan(docs, path, labelled).where("secret").groupBy("text_key", "path")
-    found = found.agg(F.array_sort(F.collect_set(F.struct((-F.length("candidate")).alias("n"), F.col("candidate").alias("c")))).alias("_found"))
+    found = found.agg(F.array_sort(F.collect_set(F.struct((-F.length("candidate")).alias("n"), F.col("candidate").alias("c"), F.col("kind").alias("k")))).alias("_found"))
     some = docs.where(has).withColumn("_key", F.struct(*key)).join(found.withColumn("_key", F.struct("text_key", "path")).select("_key", "_found"), "_key", "left")
-    text = F.aggregate(F.coalesce("_found", F.expr("cast(array() as array<struct<n:int,c:string>>)")), F.col("text"), lambda t, x: F.replace(t, x["c"], F.lit(mask)))
+    none = F.expr("cast(array() as array<struct<n:int,c:string,k:string>>)")
+    text = F.aggregate(F.coalesce("_found", none), F.col("text"), lambda t, x: _masked(t, x["c"], x["k"], mask))
     return some.withColumn("text", text).select(docs.columns).unionByName(docs.where(~has))
 
 
+def _masked(text: Column, candidate: Column, kind: Column, mask: str) -> Column:
+    """text without the candidate: assigned values and passwords of URLs after : or = only, as short ones may be words of the text too; pieces of keys as a whole."""
+    exact = F.concat(F.lit("\\Q"), F.replace(candidate, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    after = F.concat(F.lit(r"(?i)(?<=[:=>][\s\"'`]{0,10}|(?:bearer|basic|token)\s{1,4}[\"'`]{0,1})(?-i)"), exact)
+    alone = F.concat(F.lit(r"(?<![A-Za-z0-9+/=])"), exact, F.lit("(?![A-Za-z0-9+/=])"))
+    safe = F.lit(mask.replace("\\", "\\\\").replace("$", "\\$"))
+    short = F.length(candidate) < 16
+    return (
+        F.when(short & kind.isin("assigned", "url"), F.regexp_replace(text, after, safe))
+        .when(short & (kind == "pem"), F.regexp_replace(F.regexp_replace(text, F.concat(F.lit(r"(?<=\\[nr])"), exact, F.lit("(?![A-Za-z0-9+/=])")), safe), alone, safe))
+        .otherwise(F.replace(text, candidate, F.lit(mask)))
+    )
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return scan(docs, F.col("source")).select("doc_id", "at", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"), "probability", "secret")
