@@ -488,7 +488,7 @@ def retry_counts(spark, d):
 
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, ';.*$', ''), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'), ' ')), lambda x: x <> ''), '¶') AS compact FROM documents WHERE NOT contains(text, chr(13))")
 def compact_documents(spark, d):
-    return t(spark, d, "documents").where(~F.contains("text", F.lit("\r"))).select("doc_id", lint.compact(F.col("text")).alias("compact"))
+    return t(spark, d, "documents").select("doc_id", lint.compact(F.col("text")).alias("compact"))
 
 
 _LAYERS = [(np.array([[((i * 5 + j * 3) % 7 - 3) / 10 for j in range(3)] for i in range(4)]), np.array([0.1, -0.1, 0.05]), 0), (np.array([[0.4], [-0.2], [0.3]]), np.array([0.02]), 1)]

@@ -34,3 +34,11 @@ def test_query(spark, con, name):
         return
     rel = con.sql(f"SELECT {', '.join(columns)} FROM ({SQL[name]})")
     assert rows == sorted((plain(r) for r in rel.fetchall()), key=repr)
+
+
+def test_compact_keeps_all_rows(spark, tmp_path):
+    """Carriage returns end lines; null texts are empty."""
+    rows = [(1, "A 1 ; x\r\nB  2\rC\n"), (2, None), (3, "D"), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["compact"] for r in QUERIES["compact_documents"](spark, str(tmp_path)).collect()}
+    assert got == {1: "A 1¶B 2¶C", 2: "", 3: "D", 4: ""}
