@@ -143,8 +143,14 @@ def equalize(records: DataFrame, words: DataFrame, targets: DataFrame, key: str
     need = targets.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("word").orderBy(key))
-    held = pairs.join(need, "word").withColumn("_r", rank)
+    # ranks within hash buckets of a word, from the rows of the buckets below: no word meets in one task
+    pairs = pairs.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(1000)))
+    sizes = pairs.groupBy("word", "_b").agg(F.count("*").alias("_m"))
+    below = F.sum("_m").over(Window.partitionBy("word").orderBy("_b")) - F.col("_m")  # 1000 rows a word at most
+    starts = sizes.select(F.col("word").alias("_word"), F.col("_b").alias("_bucket"), below.alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("word", "_b").orderBy(key))
+    ranked = pairs.withColumn("_k", rank).join(starts, (F.col("word") == F.col("_word")) & (F.col("_b") == F.col("_bucket"))).withColumn("_r", F.col("_start") + F.col("_k"))
+    held = ranked.join(need, "word")
     copies = F.when(F.col("n") >= F.col("target"), F.lit(1)).otherwise(F.expr("cast(target div n + if(_r <= target % n, 1, 0) as int)"))
     return held.select("word", key, F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import reduce as R
 from .vectors import _bounded, by_rows
@@ -211,29 +212,61 @@ def linear_fit(df: DataFrame, x: str, y: str, lr: float, steps: int, w0: float =
     return w, b
 
 
+#: Workers times parameters of local_train_then_vote, which meet on the driver.
+MAX_LOCAL = 10_000_000
+
+
 def local_train_then_vote(df: DataFrame, worker: str, features: str, labels: str, layers: list[Layer], epochs: int, lr: float, strategy: int = 0) -> list[Layer]:
-    """Train on each worker's rows alone (they must fit a task), then combine each parameter by median or mean."""
-    sent = df.sparkSession.sparkContext.broadcast(layers)
+    """Train on each worker's rows alone, then combine each parameter by median or mean.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ls = [(w.copy(), b.copy(), a) for w, b, a in sent.value]
-        x, y = np.array(pdf[features].tolist(), float), np.array(pdf[labels].tolist(), float)
-        for _ in range(epochs):
-            _, g = _gradients(x, y, ls)
-            for p, step in zip([p for w, b, _ in ls for p in (w, b)], g, strict=True):
-                p -= lr * step / len(x)
-        flat = np.concatenate([p.ravel() for w, b, _ in ls for p in (w, b)])
-        return pd.DataFrame({"i": np.arange(len(flat)), "value": flat})
-
-    params = R.vote(df.groupBy(worker).applyInPandas(run, "i long, value double"), ["i"], "value", strategy).collect()
-    flat = np.zeros(len(params))
-    for r in params:
-        flat[r["i"]] = r["value"]
-    out, at = [], 0
-    for w, b, act in layers:
-        out.append((flat[at : at + w.size].reshape(w.shape), flat[at + w.size : at + w.size + b.size], act))
-        at += w.size + b.size
-    return out
+    All workers train together, one job an epoch: tasks send partial gradients per worker and parameter, and only
+    workers x parameters (MAX_LOCAL at most, or an error) reach the driver. A null worker is a worker of its own.
+    """
+    data = df.select(F.col(worker).alias("_w"), features, labels).where(F.col(features).isNotNull() & F.col(labels).isNotNull())
+    first = np.concatenate([p.ravel() for w, b, _ in layers for p in (w, b)]).astype(float)
+    spark = df.sparkSession
+    most = MAX_LOCAL // max(len(first), 1)
+    rows = data.groupBy("_w").agg(F.count("*").alias("n")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many workers for their parameters to meet on the driver: group workers first")
+    at = {r["_w"]: i for i, r in enumerate(rows)}
+    n = np.array([r["n"] for r in rows], float)
+    params = np.tile(first, (len(rows), 1))
+    numbers = spark.createDataFrame([(r["_w"], i) for i, r in enumerate(rows)], StructType([StructField("_w", data.schema["_w"].dataType), StructField("_i", LongType())]))
+    data = data.join(F.broadcast(numbers), data["_w"].eqNullSafe(numbers["_w"])).select("_i", features, labels).persist()
+
+    def shaped(flat: np.ndarray) -> list[Layer]:
+        out, k = [], 0
+        for w, b, act in layers:
+            out.append((flat[k : k + w.size].reshape(w.shape), flat[k + w.size : k + w.size + b.size].reshape(b.shape), act))
+            k += w.size + b.size
+        return out
+
+    try:
+        for _ in range(epochs if at else 0):
+            sent = spark.sparkContext.broadcast(params)
+
+            def partial(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+                total: dict[int, np.ndarray] = {}
+                for pdf in frames:
+                    for i, some in pdf.groupby("_i"):
+                        _, g = _gradients(np.array(some[features].tolist(), float), np.array(some[labels].tolist(), float), shaped(sent.value[i]))
+                        flat = np.concatenate([x.ravel() for x in g])
+                        total[i] = total[i] + flat if i in total else flat
+                for i, g in total.items():
+                    yield pd.DataFrame({"_i": i, "i": np.arange(len(g)), "g": g})
+
+            got = data.mapInPandas(partial, "_i long, i long, g double").groupBy("_i", "i").agg(F.sum("g").alias("g")).toPandas()  # workers x parameters
+            sent.unpersist()
+            step = np.zeros_like(params)
+            step[got["_i"].to_numpy(), got["i"].to_numpy()] = got["g"].to_numpy()
+            params = params - lr * step / n[:, None]
+    finally:
+        data.unpersist()
+    if not at:
+        return shaped(np.zeros(len(first)))
+    combine = {"median": np.median, "mean": np.mean, "min": np.min, "max": np.max}[R.VOTES[strategy]]
+    return shaped(combine(params, axis=0))
 
 
 def logreg_score(features: Column, weights: list[float], bias: float) -> Column:

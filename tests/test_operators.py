@@ -1,5 +1,6 @@
 """Golden values and edge cases of the operators on small fixtures."""
 
+import inspect
 import math
 
 import numpy as np
@@ -242,3 +243,38 @@ def test_kmeans_and_projection(spark):
     assert groups == {frozenset([0]), frozenset([1])} or len(groups) == 2
     p = vectors.project(spark.createDataFrame([([0.5, 0.3, 0.8, 0.1],), (None,)], "f array<double>"), "f", np.array([[1, 0], [0, 1], [0.5, 0.5], [0.2, 0.8]])).collect()
     assert np.allclose(p[0]["projected"], [0.762757, 0.646685], atol=1e-5) and p[1]["projected"] is None
+
+
+def test_local_training_in_parts(spark):
+    """As each worker's rows trained alone, though no task gets a worker whole."""
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 3 == 2 else "ab"[i % 3], [float(x) for x in rng.random(2)], [float(rng.random())]) for i in range(120)]
+    layers = [(rng.random((2, 2)), rng.random(2), 2), (rng.random((2, 1)), rng.random(1), 3)]
+    df = spark.createDataFrame(rows, "g string, x array<double>, y array<double>").repartition(7)
+    want = []
+    for k in ("a", "b", None):
+        x, y = (np.array([r[j] for r in rows if r[0] == k]) for j in (1, 2))
+        ls = [(w.copy(), b.copy(), a) for w, b, a in layers]
+        for _ in range(5):
+            _, g = models._gradients(x, y, ls)
+            for p, step in zip([p for w, b, _ in ls for p in (w, b)], g, strict=True):
+                p -= 0.1 * step / len(x)
+        want.append(np.concatenate([p.ravel() for w, b, _ in ls for p in (w, b)]))
+    for strategy, f in ((0, np.median), (1, np.mean)):
+        got = models.local_train_then_vote(df, "g", "x", "y", layers, 5, 0.1, strategy)
+        assert np.allclose(np.concatenate([p.ravel() for w, b, _ in got for p in (w, b)]), f(want, axis=0))
+    assert "applyInPandas" not in inspect.getsource(models.local_train_then_vote)
+
+
+def test_equalize_ranks_in_buckets(spark):
+    """No window over a whole word; copies as even as they can be."""
+    words = spark.createDataFrame([("big" if i % 10 else "small", i) for i in range(500)], "word string, key long")
+    targets = spark.createDataFrame([("big", 1000), ("small", 120), ("none", 5)], "word string, target long")
+    out = corpus.equalize(words.select("key"), words, targets)
+    n = {}
+    for r in out.collect():
+        n.setdefault(r["word"], {}).setdefault(r["key"], []).append(r["copy"])
+    assert {w: (len(k), sum(map(len, k.values()))) for w, k in n.items()} == {"big": (450, 1000), "small": (50, 120)}
+    assert {len(c) for c in n["big"].values()} == {2, 3} and {len(c) for c in n["small"].values()} == {2, 3}
+    ranked = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in line]
+    assert ranked and all("_b#" in line for line in ranked)
