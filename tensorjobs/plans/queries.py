@@ -582,10 +582,15 @@ def conv2d_embeddings(spark, d):
 
 @query()
 def attention_per_label(spark, d):
-    """Self-attention over the vectors of each tenth of a label."""
+    """Self-attention within fixed windows: the vectors of one label among 100 consecutive ids, never a whole label.
+
+    A window's key holds label and window number apart, so windows of different labels or places never meet.
+    """
     e = F.col("embedding").cast("array<double>")
-    y = t(spark, d, "embeddings").select((F.col("label").cast("long") * 1000 + F.floor(F.col("vec_id") / 100)).alias("seq"), F.col("vec_id").alias("pos"), e.alias("q"), e.alias("k"), e.alias("v"))
-    return models.attention(y, "seq", "pos").select("pos", F.transform("out", lambda x: F.round(x, 6)).alias("out"))
+    label = F.coalesce(F.col("label").cast("string"), F.lit(""))
+    seq = F.concat_ws("/", F.floor(F.col("vec_id") / 100).cast("string"), label)  # a number first: no two pairs give one string
+    y = t(spark, d, "embeddings").select(seq.alias("seq"), F.col("vec_id").alias("pos"), e.alias("q"), e.alias("k"), e.alias("v"))
+    return models.attention(y, "seq", "pos", "string").select("pos", F.transform("out", lambda x: F.round(x, 6)).alias("out"))
 
 
 @query("SELECT c_custkey, floor(greatest(0.0, federal + least(g, 160200) * 0.062 + g * 0.0145 + greatest(0, g - 200000) * 0.009 + agi * sr) + 0.003) AS total_tax FROM (SELECT c_custkey, g, agi, sr, greatest(0, taxable - 11000) * 0.1 AS federal FROM (SELECT c_custkey, g, g * 0.9 AS agi, greatest(0, g * 0.9 - CASE WHEN c_mktsegment = 'BUILDING' THEN 20000 ELSE 14600 END) AS taxable, CASE WHEN c_nationkey < 5 THEN 0.03 ELSE 0 END AS sr FROM (SELECT *, (c_acctbal + 1000) * 20 AS g FROM customer)))")

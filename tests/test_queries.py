@@ -42,3 +42,13 @@ def test_compact_keeps_all_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["compact"] for r in QUERIES["compact_documents"](spark, str(tmp_path)).collect()}
     assert got == {1: "A 1¶B 2¶C", 2: "", 3: "D", 4: ""}
+
+
+def test_attention_windows_do_not_meet(spark, tmp_path):
+    """Label 0 from id 100,000 on is not in the windows of label 1 from id 0 on."""
+    rows = [(1, 1, [1.0, 0.0]), (2, 1, [0.0, 1.0]), (100_001, 0, [5.0, 5.0]), (100_002, 0, [5.0, 5.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["pos"]: r["out"] for r in QUERIES["attention_per_label"](spark, str(tmp_path)).collect()}
+    assert got[100_001] == got[100_002] == [5.0, 5.0]
+    near = math.exp(1 / math.sqrt(2))
+    assert got[1] == pytest.approx([near / (near + 1), 1 / (near + 1)], abs=1e-5)
