@@ -341,6 +341,11 @@ def _rest(joined: DataFrame, roots: DataFrame, with_text: Callable[[DataFrame],
 
 def link(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id that links reach)."""
+    return _linked(docs, percent, chunk).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    """As link, with text_key and component: equal in the rows that links reach, also without ids; null for texts without shingles."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
     sets = _sets(docs)
     ranks = docs.sparkSession.sparkContext.broadcast(_ranks(sets.where("chunk IS NOT NULL")))
@@ -365,9 +370,9 @@ def link(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFra
         if more.limit(1).count():
             roots = components(links.union(more))
     smallest = roots.join(classes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("smallest"))
-    named = roots.join(smallest, "root").select("node", "smallest")
+    named = roots.join(smallest, "root").select("node", "root", "smallest")
     own = rows.join(classes.select("node", "first_id"), "node", "left").join(named, "node", "left")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "first_id", "doc_id").alias("component_id"))
+    return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "first_id", "doc_id").alias("component_id"), "text_key", F.coalesce("root", "node").alias("component"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,8 +380,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest id, the first of rows that repeat it. Rows without id stay."""
-    kept = link(docs).where("doc_id = component_id").select("doc_id").distinct()
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    once = docs.select(columns).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.select(columns).where("doc_id IS NULL"))
+    """One row of each component: that with the smallest id, then text hash; rows without id come last. Texts without shingles are told apart by id and text."""
+    alone = F.when(F.col("component").isNull(), F.struct("doc_id", "text_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("x")
+    kept = _linked(docs).withColumn("_alone", alone).groupBy("component", "_alone").agg(first).select(F.col("x.doc_id").alias("_id"), F.col("x.text_key").alias("_text"))
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("_key", F.xxhash64("text"))
+    once = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi")
+    return once.dropDuplicates(["doc_id", "_key"]).drop("_key")

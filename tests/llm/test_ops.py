@@ -414,3 +414,13 @@ def test_pipeline_stages(spark, docs):
     assert sorted(r["doc_id"] for r in once.where("doc_id IS NOT NULL").collect()) == sorted(x for x in groups if x is not None)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 5
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_ngram_stage_repeated_and_missing_ids(spark):
+    """Unrelated texts under one id both stay, copies without id become one."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("b")), (2, text("a")), (2, text("c")), *[(None, text("d"))] * 5, (None, text("b")), (7, "short"), (7, "brief"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.stage(spark, docs, SF).collect()]
+    want = [(1, text("a")), (2, text("b")), (2, text("c")), (None, text("d")), (7, "short"), (7, "brief"), (8, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
