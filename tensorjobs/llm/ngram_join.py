@@ -5,52 +5,57 @@ Steps:
 
 1. `_sets`: per text its node and set size, and a count sketch of shingles over all texts (2**20 counts,
    a fixed size). Shingles are globally ordered by the logarithm of their count, then by hash.
-2. `_memberships`: two sets at the threshold share k of their first n - ceil(t*n) + k (rarest) shingles. A set
-   of which fewer than k are shared with anyone links with nothing; k grows with n, so common passages don't
-   suffice. The smallest node among those with a shingle is its hub; a node joins the block of each of its
-   hubs, so every pair that shares a shingle meets in a block.
-3. `_join_blocks`: large blocks are split in chunks that all hold the hub. In a chunk the ordered sets (most
-   frequent shingle first) form a prefix tree - the sorted sequences with their common prefix lengths.
-   A probe walks it, keeps the overlap counted along the shared path, and leaves a subtree as soon as
-   the remaining length cannot make up for what was missed. Nodes already connected are passed over.
-4. `_rest`: members of a split block in another component than the hub are compared with the rest of
+2. `_hubs`: two sets at the threshold share k of their first n - ceil(t*n) + k (rarest) shingles, k growing with n,
+   so common passages don't suffice. The smallest node among those with a prefix shingle is its hub.
+3. `_memberships`: a node joins the blocks of its hubs, so every pair that shares a prefix shingle meets in a block.
+   A node that shares fewer than k with anyone links with nothing; one that shares enough still leaves out the hubs of
+   which it has the fewest shingles, up to (k - 1) / 2 of these: both sides of a link together can't lose all k.
+4. `_join_blocks`: large blocks are split in chunks that all hold the hub. In a chunk the ordered sets (most
+   frequent shingle first) form a prefix tree (`PrefixTree`). A probe descends it level by level, keeps the overlap
+   counted along shared paths, and leaves a subtree as soon as what remains of either set cannot make up for what
+   was missed. A chunk is bounded in shingles and in sets (each weighs SET_WEIGHT shingles more).
+5. `_rest`: members of a split block in another component than the hub are compared with the rest of
    the block, as probes against chunks; pairs whose distances to the hub differ by more than 1 - t, or whose
    sizes are too far apart, cannot link (Jaccard distance is a metric).
 
+Texts are hashed in three scans, block by block; what is shuffled are prefix shingles once, shared ones once more,
+and the texts of nodes that remain in blocks.
+
 Defined results: null, blank and empty texts have an empty set and link with nothing; rows that repeat
-an id are nodes like others; null ids take part but never name a component unless it has no other id.
+an id are nodes like others; null ids take part but never name a component unless it has no other id; very long
+texts are compared whole; columns other than doc_id and text are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, bitmap, cut, gram_hashes, has_bit, mix, runs, table, texts_of, word_hash, word_hashes
+from .common import bitmap, cut, gram_hashes, has_bit, mix, ragged, runs, table, texts_of, word_arrays
 from .components import components
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 SKETCH_BITS, SLICE = 20, 4096
-KEY_BITS = 25
-#: Shingles in a chunk of a block, on average.
-CHUNK = 150_000
+KEY_BITS, SHINGLE_BITS = 25, 27
+#: Shingles in a chunk of a block, on average; each set counts for so many more.
+CHUNK, SET_WEIGHT = 150_000, 16
 #: One more shared shingle is asked for per so many of a set, in a prefix that much longer.
 EVIDENCE = 16
-STEP = 48  # shingles between two looks at the bound
 
 
-def shingle_set(cache: WordHash, text: bytes | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles; of the whole sequence if it has fewer words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(gram_hashes(word_hashes(cache, words), min(size, len(words))))
+def shingle_sets(texts: Iterable[bytes | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted hashes of each text's distinct shingles; of the whole sequence if it has fewer words."""
+    for h in word_arrays(texts, lower=True):
+        s = gram_hashes(h, min(size, len(h))) if len(h) else h
+        s.sort()
+        yield s[np.append(True, s[1:] != s[:-1])] if len(s) else s
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -71,11 +76,10 @@ def _sets(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "text_key", "n", "node", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total, size = word_hash(), np.zeros(1 << SKETCH_BITS, np.int64), 1 << SKETCH_BITS
+        total, size = np.zeros(1 << SKETCH_BITS, np.int64), 1 << SKETCH_BITS
         for batch in batches:
             n, node, held, held_n = [], [], [], 0
-            for text in texts_of(batch):
-                s = shingle_set(cache, text)
+            for s in shingle_sets(texts_of(batch)):
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
                 held.append((s & np.uint64(size - 1)).astype(np.int64))
@@ -124,34 +128,70 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 + n // EVIDENCE
 
 
-def _memberships(docs: DataFrame, ranks, classes: DataFrame, percent: int) -> DataFrame:
-    """(hub, node, n): the nodes of each hub's block, the hub (their smallest) among them."""
+def least_shared(n: int, percent: int) -> int:
+    """Prefix shingles that a set of n shares with any set it links with, at least: the other has percent * n / 100 of them or more."""
+    return 1 + -(-percent * n // 100) // EVIDENCE
+
+
+def _prefixes(docs: DataFrame, ranks, percent: int, bits=None) -> DataFrame:
+    """(shingle, node, n, copies): the prefix shingles of each text, once for all its copies in a batch; with `bits` only those that the bitmap has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_hash()
         for batch in batches:
-            texts = texts_of(batch)
-            for lo in range(0, len(texts), 500):
-                tokens, nodes, sizes, lengths = [], [], [], []
-                for text in texts[lo : lo + 500]:
-                    s = shingle_set(cache, text)
-                    if len(s):
-                        k = min(len(s), prefix_length(len(s), percent))
-                        tokens.append(rare_first(s, ranks.value)[:k])
-                        nodes.append(node_of(s))
-                        sizes.append(len(s))
-                        lengths.append(k)
-                if tokens:
-                    columns = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))]
-                    yield pa.RecordBatch.from_arrays(columns, ["shingle", "node", "n"])
-
-    prefixes = docs.select("text").mapInArrow(run, "shingle long, node long, n int")
-    hubs = prefixes.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("shingle", "hub")
-    # a node without enough shared shingles links with nothing; each exact copy of a text has counted them once
-    met = cut(prefixes.join(hubs, "shingle").groupBy("hub", "node", "n").agg(F.count("*").alias("k")), "meetings")
-    shared = met.groupBy("node").agg(F.sum("k").alias("k"), F.first("n").alias("n")).join(classes.select("node", "copies"), "node")
-    fit = shared.where(F.col("k") > F.col("copies") * F.floor(F.col("n") * percent / (100 * EVIDENCE))).select("node")
-    members = met.select("hub", "node", "n").join(fit, "node")
+            place: dict[int, int] = {}
+            nodes, sizes, copies, tokens, held = [], [], [], [], 0
+
+            def out() -> pa.RecordBatch:
+                lengths = [len(t) for t in tokens]
+                spread = lambda x, kind: pa.array(np.repeat(np.array(x, kind), lengths))
+                columns = [pa.array(np.concatenate(tokens).view(np.int64)), spread(nodes, np.int64), spread(sizes, np.int32), spread(copies, np.int32)]
+                return pa.RecordBatch.from_arrays(columns, ["shingle", "node", "n", "copies"])
+
+            for s in shingle_sets(texts_of(batch)):
+                if not len(s):
+                    continue
+                node = node_of(s)
+                if node in place:
+                    copies[place[node]] += 1
+                    continue
+                prefix = rare_first(s, ranks.value)[: prefix_length(len(s), percent)]
+                if bits is not None:
+                    prefix = prefix[has_bit(bits.value, (prefix & np.uint64((1 << SHINGLE_BITS) - 1)).astype(np.int64))]
+                place[node] = len(nodes)
+                nodes.append(node)
+                sizes.append(len(s))
+                copies.append(1)
+                tokens.append(prefix)
+                held += len(prefix)
+                if held > 100_000:
+                    yield out()
+                    place, held = {}, 0
+                    nodes, sizes, copies, tokens = [], [], [], []
+            if nodes:
+                yield out()
+
+    return docs.select("text").mapInArrow(run, "shingle long, node long, n int, copies int")
+
+
+def _hubs(docs: DataFrame, ranks, percent: int) -> DataFrame:
+    """(shingle, hub) of prefix shingles that several nodes have."""
+    return _prefixes(docs, ranks, percent).groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("shingle", "hub")
+
+
+def _memberships(docs: DataFrame, ranks, hubs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(hub, node, n): the nodes of each hub's block, the hub (their smallest) among them."""
+    at = F.col("shingle").bitwiseAND(F.lit((1 << SHINGLE_BITS) - 1))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(hubs, at, SHINGLE_BITS))
+    met = _prefixes(docs, ranks, percent, bits).join(hubs, "shingle").groupBy("hub", "node", "n").agg(F.sum("copies").alias("k"))
+    met = met.join(classes.select("node", F.col("copies").alias("of")), "node").select("hub", "node", "n", (F.col("k") / F.col("of")).cast("long").alias("k"))
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / EVIDENCE)
+    own = Window.partitionBy("node")  # the prefix shingles of one set at most
+    members = (
+        met.withColumns({"all": F.sum("k").over(own), "up_to": F.sum("k").over(own.orderBy("k", "hub").rowsBetween(Window.unboundedPreceding, 0))})
+        .where((F.col("all") >= least) & (F.col("up_to") > F.floor((least - 1) / 2)))
+        .select("hub", "node", "n")
+    )
+    members = cut(members, "meetings")
     first = members.groupBy("hub").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("hub", "first")
     return members.join(first, "hub").select(F.col("first").alias("hub"), "node", "n").distinct()
 
@@ -169,60 +209,112 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return some.groupBy("text_key").agg(F.first("text").alias("text")).join(keys.select("text_key").distinct(), "text_key", "left_semi")
 
 
-def enough(a: int, b: int, percent: int) -> int:
-    """The least intersection at which sets of a and b link."""
-    return -(-percent * (a + b) // (100 + percent))
+class PrefixTree:
+    """Ordered sets as a prefix tree with paths compressed: each tree node holds a run of shingles that all sets below it share.
 
+    Shingles are numbered in the global order, most frequent first. Tree nodes lie level by level, children of one
+    node side by side, so that a probe handles all live nodes of a level at once.
+    """
 
-class PrefixTree:
-    """Ordered sets as a prefix tree: sequences sorted, with the length of the path each shares with the one before."""
-
-    def __init__(self, sequences: list[np.ndarray]) -> None:
-        keys = [s.astype(">u8").tobytes() for s in sequences]
-        self.order = sorted(range(len(keys)), key=keys.__getitem__)
-        self.sequences = [sequences[i] for i in self.order]
-        self.shared = [0] * len(keys)
-        for i in range(1, len(keys)):
-            a, b = self.sequences[i - 1], self.sequences[i]
-            m = min(len(a), len(b))
-            other = np.flatnonzero(a[:m] != b[:m])
-            self.shared[i] = int(other[0]) if len(other) else m
-
-    def overlaps(self, probe: np.ndarray, percent: int, skip=None) -> Iterator[tuple[int, int]]:
-        """(number of a sequence, its intersection with the probe) for those that link; probe: sorted hashes.
-
-        skip: called with a sequence's number, True leaves it out.
-        """
+    def __init__(self, sets: list[np.ndarray], ranks: np.ndarray | None = None) -> None:
+        self.vocabulary = np.unique(np.concatenate(sets))
+        rank = np.zeros(1, np.uint8) if ranks is None else ranks
+        order = np.argsort(rank[(self.vocabulary & np.uint64(len(rank) - 1)).astype(np.int64)], kind="stable")
+        self.number = np.empty(len(order), np.int32)
+        self.number[order] = np.arange(len(order) - 1, -1, -1)
+        sequences = [np.sort(self.number[np.searchsorted(self.vocabulary, s)]) for s in sets]
+        keys = [s.astype(">i4").tobytes() for s in sequences]
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        begin, end, of, parent, leaf, stack = [], [], [], [], [], []
+        before = None
+        for i in order:
+            s = sequences[i]
+            depth = 0
+            if before is not None:
+                m = min(len(before), len(s))
+                other = np.flatnonzero(before[:m] != s[:m])
+                depth = int(other[0]) if len(other) else m
+            while stack and begin[stack[-1]] >= depth:
+                stack.pop()
+            if stack and depth < end[stack[-1]]:  # the path parts within a run: the part above becomes a node of its own
+                below = stack.pop()
+                stack.append(len(begin))
+                begin.append(begin[below])
+                end.append(depth)
+                of.append(of[below])
+                parent.append(parent[below])
+                begin[below], parent[below] = depth, stack[-1]
+            if len(s) > depth:
+                begin.append(depth)
+                end.append(len(s))
+                of.append(i)
+                parent.append(stack[-1] if stack else -1)
+                stack.append(len(begin) - 1)
+            leaf.append(stack[-1])
+            before = s
+        begin, end, of, parent, leaf = (np.array(x, np.int64) for x in (begin, end, of, parent, leaf))
+        level = np.zeros(len(begin), np.int64)
+        for x in np.argsort(end, kind="stable").tolist():  # parents end before their children
+            if parent[x] >= 0:
+                level[x] = level[parent[x]] + 1
+        # level by level; within a level in the order of the parents
+        place, by_level = np.full(len(begin) + 1, -1), []
+        for depth in range(int(level.max()) + 1):
+            some = np.flatnonzero(level == depth)
+            some = some[np.argsort(place[parent[some]], kind="stable")]
+            place[some] = np.arange(len(some)) + sum(map(len, by_level))
+            by_level.append(some)
+        at = np.concatenate(by_level)
+        self.first_level = len(by_level[0])
+        self.end, up = end[at], place[parent[at]]
+        self.length = end[at] - begin[at]
+        self.start = np.cumsum(self.length) - self.length
+        self.shingles = np.concatenate([sequences[i][a:b] for i, a, b in zip(of[at].tolist(), begin[at].tolist(), end[at].tolist(), strict=True)])
+        self.last = self.shingles[self.start + self.length - 1]
+        inner = up[self.first_level :]
+        self.children = np.bincount(inner, minlength=len(at))
+        self.first_child = self.first_level + np.cumsum(self.children) - self.children
+        leaf = place[leaf]
+        by_leaf = np.argsort(leaf, kind="stable")
+        self.leaf, self.sets = leaf[by_leaf], np.array(order)[by_leaf]
+        self.sizes = np.array([len(s) for s in sequences], np.int64)
+        self.shortest, self.longest = np.full(len(at), np.iinfo(np.int64).max), np.zeros(len(at), np.int64)
+        np.minimum.at(self.shortest, leaf, self.sizes[order])
+        np.maximum.at(self.longest, leaf, self.sizes[order])
+        bounds = np.cumsum([0, *map(len, by_level)])
+        for lo, hi in zip(bounds[-2:0:-1], bounds[:1:-1], strict=True):  # from the deepest level up
+            np.minimum.at(self.shortest, up[lo:hi], self.shortest[lo:hi])
+            np.maximum.at(self.longest, up[lo:hi], self.longest[lo:hi])
+        self.mark = np.zeros(len(self.vocabulary) + 1, bool)
+
+    def overlaps(self, probe: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the sets that link with the probe, their intersections with it); probe: sorted hashes."""
         n = len(probe)
-        longest = n * 100 // percent
-        path = np.zeros(longest + STEP + 1, np.int64)  # overlap of the current path up to each depth
-        known = 0  # depth to which it is counted
-        dead = 1 << 60  # depth of a path that no sequence below can save
-        for i, s in enumerate(self.sequences):
-            known = min(known, self.shared[i])
-            if self.shared[i] >= dead:
-                continue
-            dead = 1 << 60
-            m = len(s)
-            if m * 100 < percent * n or m > longest or (skip is not None and skip(self.order[i])):
-                continue
-            need = enough(n, m, percent)
-            if known and path[known] + m - known < need:
-                continue
-            while known < m:
-                to = min(m, known + STEP)
-                part = s[known:to]
-                at = np.searchsorted(probe, part)
-                at[at == n] = 0
-                path[known + 1 : to + 1] = path[known] + np.cumsum(probe[at] == part)
-                known = to
-                if path[known] + m - known < need:
-                    break
-            if path[known] + m - known < need:
-                if known - path[known] > longest - enough(n, longest, percent):
-                    dead = known
-            else:
-                yield self.order[i], int(path[m])
+        at = np.searchsorted(self.vocabulary, probe)
+        at[at == len(self.vocabulary)] = 0
+        own = np.sort(self.number[at[self.vocabulary[at] == probe]])
+        self.mark[own] = True
+        live, above = np.arange(self.first_level), np.zeros(self.first_level, np.int64)
+        nodes, common = [], []
+        while len(live):
+            length = self.length[live]
+            hits = self.mark[self.shingles[ragged(self.start[live], length)]]
+            overlap = above + np.add.reduceat(hits, np.cumsum(length) - length, dtype=np.int64)
+            most = overlap + np.minimum(self.longest[live] - self.end[live], len(own) - np.searchsorted(own, self.last[live], "right"))
+            shortest = self.shortest[live]
+            keep = (100 * most >= percent * (n + np.maximum(shortest, most) - most)) & (self.longest[live] * 100 >= percent * n) & (shortest * percent <= n * 100)
+            live, overlap = live[keep], overlap[keep]
+            nodes.append(live)
+            common.append(overlap)
+            children = self.children[live]
+            live, above = ragged(self.first_child[live], children), np.repeat(overlap, children)
+        self.mark[own] = False
+        nodes, common = np.concatenate(nodes), np.concatenate(common)
+        lo = np.searchsorted(self.leaf, nodes)
+        count = np.searchsorted(self.leaf, nodes, "right") - lo
+        found, common = self.sets[ragged(lo, count)], np.repeat(common, count)
+        link = 100 * common >= percent * (n + self.sizes[found] - common)
+        return found[link], common[link]
 
 
 class Forest:
@@ -257,18 +349,20 @@ def _join_blocks(blocks: DataFrame, ranks, percent: int) -> DataFrame:
     schema = "hub long, node long, n int, common int, link long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out = word_hash(), []
+        out = []
         for (hub, _), parts in runs(batches, ["hub", "chunk"]):
             nodes = [x for p in parts for x in p.column("node").to_pylist()]
             split = parts[0].column("split")[0].as_py()
-            sets = [shingle_set(cache, t) for p in parts for t in texts_of(p)]
-            tree = PrefixTree([rare_first(s, ranks.value)[::-1] for s in sets])
+            sets = [s for p in parts for s in shingle_sets(texts_of(p))]
+            if len(nodes) == 1:
+                continue
             forest, at = Forest(len(nodes)), nodes.index(hub)
+            tree = PrefixTree(sets, ranks.value)
             left = len(nodes) - 1
             for i in [at, *(i for i in range(len(nodes)) if i != at)]:
                 if not left:
                     break
-                for j, _ in tree.overlaps(sets[i], percent, lambda j, i=i: j == i or forest.root(i) == forest.root(j)):
+                for j in tree.overlaps(sets[i], percent)[0].tolist():
                     if forest.join(i, j):
                         out.append((hub, nodes[j], len(sets[j]), None, nodes[i]))
                         left -= 1
@@ -287,7 +381,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("n", "common") else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
 
-def _rest(joined: DataFrame, roots: DataFrame, with_text: Callable[[DataFrame], DataFrame], sizes: DataFrame, percent: int) -> DataFrame:
+def _rest(joined: DataFrame, roots: DataFrame, with_text: Callable[[DataFrame], DataFrame], sizes: DataFrame, ranks, percent: int, chunk: int) -> DataFrame:
     """Links (a, b) between components that meet in a split block, in which neither was the hub's own chunk mate.
 
     Probes are the members outside the hub's component, in cells of like distance to the hub; each cell gets the
@@ -299,8 +393,8 @@ def _rest(joined: DataFrame, roots: DataFrame, with_text: Callable[[DataFrame],
     members = rooted(rooted(joined.where("common IS NOT NULL").select("hub", "node", "n", "common"), "node"), "hub").join(hubs, "hub")
     members = members.select("hub", "node", "n", "node_root", "hub_root", (1 - far).alias("d")).withColumn("bin", F.floor(F.col("d") * 20).cast("int"))
     probes = members.where("node_root <> hub_root").withColumn("cell", F.floor(F.log("n") * 5).cast("int"))
-    cells = probes.groupBy("hub", "bin", "cell").agg(F.sum("n").alias("total"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    cells = cells.withColumn("parts", F.ceil(F.col("total") / CHUNK).cast("int"))
+    cells = probes.groupBy("hub", "bin", "cell").agg(F.sum(F.col("n") + SET_WEIGHT).alias("total"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    cells = cells.withColumn("parts", F.ceil(F.col("total") / chunk).cast("int"))
     probes = probes.join(cells.select("hub", "bin", "cell", "parts"), ["hub", "bin", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     t = F.lit(percent / 100)
     near = (F.abs(F.col("m.bin") - F.col("c.bin")) <= F.ceil((1 - t) * 20 + 1e-9) + 1) & (F.col("m.n") >= t * F.col("c.lo")) & (F.col("m.n") * t <= F.col("c.hi"))
@@ -313,23 +407,23 @@ def _rest(joined: DataFrame, roots: DataFrame, with_text: Callable[[DataFrame],
     keys = ["hub", "bin", "cell", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out = word_hash(), []
+        out = []
         now, nodes, roots_, sets, tree = None, [], [], [], None
         for key, parts in runs(batches, [*keys, "side"]):
             for p in parts:
-                some = zip(p.column("node").to_pylist(), p.column("node_root").to_pylist(), texts_of(p), strict=True)
+                some = zip(p.column("node").to_pylist(), p.column("node_root").to_pylist(), shingle_sets(texts_of(p)), strict=True)
                 if key[-1] == 0:
                     if key[:-1] != now:
                         now, nodes, roots_, sets, tree = key[:-1], [], [], [], None
-                    for node, root, text in some:
+                    for node, root, s in some:
                         nodes.append(node)
                         roots_.append(root)
-                        sets.append(shingle_set(cache, text))
+                        sets.append(s)
                     continue
                 if tree is None:
-                    tree = PrefixTree(sets)
-                for node, root, text in some:
-                    out += [(node, nodes[j]) for j, _ in tree.overlaps(shingle_set(cache, text), percent, lambda j, r=root: roots_[j] == r)]
+                    tree = PrefixTree(sets, ranks.value)
+                for node, root, s in some:
+                    out += [(node, nodes[j]) for j in tree.overlaps(s, percent)[0].tolist() if roots_[j] != root]
             if len(out) > 5000:
                 yield _batch(out, ["a", "b"])
                 out = []
@@ -351,8 +445,10 @@ def _linked(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> Data
     ranks = docs.sparkSession.sparkContext.broadcast(_ranks(sets.where("chunk IS NOT NULL")))
     rows = sets.where("chunk IS NULL").select("doc_id", "text_key", "n", "node")
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    members = cut(_memberships(docs, ranks, classes, percent), "memberships")
-    hubs = members.groupBy("hub").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
+    classes = cut(classes, "classes")
+    shared = cut(_hubs(docs, ranks, percent), "hubs")
+    members = cut(_memberships(docs, ranks, shared, classes, percent), "memberships")
+    hubs = members.groupBy("hub").agg(F.ceil(F.sum(F.col("n") + SET_WEIGHT) / chunk).cast("int").alias("chunks"))
     blocks = (
         members.where("node <> hub")
         .join(hubs, "hub")
@@ -366,13 +462,13 @@ def _linked(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> Data
     links = joined.where("link IS NOT NULL").select(F.col("node").alias("a"), F.col("link").alias("b"))
     roots = components(links)
     if joined.where("common IS NOT NULL").limit(1).count():
-        more = cut(_rest(joined, roots, with_text, involved, percent), "rest-links")
+        more = cut(_rest(joined, roots, with_text, involved, ranks, percent, chunk), "rest-links")
         if more.limit(1).count():
             roots = components(links.union(more))
     smallest = roots.join(classes.select("node", "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("smallest"))
-    named = roots.join(smallest, "root").select("node", "root", "smallest")
-    own = rows.join(classes.select("node", "first_id"), "node", "left").join(named, "node", "left")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "first_id", "doc_id").alias("component_id"), "text_key", F.coalesce("root", "node").alias("component"))
+    named = classes.select("node", "first_id").join(roots.join(smallest, "root"), "node", "left").select("node", "root", F.coalesce("smallest", "first_id").alias("smallest"))
+    own = rows.join(cut(named, "components"), "node", "left")  # a table of its own, so that a text with very many copies can be split
+    return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"), "text_key", F.coalesce("root", "node").alias("component"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

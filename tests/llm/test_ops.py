@@ -4,13 +4,14 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tensorjobs.llm import class_lm, mixing, neighbours, ngram_join, packing, quality_rules, resharding, secret_scan, substring_dedup, toxicity
+from tensorjobs.llm import class_lm, common, mixing, neighbours, ngram_join, packing, quality_rules, resharding, secret_scan, substring_dedup, toxicity
 from tensorjobs.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -136,7 +137,36 @@ def test_prefix_tree():
     tree = ngram_join.PrefixTree(sets)
     for s in sets[:50]:
         want = {j: len(np.intersect1d(s, x)) for j, x in enumerate(sets) if 100 * len(np.intersect1d(s, x)) >= 80 * len(np.union1d(s, x))}
-        assert dict(tree.overlaps(s, 80)) == want
+        assert dict(zip(*(a.tolist() for a in tree.overlaps(s, 80)), strict=True)) == want
+
+
+def test_prefix_tree_of_many_short_sets():
+    """Sets that share an opening: a probe handles a level at once, so that thousands take seconds."""
+    began = time.monotonic()
+    texts = [f"the same five opening words {i % 50} {i // 50}".encode() for i in range(5000)]
+    sets = list(ngram_join.shingle_sets(texts))
+    tree = ngram_join.PrefixTree(sets)
+    assert all(tree.overlaps(s, 80)[0].tolist() == [i] for i, s in enumerate(sets))
+    assert time.monotonic() - began < 60
+
+
+def test_ngram_many_short_texts(spark):
+    rows = [(i, f"the same five opening words {i % 71} {i // 71}") for i in range(5000)] + [(5000, rows_text := "the same five opening words 3 4"), (5001, rows_text)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    same = next(i for i, t in rows if t == rows_text)
+    assert got[5000] == got[5001] == same and all(got[i] == i for i in range(5000))
+
+
+def test_word_arrays():
+    """The hashes stand for the words: over blocks, in long words and long texts, with and without capitals."""
+    rng = random.Random(0)
+    texts = [None, b"", b" \n ", b"A b\tc", b"x" * 200_000 + b" y z", b"hello World " * 20_000, *(bytes(rng.choice(b"abcABC \n\t\xc3") for _ in range(rng.randint(0, 300))) for _ in range(2000))]
+    for lower in (False, True):
+        seen = {}
+        for t, h in zip(texts, common.word_arrays(texts, lower), strict=True):
+            w = ((t or b"").lower() if lower else t or b"").split()
+            assert len(w) == len(h) and all(seen.setdefault(a, b) == b for a, b in zip(w, h.tolist(), strict=True))
+        assert len(set(seen.values())) == len(seen)
 
 
 def test_components_random(spark):
@@ -315,7 +345,7 @@ def test_packing(spark, docs, empty):
 
     file = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(file)
-    odd = ["It's THE end., ok", "á H̱.", "x<|endoftext|>Y <|ENDOFTEXT|>", "tab\x1csep nbsp line.", "...,, a.b, c,", "word " * 5000]
+    odd = ["It's THE end., ok", "á H̱.", "x<|endoftext|>Y <|ENDOFTEXT|>", "tab\x1csep nbsp line.", "...,, a.b, c,", "word " * 5000, "('s 'S it's, don't've (a)b[c]3.4,5é,É. ''re a'b", "a≮b ≠", "3.14,\"x\"y", "x|>y<|z"]
     more = spark.createDataFrame([(800 + i, x, "en", "s", 1, "z") for i, x in enumerate(odd)], docs.columns)
     rows = packing.pack(docs.unionByName(more), file, with_ids=True).collect()
     assert len({r["sequence_id"] for r in rows}) == len(rows) and all(r["length"] == 1 << r["bucket"] and r["offset"] == 0 for r in rows)
