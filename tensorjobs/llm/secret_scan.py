@@ -6,8 +6,8 @@ A candidate is
 - a key with a known prefix (AKIA..., ghp_..., PREFIXES),
 - a piece of the body of a PEM private key, also with line ends written as \\n,
 - a run of 16 or more key characters with a digit in it, inside a word.
-The forest sees its length, character transitions and distribution, how much of it a dictionary covers, the path
-of its document and the neighbouring words. It learns from labelled findings; where nobody has labelled any,
+The forest sees its length, character transitions and distribution, how much of it a dictionary covers
+(the most frequent words of the documents themselves, and words of identifiers), the path of its document and the neighbouring words. It learns from labelled findings; where nobody has labelled any,
 `weak_label` gives labels to the clear cases, which are their verdict, and the forest learns from a bounded sample of
 them (SAMPLE) to judge the others. A run without a keyword is clearly harmless only if something says so.
 
@@ -18,7 +18,8 @@ prefix that are shorter than 16 or have no digit, and secrets that are split or
 Built-in functions and the DataFrame forest only. Texts without candidates are dropped by one pattern
 before anything is taken apart. Defined results: null and empty texts have no candidates; null paths
 are empty; rows that repeat an id are scanned one by one; candidates of any length are examined whole;
-with labels of one class only, that class is the verdict for all; with none, nothing is removed.
+with labels of one class only, that class is the verdict for all; with none, nothing is removed; columns of docs keep
+their names and values in `redact`, whatever they are called, and `scan` returns none of them.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, sql_words, table
+from .common import cut, let, sql_words, table, unused
 
-CANDIDATE = r"(?=[A-Za-z_\-+/=]*[0-9])[A-Za-z0-9_\-+/=]{16,}"
+#: Looks ahead only where a run begins, so that long runs take linear time.
+CANDIDATE = r"(?<![A-Za-z0-9_\-+/=])(?=[A-Za-z_\-+/=]*+[0-9])[A-Za-z0-9_\-+/=]{16,}+"
 #: Patterns whose first group is the candidate; nothing is matched after it.
 ASSIGNED = (
     r"(?i)(?<![a-z])(?:[a-z]{0,24}[_\-.])?(?:passw(?:or)?d|passphrase|pass|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth|authorization|credentials?|key)"
@@ -41,7 +43,7 @@ ASSIGNED = (
 URL = r"://[^\s/:@\"'<>]{0,256}:([^\s/\"'<>]+)(?=@[A-Za-z0-9\[])"
 PREFIXES = (
     r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_\-]{16,}|xox[abeprs]-[A-Za-z0-9\-]{10,}"
-    r"|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{10,}|sk-[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{30,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})"
+    r"|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{10,}|sk-[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{30,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{20,}|(?<![_\-])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+)"
 )
 PEM = r"(?s)-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END|\z)"
 FORMS = {"assigned": ASSIGNED, "url": URL, "prefix": PREFIXES}
@@ -53,7 +55,9 @@ KEYWORDS = r"(?i)(token|secret|passw|pwd|api|key|auth|bearer|credential|private)
 HARMLESS = r"(?i)(commit|sha|md5|checksum|digest|uuid|order|card|phone|isbn|issue|revision|etag)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your|test|xxxx|0123456789|1234567890|abcdef0)"
 PATHS = r"(?i)(test|example|sample|doc|fixture|mock|demo)"
-#: Words that readable identifiers are made of.
+#: Words taken from the documents as a dictionary.
+WORDS = 3_000
+#: Words that readable identifiers are made of, also where nothing parts them.
 DICTIONARY = (
     "the and for with that this from not are was will have page file user name data test example sample index image item list "
     "order number value config default version build release commit branch docs path home server client local public private "
@@ -70,15 +74,35 @@ def has_candidates(text: Column) -> Column:
     return F.coalesce(text.rlike(CANDIDATE) | text.rlike(ASSIGNED) | text.rlike(URL) | text.rlike(PREFIXES) | text.contains("PRIVATE KEY"), F.lit(False))
 
 
+SPACE = r"[\x20\x09-\x0D]"
+#: Pieces whose word ends are summed at once.
+STRIDE = 256
+
+
 def _forms(text: Column, kind: str) -> Column:
-    """Structs (kind, at, candidate) of one pattern. Each match is taken with what is before it, so that lengths give places; \\G keeps the search for the last one linear."""
+    """Structs (kind, at, candidate) of one pattern. Each match is taken with what is before it; \\G keeps the search for the last one linear.
+
+    A candidate's word has the number of the words that end before it. Ends are counted in each piece once and summed over
+    whole strides first, so that very many matches in one text cost little more than few.
+    """
     pattern = FORMS[kind]
     flags = "(?is)" if pattern.startswith("(?i)") else "(?s)"
     pattern = flags + r"\G.*?" + pattern.removeprefix("(?i)")
     pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("c"))
-    at = lambda ps, i, x: F.size(sql_words(F.concat(F.substring(text, F.lit(1), F.aggregate(F.slice(ps, F.lit(1), i + 1), F.lit(0), lambda n, y: n + F.length(y["m"])) - F.length(x["c"])), F.lit("x")))) - 1
-    found = let(pieces, lambda ps: F.transform(ps, lambda x, i: F.struct(F.lit(kind).alias("kind"), at(ps, i, x).alias("at"), x["c"].alias("candidate"))))
-    return F.when(text.rlike(FORMS[kind]), found).otherwise(F.array().cast("array<struct<kind:string,at:int,candidate:string>>"))
+
+    def ends(ps: Column, i: Column, part: Column) -> Column:
+        """Ends of words in the beginning of piece i, the one that its first character marks included."""
+        open_ = F.coalesce(F.right(F.get(ps, i - 1)["m"], F.lit(1)).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)) & part.rlike("^" + SPACE)
+        return F.regexp_count(part, F.lit("(?<=[^\\x20\\x09-\\x0D])" + SPACE)) + open_.cast("int")
+
+    def placed(ps: Column) -> Column:
+        each = F.transform(ps, lambda x, i: F.struct(ends(ps, i, x["m"]).alias("all"), ends(ps, i, F.substring(x["m"], F.lit(1), F.length(x["m"]) - F.length(x["c"]))).alias("own"), x["c"].alias("c")))
+        total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, y: n + y)
+        sums = lambda es: F.transform(F.sequence(F.lit(0), F.floor(F.size(es) / STRIDE).cast("int")), lambda b: F.aggregate(F.slice(es, b * STRIDE + 1, F.lit(STRIDE)), F.lit(0), lambda n, y: n + y["all"]))
+        before = lambda es, ss, i: total(F.slice(ss, F.lit(1), F.floor(i / STRIDE).cast("int"))) + F.aggregate(F.slice(es, F.floor(i / STRIDE).cast("int") * STRIDE + 1, i % STRIDE), F.lit(0), lambda n, y: n + y["all"])
+        return let(each, lambda es: let(sums(es), lambda ss: F.transform(es, lambda x, i: F.struct(F.lit(kind).alias("kind"), (before(es, ss, i) + x["own"]).alias("at"), x["c"].alias("candidate")))))
+
+    return F.when(text.rlike(FORMS[kind]), let(pieces, placed)).otherwise(F.array().cast("array<struct<kind:string,at:int,candidate:string>>"))
 
 
 def _pem(text: Column, words: Column) -> Column:
@@ -97,18 +121,25 @@ def candidates(docs: DataFrame, path: Column) -> DataFrame:
     words = docs.where(has_candidates(text)).select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(path, F.lit("")).alias("path"), "text", sql_words(text).alias("w"))
     numbered = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].rlike(CANDIDATE))
     run = lambda x: F.transform(F.regexp_extract_all(x["word"], F.lit(CANDIDATE), F.lit(0)), lambda c: F.struct(F.lit("run").alias("kind"), x["at"].alias("at"), c.alias("candidate")))
-    forms = let(F.concat(_pem(text, F.col("w")), *[_forms(text, k) for k in ("prefix", "url", "assigned")]), lambda special: F.concat(
-        # the first form that has a candidate stands
-        F.filter(special, lambda x, i: ~F.exists(F.slice(special, F.lit(1), i), lambda y: (y["at"] == x["at"]) & (y["candidate"] == x["candidate"]))),
-        F.filter(F.flatten(F.transform(numbered, run)), lambda x: ~F.exists(special, lambda y: (y["at"] == x["at"]) & (y["candidate"] == x["candidate"]))),
-    ))
+    order = F.create_map(*[F.lit(x) for k, i in (("pem", 0), ("prefix", 1), ("url", 2), ("assigned", 3), ("run", 4)) for x in (k, i)])
+    every = F.concat(_pem(text, F.col("w")), *[_forms(text, k) for k in ("prefix", "url", "assigned")], F.flatten(F.transform(numbered, run)))
+    ordered = F.array_sort(F.transform(every, lambda x: F.struct(x["at"].alias("at"), x["candidate"].alias("candidate"), order[x["kind"]].alias("order"), x["kind"].alias("kind"))))
+    same = lambda x, y: (x["at"] == y["at"]) & (x["candidate"] == y["candidate"])
+    # the first form that has a candidate stands
+    forms = let(ordered, lambda xs: F.filter(xs, lambda x, i: ~F.coalesce(same(x, F.get(xs, i - 1)), F.lit(False))))
     hits = words.select("doc_id", "text_key", "path", "w", F.explode(forms).alias("x"))
     near = lambda k: F.coalesce(F.get("w", F.col("x.at") + k), F.lit(""))
     return hits.select("doc_id", "text_key", "path", F.col("x.at").alias("at"), near(0).alias("word"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"), "x.kind", "x.candidate")
 
 
-def featured(found: DataFrame) -> DataFrame:
-    """found with the columns FEATURES (doubles)."""
+def word_list(docs: DataFrame, size: int = WORDS) -> list[str]:
+    """The `size` most frequent words of plain small letters in all documents, counted before the shuffle; ties in the order of letters."""
+    each = docs.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"(?<![A-Za-z0-9_\-+/=])[a-z]{3,12}(?![A-Za-z0-9_\-+/=])"), F.lit(0))).alias("word"))
+    return sorted(r["word"] for r in each.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).collect())
+
+
+def featured(found: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """found with the columns FEATURES (doubles). words: a list of real words; letters of a candidate between other characters that are one count as covered."""
     c, n = F.col("candidate"), F.length("candidate")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
     flag = lambda x: x.cast("double")
@@ -118,6 +149,10 @@ def featured(found: DataFrame) -> DataFrame:
     p = lambda e, ends, i: (e - F.coalesce(F.get(ends, i - 1), F.lit(0))) / n
     bits = lambda q: -q * F.log2(q)
     entropy = let(F.col("_e"), lambda ends: F.aggregate(F.transform(ends, lambda e, i: bits(p(e, ends, i))), F.lit(0.0), lambda a, x: a + x))
+    covered = F.lit(0.0)
+    if words:
+        known = F.array(*map(F.lit, words))
+        covered = F.aggregate(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)), lambda x: F.array_contains(known, x)), F.lit(0), lambda a, x: a + F.length(x)) / n
     before = F.concat_ws(" ", "before2", "before", F.expr("substring_index(word, candidate, 1)"))
     return found.withColumns(
         {
@@ -130,7 +165,7 @@ def featured(found: DataFrame) -> DataFrame:
             "case_changes": share("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
             "distinct_share": F.size("_e") / n,
             "entropy": entropy,
-            "dictionary_share": 1 - F.length(F.regexp_replace(F.lower(c), "(?:" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")", "")) / n,
+            "dictionary_share": F.greatest(covered, 1 - F.length(F.regexp_replace(F.lower(c), "(?:" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")", "")) / n),
             "placeholder": flag(c.rlike(PLACEHOLDER)),
             "slashes": share("[/=+]"),
             "path_harmless": flag(F.col("path").rlike(PATHS)),
@@ -178,7 +213,7 @@ def judge(found: DataFrame, labelled: DataFrame, trees: int = TREES, depth: int
 
 def scan(docs: DataFrame, path: Column, labelled: DataFrame | None = None) -> DataFrame:
     """Findings with their verdict: doc_id, text_key, path, at, word, kind, candidate, FEATURES, probability, secret."""
-    found = cut(featured(candidates(docs, path)), "findings")  # few and small; labels over computed features would make plans too large
+    found = cut(featured(candidates(docs, path), word_list(docs)), "findings")  # few and small; labels over computed features would make plans too large
     clear = labelled is None
     if clear:
         some = found.withColumn("label", weak_label()).where("label IS NOT NULL")
@@ -193,12 +228,13 @@ def scan(docs: DataFrame, path: Column, labelled: DataFrame | None = None) -> Da
 def redact(docs: DataFrame, path: Column, labelled: DataFrame | None = None, mask: str = "[SECRET]") -> DataFrame:
     """docs with the secrets in `text` replaced. Only texts that have candidates are shuffled."""
     has = has_candidates(F.col("text"))
+    at, secrets = unused(docs, "key", "found")
     key = [F.xxhash64("text").alias("text_key"), F.coalesce(path, F.lit("")).alias("path")]
     found = scan(docs, path, labelled).where("secret").groupBy("text_key", "path")
-    found = found.agg(F.array_sort(F.collect_set(F.struct((-F.length("candidate")).alias("n"), F.col("candidate").alias("c"), F.col("kind").alias("k")))).alias("_found"))
-    some = docs.where(has).withColumn("_key", F.struct(*key)).join(found.withColumn("_key", F.struct("text_key", "path")).select("_key", "_found"), "_key", "left")
+    found = found.agg(F.array_sort(F.collect_set(F.struct((-F.length("candidate")).alias("n"), F.col("candidate").alias("c"), F.col("kind").alias("k")))).alias(secrets))
+    some = docs.where(has).withColumn(at, F.struct(*key)).join(found.withColumn(at, F.struct("text_key", "path")).select(at, secrets), at, "left")
     none = F.expr("cast(array() as array<struct<n:int,c:string,k:string>>)")
-    text = F.aggregate(F.coalesce("_found", none), F.col("text"), lambda t, x: _masked(t, x["c"], x["k"], mask))
+    text = F.aggregate(F.coalesce(secrets, none), F.col("text"), lambda t, x: _masked(t, x["c"], x["k"], mask))
     return some.withColumn("text", text).select(docs.columns).unionByName(docs.where(~has))
 
 

@@ -339,6 +339,32 @@ def test_secret_forms(spark):
     assert {i: out[i] for i in plain} == plain
 
 
+def test_secrets_in_long_texts(spark):
+    """Rulers, letter runs and very many assignments of a megabyte each take seconds; places stay right."""
+    began = time.monotonic()
+    many = "token = a1b2c3 word " * 2_000
+    rows = [(1, "a" * 1_000_000), (2, "=" * 1_000_000), (3, "eyJ-" * 250_000), (4, ("x" * 15 + " ") * 60_000), (5, many), (6, "://a:" * 100_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    found = secret_scan.candidates(docs, F.col("source")).where("doc_id = 5").collect()
+    assert sorted(r["at"] for r in found) == [4 * k + 2 for k in range(2_000)] and {r["candidate"] for r in found} == {"a1b2c3"}
+    assert secret_scan.candidates(docs, F.col("source")).where("doc_id < 5").count() == 0
+    assert time.monotonic() - began < 60
+
+
+def test_secrets_learn_from_labels(spark):
+    """With a labelled table the forest alone decides: here tokens of capitals are secrets, those of small letters are not."""
+    rng = random.Random(7)
+    token = lambda letters: "".join(rng.choice(letters + "0123456789") for _ in range(24))
+    rows = [(i, f"some {token('ABCDEFGHJK' if i % 2 else 'abcdefghjk')} here", "en", "s", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labelled = secret_scan.featured(secret_scan.candidates(docs.where("doc_id < 200"), F.col("source"))).withColumn("label", (F.col("doc_id") % 2).cast("double"))
+    got = {r["doc_id"]: r["secret"] for r in secret_scan.scan(docs.where("doc_id >= 200"), F.col("source"), labelled).collect()}
+    assert len(got) == 100 and all(s == (i % 2 == 1) for i, s in got.items())
+    clash = docs.withColumns({"key": F.lit(1), "found": F.lit(2), "_found": F.lit(3), "_key": F.lit(4)})
+    out = secret_scan.redact(clash, F.col("source"), labelled)
+    assert out.columns == clash.columns and out.where("text LIKE '%[SECRET]%' AND key + found + _found + _key = 10").count() == 150
+
+
 def test_packing(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
