@@ -204,6 +204,10 @@ def test_neighbours(spark):
         hit += len({a for a, _ in out[q]} & set(best.tolist()))
         assert len(out[q]) == 5 and all(abs(s[a] - b) < 1e-9 for a, b in out[q])
     assert hit >= 0.9 * 60 and [a for a, _ in out[100]] == [101, 102, 103, 104, 105] and 750 not in out and not out[800]
+    sizes = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [3.0, 3.0]), (3, [0.0, -5e-324]), (4, [1e200, 1e200])]
+    odd = neighbours.usable(spark.createDataFrame(sizes, "vec_id long, embedding array<double>"), F.col("vec_id"), F.col("embedding"))
+    far = [(r["query_id"], r["vec_id"], round(r["score"], 12)) for r in neighbours.nearest(odd, F.col("vec_id") == 0, k=5).orderBy("rank").collect()]
+    assert far == [(0, 2, 1.0), (0, 4, 1.0), (0, 1, round(0.5**0.5, 12)), (0, 3, -round(0.5**0.5, 12))]
     few = v.where("vec_id in (0, 1, 2)")
     assert neighbours.nearest(few, F.col("vec_id") == 0).count() == 2
     assert neighbours.nearest(v.limit(0), F.lit(True)).count() == 0
