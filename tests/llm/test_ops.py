@@ -263,15 +263,36 @@ def test_class_probabilities_sum_to_one(spark):
     prefix = "a "
     rows = [(i, prefix + w) for i, w in enumerate(vocab)] + [(99, "a")]
     score = {r["doc_id"]: r["score"] for r in class_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), counts, model, "doc_id").collect()}
-    k = model["log_next"]
-    assert np.allclose((10**k).sum(1), 1)
+    assert np.allclose((10 ** model["log_next"]).sum(1), 1)
     emission = collections.defaultdict(float)
     n = collections.Counter([*text.split(), ""])
-    place = {w.decode(): i for i, w in enumerate(model["words"])}
+    place = {w.decode(): i for i, w in enumerate(model["words"])} | {"": len(model["words"])}
+    of = lambda w: int(model["cls"][place.get(w, -1)])
     for w in [*n, None]:
-        cls = model["cls"][model["m"] + 1] if w == "" else model["cls"][place[w]] if w in place and place[w] < model["m"] else model["tail"]
-        emission[int(cls)] += (n[w] + 1) / 10 ** model["log_room"][cls] if w is not None else 1 / 10 ** model["log_room"][cls]
+        emission[of(w)] += (n[w] + 1) / 10 ** model["log_room"][of(w)]
     assert all(abs(x - 1) < 1e-9 for x in emission.values()) and all(s < 0 for s in score.values())
+    # brute force: transitions counted over all tokens, every token's share of its class
+    trained = [*text.split(), ""]
+    k = len(model["log_next"])
+    pairs = np.full((k, k), class_lm.ADD_CLASS)
+    for x, y in zip(["", *trained], trained):
+        pairs[of(x), of(y)] += 1
+    for i, t in rows:
+        got, before = 0.0, ""
+        for w in [*t.split(), ""]:
+            got += math.log10(pairs[of(before), of(w)] / pairs[of(before)].sum()) + math.log10(n[w] + 1) - model["log_room"][of(w)]
+            before = w
+        assert score[i] == pytest.approx(got)
+
+
+def test_head_words_join_the_class_of_their_company(spark):
+    """Words beyond the seeds go where words in the same company are."""
+    rng = random.Random(4)
+    nouns, verbs = [f"n{i}" for i in range(30)], [f"v{i}" for i in range(30)]
+    rows = [(i, " ".join(x for _ in range(20) for x in (rng.choice(nouns), rng.choice(verbs)))) for i in range(150)]
+    _, model = class_lm.train(spark.createDataFrame(rows, "doc_id long, text string"), clustered=20, classes=2, head=60)
+    cls = {w.decode(): int(c) for w, c in zip(model["words"], model["cls"])}
+    assert len({cls[w] for w in nouns}) == 1 and len({cls[w] for w in verbs}) == 1 and cls["n0"] != cls["v0"]
 
 
 def test_exchange_raises_likelihood():
@@ -427,6 +448,25 @@ def test_mixing(spark, docs, empty):
     assert p[0] + p[1] == pytest.approx(0.3) and p[0] + p[2] == pytest.approx(0.6)
 
 
+def test_mixing_topics_clashes_and_cells(spark):
+    """Topics follow the words; sampling follows the probabilities; clashing columns, null topics and very many sources are handled."""
+    rng = random.Random(3)
+    vocab = [[f"{k}{i}" for i in range(40)] for k in ("sea", "law", "oven")]
+    rows = [(i, " ".join(rng.choice(vocab[i % 3]) for _ in range(60)), "en", f"s{i % 40}", 60) for i in range(900)]
+    rows += [(i + 2000, None if i else "", None, None, 1) for i in range(2)]
+    d = spark.createDataFrame(rows, DOCS).withColumns({"probability": F.lit("x"), "s": F.lit("kept"), "topic": F.lit(1)})
+    got = mixing.mix(d).collect()
+    by = collections.defaultdict(collections.Counter)
+    for r in got:
+        by[r["topic"]][r["doc_id"] % 3 if r["doc_id"] < 2000 else "none"] += 1
+    assert sum(max(c.values()) for c in by.values()) >= 0.95 * len(rows) and set(by["none"]) == {"none"} and {r["s"] for r in got} == {"kept"}
+    kept = sum(r["sampled"] for r in got if r["n_tokens"])
+    want = sum(r["probability"] for r in got if r["n_tokens"])
+    assert abs(kept - want) < 4 * math.sqrt(sum(r["probability"] * (1 - r["probability"]) for r in got) + 1)
+    some = mixing.mix(d, topic=F.when(F.col("doc_id") % 2 == 0, "even"), max_cells=20).collect()
+    assert len(some) == len(rows) and sum(r["n_tokens"] * r["probability"] for r in some) == pytest.approx(mixing.KEEP * 54_000)
+
+
 def test_mixing_tiny_source(spark):
     """One short document of a new source neither lowers what is kept of large sources, nor does growth of these."""
     text = "one two three four five six seven eight nine ten " * 10
