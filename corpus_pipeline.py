@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; the last gives pieces of
 token sequences. run() writes each stage's result to the shared folder and reads it again.
+
+Defined results: stages take documents with the columns doc_id, text, lang, source and n_chars, each of which may be null, and
+ignore others; repeated rows become one at the second stage, as do copies without id; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: The forest, the raking and the tokenizer are beyond SQL; tests compare stages with brute force.
+#: The forest, the raking and the tokenizer are beyond SQL; tests compare the first, second and fifth with brute force and check the others on small tables.
 ORACLE_SQL = None
 
 

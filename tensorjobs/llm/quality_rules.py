@@ -5,7 +5,8 @@ bits, and ablations are counts over distinct masks. Built-in functions only, no
 (tiny) aggregation by mask.
 
 Defined results: a null or blank text has no words, so it fails `too_few_words`; repeated rows are
-judged alike; other columns pass through `ledger` unless their names clash, then the ledger's wins.
+judged alike; texts of any length are measured whole; other columns pass through `ledger` unless they are called like a
+measure or `failed`, then the ledger's wins; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, sql_words, table
+from .common import let, sql_words, table, unused
 
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "longest_word")
@@ -104,8 +105,9 @@ def measures(text: Column) -> Column:
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with MEASURES and `failed` (long): bit r.bit is set where rule r fails."""
     kept = [c for c in docs.columns if c not in (*MEASURES, "failed")]
+    m = unused(docs, "_m")[0]
     bits = [f"shiftleft(cast(coalesce({r.fails}, false) as bigint), {r.bit})" for r in rules]
-    measured = docs.select(*kept, measures(F.col("text")).alias("_m")).select(*kept, "_m.*")
+    measured = docs.select(*kept, measures(F.col("text")).alias(m)).select(*kept, f"`{m}`.*")
     return measured.withColumn("failed", F.expr(" | ".join(bits)))
 
 

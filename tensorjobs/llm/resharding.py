@@ -2,11 +2,15 @@
 
 Documents of an old shard fall into blocks by a hash of their id and text. A flow from old shard
 sizes to new capacities, at a cost of 1 per byte that changes shard, says how many bytes go where;
-blocks then realise the flow. Only block sizes (old shards x blocks rows, whatever the data) reach
+blocks then realise the flow. As blocks are whole, each flow between two shards is met up to a block, and evening out
+the shards moves a few more: `moved_bytes` tells the bytes moved and the least that the flow asks for. Only block sizes (old shards x blocks rows, whatever the data) reach
 the driver, and no text is shuffled.
 
 Defined results: a null text has size 1 and no crc; null ids hash like any value, repeated rows are
-placed one by one; an empty table gives an empty result.
+placed one by one, but rows with one id and text share a block; equal texts are not kept together (under the law `bytes`
+only sizes count, and copies of one text may be a third of all rows); ties in size go to the smaller shard, then block;
+texts of any length count whole, and one that is larger than a shard's share fills its shard alone; other columns are
+ignored by `plan` and kept by `rewrite`, whose column shard replaces one of that name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -139,6 +143,16 @@ def plan(docs: DataFrame, old: Column, n_shards: int, blocks: int = BLOCKS, capa
     return placed, transfers.drop("first_slot")
 
 
+def moved_bytes(transfers: DataFrame, n_shards: int, capacities: list[int] | None = None) -> tuple[int, int]:
+    """(bytes that the transfers move, the least that meeting the capacities exactly moves)."""
+    by = transfers.groupBy("old_shard").agg(F.sum("n_bytes").alias("n"), F.sum(F.when(F.col("old_shard") != F.col("shard"), F.col("n_bytes")).otherwise(0)).alias("moved")).orderBy("old_shard").collect()
+    total = sum(r["n"] for r in by)
+    capacities = capacities or [(total + i) // n_shards for i in range(n_shards)]
+    cost = [[int(r["old_shard"] != j) for j in range(n_shards)] for r in by]
+    flow = min_cost_flow([r["n"] for r in by], capacities, cost) if by else np.zeros((0, n_shards))
+    return sum(r["moved"] for r in by), int(sum(f * c for row, costs in zip(flow, cost, strict=True) for f, c in zip(row, costs, strict=True)))
+
+
 def rewrite(docs: DataFrame, transfers: DataFrame, old: Column, path: str, blocks: int = BLOCKS) -> list[int]:
     """Write the shards that lose or gain a block, as path/shard=J; returns their numbers. Others keep their files."""
     at = F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(blocks)).cast("int")

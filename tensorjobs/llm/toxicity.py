@@ -8,7 +8,8 @@ Training reads a bounded sample of labelled rows (SAMPLE, the smallest hashes of
 every text. Defined results: a null or empty text has only the constant feature; documents and labels
 with null ids or labels are not learned from; a document with several labels counts as toxic if one says
 so; without any labelled row the score is 0.5 times nothing learned, that is 0.5, and with labels of one
-class it tends to that class.
+class it tends to that class; rows that repeat an id are learned from and scored one by one; texts of any length are taken
+whole; columns that are not asked for are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -41,7 +41,7 @@ def sample(n=60, seed=0):
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(sample(), DOCS).withColumn("failed", F.lit("clash"))
+    return spark.createDataFrame(sample(), DOCS).withColumns({"failed": F.lit("clash"), "_m": F.lit(1)})
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,7 @@ def empty(spark):
 
 def test_quality(spark, docs, empty):
     texts = {"a b " * 30: None, "x": None}
-    out = quality_rules.ledger(docs.unionByName(spark.createDataFrame([(900 + i, t, "en", "s", 1, "z") for i, t in enumerate(texts)], [*docs.columns])))
+    out = quality_rules.ledger(docs.unionByName(spark.createDataFrame([(900 + i, t, "en", "s", 1, "z", 1) for i, t in enumerate(texts)], [*docs.columns])))
     for r in out.collect():
         w = words(r["text"])
         c = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
@@ -232,6 +232,16 @@ def test_resharding(spark, docs, empty, tmp_path):
     load = [sum(r["size"] for r in g) for g in by.values()]
     assert max(load) - min(load) <= max(r["size"] for r in rows)
     assert all(sorted(r["slot"] for r in g) == list(range(len(g))) for g in by.values())
+    # brute force: every row's shard by its own arithmetic, and hardly more bytes moved than the flow needs
+    assert all(r["text_crc32"] == (None if t is None else zlib.crc32(t.encode())) and r["size"] == len((t or "").encode()) + 1 for r, t in zip(sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["size"])), [t for _, t, *_ in sorted(texts, key=lambda r: (r[0] is None, r[0], len((r[1] or "").encode())))], strict=True))
+    bytes_moved, least = resharding.moved_bytes(transfers, 4)
+    largest = max(r["n_bytes"] for r in transfers.collect())
+    supply = collections.Counter()
+    for r in rows:
+        supply[r["old_shard"]] += r["size"]
+    share = sum(supply.values()) / 4
+    assert abs(least - (sum(supply.values()) - sum(min(s, share) for s in supply.values()))) < 8 and abs(bytes_moved - least) <= 4 * largest
+    assert sum(r["size"] for r in rows if r["old_shard"] != r["shard"]) == bytes_moved
     moved = resharding.rewrite(docs, transfers, old, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == sum(len(by[j]) for j in moved)
     assert resharding.plan(empty, old, 4)[0].count() == 0
@@ -397,7 +407,7 @@ def test_packing(spark, docs, empty):
     file = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(file)
     odd = ["It's THE end., ok", "á H̱.", "x<|endoftext|>Y <|ENDOFTEXT|>", "tab\x1csep nbsp line.", "...,, a.b, c,", "word " * 5000, "('s 'S it's, don't've (a)b[c]3.4,5é,É. ''re a'b", "a≮b ≠", "3.14,\"x\"y", "x|>y<|z"]
-    more = spark.createDataFrame([(800 + i, x, "en", "s", 1, "z") for i, x in enumerate(odd)], docs.columns)
+    more = spark.createDataFrame([(800 + i, x, "en", "s", 1, "z", 1) for i, x in enumerate(odd)], docs.columns)
     rows = packing.pack(docs.unionByName(more), file, with_ids=True).collect()
     assert len({r["sequence_id"] for r in rows}) == len(rows) and all(r["length"] == 1 << r["bucket"] and r["offset"] == 0 for r in rows)
     texts = {800 + i: x for i, x in enumerate(odd)} | {i: x for i, x, *_ in sample() if i != 5}
@@ -504,7 +514,7 @@ def test_mixing_calibration():
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
-    d = docs.drop("failed")
+    d = docs.drop("failed", "_m")
     kept = quality_rules.stage(spark, d, SF)
     assert sorted(kept.columns) == sorted(d.columns)
     want = {i for i, t, *_ in sample() if len(words(t)) >= 20}
@@ -524,3 +534,70 @@ def test_ngram_stage_repeated_and_missing_ids(spark):
     got = [(r["doc_id"], r["text"]) for r in ngram_join.stage(spark, docs, SF).collect()]
     want = [(1, text("a")), (2, text("b")), (2, text("c")), (None, text("d")), (7, "short"), (7, "brief"), (8, None)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_registered_queries(spark, tmp_path):
+    """The opN_ functions themselves: columns, held-out rows, flags and laws over a small table with awkward rows."""
+    from tensorjobs.llm import registry
+
+    rng = random.Random(9)
+    texts = sample(80)
+    spark.createDataFrame(texts, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(80)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(16)], 0) for i in range(120)] + [(200, None, 0)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    run = lambda name: registry.queries()[name](spark, str(tmp_path))
+    crc = lambda i, n: i is not None and zlib.crc32(str(i).encode()) % n == 2
+    rows = run("op2_toxicity").collect()
+    assert len(rows) == len(texts) and all(r["held_out"] == crc(r["doc_id"], 4) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    # brute force: the same learner over the same rows in the same order, in plain Python
+    order = [r["doc_id"] for r in spark.createDataFrame([(i,) for i in range(80) if not crc(i, 4)], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    cache = common.word_hash(toxicity.CleanHash)
+    of = collections.defaultdict(list)
+    for i, t, *_ in texts:
+        of[i].append(t)
+    learn = [(toxicity.features(cache, None if t is None else t.encode()), int(i % 5 == 0)) for i in order for t in of[i]]
+    w = toxicity.fit(learn)
+    score = lambda t: 1 / (1 + math.exp(-w[toxicity.features(cache, (t or "").encode())].sum()))
+    got = {r["doc_id"]: r["score"] for r in rows}
+    assert all(got[i] == pytest.approx(score(of[i][0]), abs=1e-3) for i in range(80) if i != 5)
+    rows = run("op1_quality_rules").collect()
+    assert all(r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) and not (r["base_failed"] and r["kept"]) for r in rows)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in run("op3_ngram_join").collect()), key=repr) == sorted(brute_components(texts), key=repr)
+    rows = run("op4_neighbours").collect()
+    x = np.array([v for _, v, _ in vectors[:120]], np.float32).astype(float)
+    for q in (0, 50, 100):
+        s = x @ x[q] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q])
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in rows if r["query_id"] == q)
+        assert [m[0] for m in mine] == [1, 2, 3, 4, 5] and all(m[1] != q and m[2] == pytest.approx(s[m[1]], abs=1e-12) for m in mine)
+    rows = run("op5_resharding").collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert len(rows) == len(texts) and all(sorted(v) == list(range(len(v))) for v in by.values()) and {(r["law"], r["grown_shard"]) for r in rows} == {("bytes", None)} and set(by) <= set(range(8))
+    rows = run("op6_class_lm").collect()
+    assert len(rows) == len(texts) and all(r["held_out"] == crc(r["doc_id"], 7) and r["score"] < 0 and r["train_tokens"] == rows[0]["train_tokens"] for r in rows)
+    assert rows[0]["train_tokens"] == sum(len(words(t)) + 1 for i, t, *_ in texts if not crc(i, 7))
+    assert sum(r["n_tokens"] for r in rows) == sum(len(words(t)) + 1 for _, t, *_ in texts)
+    assert {"doc_id", "at", "candidate_sha256", "length", "probability", "secret"} == set(run("op7_secret_scan").columns)
+    rows = run("op8_packing").collect()
+    assert all(r["start"] + r["length"] <= r["doc_tokens"] and r["offset"] == 0 for r in rows)
+    rows = run("op9_substring_dedup").collect()
+    assert sum(r["n_words"] for r in rows) == sum(len(words(t)) for _, t, *_ in texts)
+    rows = run("op10_mixing").collect()
+    assert len(rows) == len(texts) and all(0 <= r["probability"] <= 1 for r in rows)
+
+
+def test_stages_handle_nulls_and_empty_tables(spark, docs, empty):
+    """Every stage on awkward rows and on none: the columns of documents, nothing made up."""
+    import corpus_pipeline
+
+    d = docs.drop("failed", "_m")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, d, SF)
+        assert sorted(out.columns) == sorted(d.columns), name
+        assert out.select("doc_id").subtract(d.select("doc_id")).count() == 0 and stage(spark, empty, SF).count() == 0
+    texts = collections.Counter((r["doc_id"], r["text"]) for r in secret_scan.stage(spark, d, SF).collect())
+    assert texts == collections.Counter((i, t) for i, t, *_ in sample())  # no secrets there: unchanged
+    assert packing.stage(spark, empty, SF).count() == 0
