@@ -200,18 +200,18 @@ def range_check_divisor(df: DataFrame, spec: list[dict]) -> DataFrame:
     return row.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
-#: Which operand types go together, and what they give. float goes with every numeric type.
+#: Operand types and operation that go together, and what they give. float goes with every type in any operation.
 TYPE_RESULTS = [
-    ("float", "float", "float"), ("currency", "currency", "currency"), ("currency", "ratio", "currency"), ("ratio", "currency", "currency"),
-    ("ratio", "ratio", "ratio"), ("count", "count", "count"), ("currency", "count", "currency"), ("count", "currency", "currency"),
-    ("bool", "bool", "bool"), ("category", "category", "category"), ("embedding", "embedding", "embedding"), ("probability", "probability", "probability"),
+    ("currency", "ratio", "multiply", "currency"), ("ratio", "currency", "multiply", "currency"), ("currency", "currency", "add", "currency"),
+    ("currency", "currency", "subtract", "currency"), ("currency", "count", "divide", "currency"), ("ratio", "ratio", "add", "ratio"),
+    ("ratio", "ratio", "subtract", "ratio"), ("count", "count", "add", "count"), ("count", "count", "subtract", "count"), ("count", "count", "multiply", "count"),
 ]
 
 
 def type_check(ops: DataFrame) -> DataFrame:
-    """ops(left_type, right_type, ...) with safe and result_type; float promotes to the other side."""
-    table = ops.sparkSession.createDataFrame(TYPE_RESULTS, "left_type string, right_type string, known string")
-    joined = ops.join(F.broadcast(table), ["left_type", "right_type"], "left")
+    """ops(left_type, right_type, op, ...) with safe and result_type; float promotes to the other side, what is not safe gives float."""
+    table = ops.sparkSession.createDataFrame(TYPE_RESULTS, "left_type string, right_type string, op string, known string")
+    joined = ops.join(F.broadcast(table), ["left_type", "right_type", "op"], "left")
     promoted = F.when(F.col("left_type") == "float", F.col("right_type")).when(F.col("right_type") == "float", F.col("left_type"))
     result = F.coalesce("known", promoted)
-    return joined.withColumns({"safe": result.isNotNull(), "result_type": result}).drop("known")
+    return joined.withColumns({"safe": result.isNotNull(), "result_type": F.coalesce(result, F.lit("float"))}).drop("known")

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,37 +112,70 @@ def golden_check(actual: DataFrame, golden: DataFrame, programs: DataFrame, tol:
     return per.select("key", F.coalesce("m.f", F.lit("ok")).alias("status"), "m.vector", "m.output")
 
 
-_COMPARE = re.compile(r"^\s*(?:CMPI|CMPF)\s+\S+\s+\S*?#?(-?[\d.]+)", re.I)
-_LOAD = re.compile(r"^\s*(?:LEAF|LDI)\s+(\S+)\s+#?(-?[\d.]+(?:e-?\d+)?)", re.I)
-_STATUS = re.compile(r"^\s*;?\s*status[:\s]+(\w+)", re.I)
+#: Filing statuses by the number programs compare with, and the jump from which a gate opens a branch of brackets.
+STATUSES = {1.5: "single", 2.5: "mfj", 3.5: "mfs", 4.5: "hoh"}
+BRANCH_JUMP = 5
 
 
 def extract_rate_structure(programs: DataFrame) -> DataFrame:
-    """(key, status, idx, threshold, rate, cumulative, line) from program text, one program at a time.
+    """(key, kind, status, idx, threshold, rate, cumulative, amount, line) of symbolic programs(key, text); kind: bracket, flat or deduction.
 
-    A comment 'status: NAME' opens a branch; in a branch each comparison value is a threshold, and the two loads
-    after it are the amount at the threshold and the rate above it.
+    A comparison of the status followed by a jump is a gate. Gates that jump far open a branch of their status, up to the next such
+    gate; the last one's branch is as long as its jump, and what follows it up to a store or the end belongs to the default branch. Without
+    them the program is one branch, 'unknown'. A branch's brackets are its first rate from zero, and the loads of an amount and a
+    threshold with the rate in the three lines after them; without brackets its flat rate counts. Deductions are loads between the
+    first short gate and the branches. Windows over a program's lines; programs are small.
     """
-    names = ["key", "status", "idx", "threshold", "rate", "cumulative", "line"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for key, text in zip(pdf.key, pdf.text.fillna(""), strict=True):
-                status, idx, threshold, loads, at = "", 0, None, [], 0
-                for line, s in enumerate(text.splitlines(), 1):
-                    if m := _STATUS.match(s):
-                        status, idx, threshold, loads = m[1], 0, None, []
-                    elif m := _COMPARE.match(s):
-                        threshold, loads, at = float(m[1]), [], line
-                    elif threshold is not None and (m := _LOAD.match(s)):
-                        loads.append(float(m[2]))
-                        if len(loads) == 2:
-                            out.append((key, status, idx, threshold, loads[1], loads[0], at))
-                            idx, threshold = idx + 1, None
-            yield pd.DataFrame(out, columns=names)
-
-    return programs.select("key", "text").mapInPandas(run, "key string, status string, idx int, threshold double, rate double, cumulative double, line int")
+    rows = programs.select("key", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n")).alias("pos", "s")).withColumn("s", F.trim(F.regexp_replace("s", r"\s+", " "))).where("s <> ''")
+    w, whole = Window.partitionBy("key").orderBy("pos"), Window.partitionBy("key")
+    words = F.split("s", " ")
+    code = rows.select("key", (F.col("pos") + 1).alias("line"), "pos", F.get(words, F.lit(0)).alias("op"), F.slice(words, 2, 100).alias("a"))
+    arg = lambda i, a="a": F.get(F.col(a), F.lit(i))
+    number = lambda x: F.when(x.rlike(r"^#[^\[]"), F.substring(x, 2, 100).try_cast("double"))
+    code = code.withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(whole)})
+    code = code.withColumns({f"{c}{k}": F.lead(c, k).over(w) for k in (1, 2, 3, 4) for c in ("op", "a")})
+    named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STATUSES.items() for x in kv]), number(arg(3))), F.lit("unknown"))
+    gate = (F.col("op") == "⋈") & (arg(0) == "φ") & (arg(1) == "κ") & number(arg(3)).isNotNull() & (F.col("op1") == "↘") & number(arg(0, "a1")).isNotNull()
+    jump = number(arg(0, "a1")).cast("int")
+    code = code.withColumns({"far": F.when(gate & (jump >= BRANCH_JUMP), F.struct("i", named.alias("status"), jump.alias("jump"))), "near": F.when(gate & (jump < BRANCH_JUMP), F.col("i"))})
+    code = code.withColumns({"at": F.last("far", True).over(w), "end": F.max(F.col("far.i")).over(whole), "first": F.min(F.col("far.i")).over(whole), "married": F.max(F.col("far.status") == "mfj").over(whole), "short": F.min("near").over(whole)})
+    begin = F.col("at.i") + 2
+    after = (F.col("at.i") == F.col("end")) & (F.col("i") >= begin + F.col("at.jump"))
+    stop = F.max(F.when(after & F.col("op").isin("↑", "◼"), 1)).over(w)
+    code = code.withColumns({"after": F.coalesce(after, F.lit(False)), "stop": stop})
+    status = (
+        F.when(F.col("end").isNull(), "unknown")
+        .when(F.col("after") & F.col("stop").isNull(), F.when(F.col("married"), "hoh").otherwise("default"))
+        .when(~F.col("after") & (F.col("i") >= begin), F.col("at.status"))
+    )
+    branch = F.struct(F.coalesce("at.i", F.lit(-1)).alias("i"), "after")
+    code = code.withColumns({"status": status, "branch": F.when(status.isNotNull(), branch)})
+    inside = Window.partitionBy("key", "branch").orderBy("i")
+    body = code.where("status IS NOT NULL").withColumns({f"same{k}": F.lead("i", k).over(inside).isNotNull() for k in (1, 2, 3, 4)})
+    rated = lambda k: F.col(f"same{k}") & (F.col(f"op{k}") == "∗") & (F.size(f"a{k}") >= 3) & number(arg(2, f"a{k}")).isNotNull()
+    base = (F.col("op") == "∗") & (arg(0) == "α") & (arg(1) == "π") & number(arg(2)).isNotNull()
+    flat = (F.col("op") == "∗") & (arg(0) == "γ") & (arg(1) == "ι") & number(arg(2)).isNotNull()
+    higher = (F.col("op") == "∎") & (arg(0) == "α") & number(arg(1)).isNotNull() & F.col("same1") & (F.col("op1") == "∎") & (arg(0, "a1") == "γ") & number(arg(1, "a1")).isNotNull()
+    rate = F.coalesce(*[F.when(rated(k), number(arg(2, f"a{k}"))) for k in (2, 3, 4)], F.lit(0.0))
+    zero = F.lit(0.0)
+    found = body.withColumn(
+        "x",
+        F.when(base, F.struct(F.lit("bracket").alias("kind"), F.lit(0).alias("order"), zero.alias("threshold"), number(arg(2)).alias("rate"), zero.alias("cumulative")))
+        .when(flat, F.struct(F.lit("flat").alias("kind"), F.lit(0).alias("order"), F.lit(None).cast("double").alias("threshold"), number(arg(2)).alias("rate"), F.lit(None).cast("double").alias("cumulative")))
+        .when(higher, F.struct(F.lit("bracket").alias("kind"), F.lit(1).alias("order"), number(arg(1, "a1")).alias("threshold"), rate.alias("rate"), number(arg(1)).alias("cumulative"))),
+    ).where("x IS NOT NULL").select("key", "branch", "status", "i", "line", "x.*")
+    nth = F.row_number().over(Window.partitionBy("key", "branch", "kind", "order").orderBy("i"))
+    brackets = F.count_if(F.col("kind") == "bracket").over(Window.partitionBy("key", "branch"))
+    found = found.withColumns({"nth": nth, "brackets": brackets}).where("(order = 1 OR nth = 1) AND (kind = 'bracket' OR brackets = 0)")
+    place = F.row_number().over(Window.partitionBy("key", "branch", "kind").orderBy("threshold", "order", "i")) - 1
+    none = F.lit(None).cast("double")
+    found = found.select("key", "kind", "status", place.alias("idx"), "threshold", "rate", "cumulative", none.alias("amount"), "line")
+    region = code.where((F.col("i") >= F.col("short")) & (F.col("i") < F.coalesce("first", F.least(F.col("short") + 30, "n"))))
+    event = F.when((F.col("op") == "⋈") & (arg(1) == "κ") & number(arg(3)).isNotNull(), F.struct(named.alias("s"))).when(F.col("op") == "→", F.struct(F.lit(None).cast("string").alias("s")))
+    amount = F.when((F.col("op") == "∎") & (arg(0) == "γ") & (number(arg(1)) > 0), number(arg(1)))
+    region = region.select("key", "i", "line", F.coalesce(F.last(event, True).over(Window.partitionBy("key").orderBy("i"))["s"], F.lit("default")).alias("status"), amount.alias("amount")).where("amount IS NOT NULL")
+    one = region.withColumn("nth", F.row_number().over(Window.partitionBy("key", "status").orderBy("i"))).where("nth = 1")
+    return found.unionByName(one.select("key", F.lit("deduction").alias("kind"), "status", F.lit(0).alias("idx"), none.alias("threshold"), none.alias("rate"), none.alias("cumulative"), "amount", "line"))
 
 
 def semantic_checks(inputs: DataFrame, used: DataFrame, outputs: DataFrame, statuses: DataFrame, required: DataFrame) -> DataFrame:

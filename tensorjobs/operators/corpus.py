@@ -53,15 +53,24 @@ def content_hash(text: Column) -> Column:
 
 
 def dedup_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row by `order` of each key. Only (key, order) is compared before the texts are joined back."""
-    rows = df.withColumn("_key", key)
-    first = rows.groupBy("_key").agg(F.min(F.struct(*order)).alias("_o")).select("_key", "_o.*")
-    return rows.join(first, ["_key", *order], "left_semi").drop("_key")
+    """The first row by `order` (nulls first) of each key, a null key being one. Only (key, order) is compared before the texts are joined back."""
+    rows = df.withColumns({"_key": key, "_order": F.struct(*order)})
+    first = rows.groupBy("_key").agg(F.min("_order").alias("_first")).withColumnRenamed("_key", "_of")
+    same = F.col("_key").eqNullSafe(F.col("_of")) & F.col("_order").eqNullSafe(F.col("_first"))
+    return rows.join(first, same, "left_semi").drop("_key", "_order")
+
+
+#: Words of a vocabulary that become a literal array.
+LITERAL = 1_000
 
 
 def coverage(records: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
     """(word, n): records in which each vocabulary word occurs, once per record; words that never occur have 0."""
-    words = records.select(F.explode(F.array_distinct(F.split(F.coalesce(text, F.lit("")), r"(?U)\W+"))).alias("word"))
+    each = F.array_distinct(F.split(F.coalesce(text, F.lit("")), r"(?U)\W+"))
+    known = [r["word"] for r in vocabulary.select("word").distinct().limit(LITERAL + 1).collect()]
+    if len(known) <= LITERAL:  # few enough to be looked for in each text before its words become rows
+        each = F.array_intersect(each, F.array(*map(F.lit, known)).cast("array<string>"))
+    words = records.select(F.explode(each).alias("word"))
     found = words.join(vocabulary.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     return vocabulary.select("word").distinct().join(found, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -93,7 +102,7 @@ def split_80_10_10(df: DataFrame, key: Column, seed: int = 42, anchor: Column |
 
 
 def split_exact(df: DataFrame, key: Column, shares: tuple[float, ...] = (0.8, 0.1), names: tuple[str, ...] = ("train", "valid", "test"), seed: int = 42) -> DataFrame:
-    """df with split of exact sizes int(n * share), the rest last. Cut points come from quantile buckets of the hash; only the buckets with a cut are ranked."""
+    """df with split of exact sizes int(n * share), the rest last. Each of 1000 buckets of the hash knows how many rows lie below it; rows are ranked within their bucket."""
     from pyspark.sql import Window
 
     buckets = 1000

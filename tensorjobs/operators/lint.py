@@ -93,35 +93,53 @@ def lint_lines(programs: DataFrame, arity: DataFrame, jumps: list[str], halt: li
 
 
 def suggest_word(unknown: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(word, suggestion): the nearest vocabulary word by edit distance, at most 2 for words of 4 letters or less, else 3; the first of equals.
+    """(word, suggestion): the nearest vocabulary word by edit distance, at most 2 for words of 4 letters or less, else 3; of equals the first in the vocabulary.
 
-    The vocabulary is a literal array of at most 10000 words, so distinct unknown words are read once and no pairs are made.
+    The vocabulary becomes literal arrays of 10000 words each, so distinct unknown words are read once and no pairs are made.
     """
-    if len(vocabulary) > 10_000:
-        raise ValueError("more than 10000 words")
-    words = F.array(*[F.lit(v) for v in sorted(set(vocabulary))])
-    near = F.array_min(F.transform(words, lambda v: F.struct(F.levenshtein(F.upper("word"), v).alias("d"), v.alias("v"))))
+    known = list(dict.fromkeys(vocabulary))
+    part = lambda lo: F.array(*[F.lit(v) for v in known[lo : lo + 10_000]])
+    near = lambda lo: F.array_min(F.transform(part(lo), lambda v, i: F.struct(F.levenshtein(F.upper("word"), v).alias("d"), (i + lo).alias("i"), v.alias("v"))))
+    best = F.array_min(F.array(*[near(lo) for lo in range(0, max(len(known), 1), 10_000)]))
     limit = F.when(F.length("word") <= 4, 2).otherwise(3)
-    return unknown.select("word").distinct().withColumn("n", near).select("word", F.when(F.col("n.d") <= limit, F.col("n.v")).alias("suggestion"))
+    return unknown.select("word").distinct().withColumn("n", best).select("word", F.when(F.col("n.d") <= limit, F.col("n.v")).alias("suggestion"))
 
 
-def verify_hmac(df: DataFrame, text: str = "text", key_hex: str = "key_hex", out: str = "signature") -> DataFrame:
-    """df with 'valid', 'mismatch' or 'no signature': lines 'SIGN <hex>' against HMAC-SHA256 of the sha256 of the other lines."""
+_SIGN_LINE = r"^\s*✦\s+"
+_SIGNED = r"^\s*✦\s+agent=(\S+)\s+key=(\S+?):(\S+)\s+sig=(\S+)"
+
+
+def verify_hmac(df: DataFrame, text: str = "text", out: str = "signature") -> DataFrame:
+    """df with 'valid', 'mismatch', 'no signature', 'unknown algorithm' or 'unreadable' for the first sign line of each program.
+
+    A line '✦ agent=NAME key=ALGORITHM:KEY sig=HEX' signs the sha256 of all other lines (sign lines left out), by HMAC-SHA256 with
+    the key's bytes. What can't be parsed or has a key that is no hex is unreadable; other algorithms than hmac-sha256 are unknown.
+    """
+    lines = F.split(F.coalesce(text, F.lit("")), LINE_END)
+    sign = F.get(F.filter(lines, lambda x: x.rlike(_SIGN_LINE)), F.lit(0))
+    # a line end at the very end opens no further line
+    bare = F.filter(F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines), lambda x: ~x.rlike(_SIGN_LINE))
+    digest = F.sha2(F.array_join(bare, "\n"), 256)
+    part = lambda i: F.regexp_extract(sign, _SIGNED, i)
 
     @F.pandas_udf("string")
-    def check(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        def one(t: str | None, k: str | None) -> str:
-            lines = (t or "").split("\n")
-            signs = [x.split()[-1] for x in lines if x.strip().upper().startswith("SIGN ")]
-            if not signs:
-                return "no signature"
-            body = "\n".join(x for x in lines if not x.strip().upper().startswith("SIGN "))
-            good = hmac.new(bytes.fromhex(k or ""), hashlib.sha256(body.encode()).hexdigest().encode(), "sha256").hexdigest()
-            return "valid" if hmac.compare_digest(good, signs[0].lower()) else "mismatch"
-
-        return pd.Series([one(t, k) for t, k in zip(texts, keys, strict=True)])
-
-    return df.withColumn(out, check(F.col(text), F.col(key_hex)))
+    def check(digests: pd.Series, keys: pd.Series, given: pd.Series) -> pd.Series:
+        def one(d: str, k: str, s: str) -> str:
+            try:
+                key = bytes.fromhex(k)
+            except ValueError:
+                return "unreadable"
+            return "valid" if hmac.compare_digest(hmac.new(key, d.encode(), "sha256").hexdigest().encode(), s.encode()) else "mismatch"
+
+        return pd.Series([one(*x) for x in zip(digests, keys, given, strict=True)], dtype=object)
+
+    verdict = (
+        F.when(sign.isNull(), "no signature")
+        .when(~sign.rlike(_SIGNED), "unreadable")
+        .when(part(2) != "hmac-sha256", "unknown algorithm")
+        .otherwise(check(digest, F.coalesce(part(3), F.lit("")), F.coalesce(part(4), F.lit(""))))
+    )
+    return df.withColumn(out, verdict)
 
 
 def extract_code_and_data(df: DataFrame, text: str = "response") -> DataFrame:

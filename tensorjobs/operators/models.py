@@ -89,7 +89,7 @@ def tree_score_sql(features: Column, tree: list[dict]) -> Column:
 
 
 def trees_score(df: DataFrame, features: str, trees: dict[int, list[dict]], out: str = "score", vote: bool = False) -> DataFrame:
-    """df with the sum (or the median) of many trees, walked in numpy level by level."""
+    """df with the sum (or the median) of many trees, walked in numpy level by level. Rows with null features give null."""
     tables = []
     for rows in trees.values():
         n = max(r["node"] for r in rows) + 1
@@ -102,7 +102,9 @@ def trees_score(df: DataFrame, features: str, trees: dict[int, list[dict]], out:
 
     @F.pandas_udf("double")
     def kernel(x: pd.Series) -> pd.Series:
-        v = np.array(x.tolist(), float)
+        return by_rows(x, walk)
+
+    def walk(v: np.ndarray) -> np.ndarray:
         scores = []
         for t in sent.value:
             at = np.zeros(len(v), np.int64)
@@ -111,7 +113,7 @@ def trees_score(df: DataFrame, features: str, trees: dict[int, list[dict]], out:
                 left = v[np.arange(len(v)), np.maximum(f, 0)] < t["threshold"][at]
                 at = np.where(f < 0, at, np.where(left, t["left"][at], t["right"][at]))
             scores.append(t["leaf"][at])
-        return pd.Series(np.median(scores, 0) if vote else np.sum(scores, 0))
+        return np.median(scores, 0) if vote else np.sum(scores, 0)
 
     return df.withColumn(out, kernel(F.col(features)))
 
@@ -319,6 +321,64 @@ def attention(df: DataFrame, seq: str, pos: str, kind: str = "long") -> DataFram
     return df.groupBy(seq).applyInPandas(run, f"{seq} {kind}, {pos} long, out array<double>")
 
 
+# ---- whole graphs ---------------------------------------------------------------------------------------------------
+
+
+def _graph_step(x: np.ndarray, layer: dict, outputs: dict[str, np.ndarray]) -> np.ndarray:
+    """One layer over a batch: x[n, c, h, w] for images, x[n, k] otherwise."""
+    op = layer["op"]
+    if op == "conv":
+        pad_, stride, kernel = layer.get("padding", 0), layer.get("stride", 1), np.asarray(layer["kernel"], float)
+        x = np.pad(x, ((0, 0), (0, 0), (pad_, pad_), (pad_, pad_)))
+        view = np.lib.stride_tricks.sliding_window_view(x, kernel.shape[2:], axis=(2, 3))[:, :, ::stride, ::stride]
+        return np.einsum("nchwij,ocij->nohw", view, kernel, optimize=True) + np.asarray(layer.get("bias", 0.0), float).reshape(1, -1, 1, 1)
+    if op in ("maxpool", "avgpool"):
+        size, stride = layer.get("size", 2), layer.get("stride", layer.get("size", 2))
+        view = np.lib.stride_tricks.sliding_window_view(x, (size, size), axis=(2, 3))[:, :, ::stride, ::stride]
+        return view.max((4, 5)) if op == "maxpool" else view.mean((4, 5))
+    if op == "reshape":
+        return x.reshape(len(x), *layer["shape"])
+    if op == "flatten":
+        return x.reshape(len(x), -1)
+    if op == "dense":
+        return x @ np.asarray(layer["w"], float) + np.asarray(layer.get("b", 0.0), float)
+    if op == "add":
+        return x + (outputs[layer["with"]] if "with" in layer else np.asarray(layer["value"], float))
+    if op == "scale":
+        return x * np.asarray(layer["value"], float)
+    kinds = {"relu": lambda v: np.maximum(v, 0), "sigmoid": ACT[1], "tanh": np.tanh, "softmax": _softmax, "identity": lambda v: v}
+    if op not in kinds:
+        raise ValueError(f"unknown layer {op}")
+    return kinds[op](x)
+
+
+def graph_score(df: DataFrame, features: str, layers: list[dict], out: str = "score") -> DataFrame:
+    """df with the output (a flat array) of an imported graph, its layers in the order of computation, in one Arrow kernel.
+
+    A layer has op (conv, maxpool, avgpool, reshape, flatten, dense, add, scale, relu, sigmoid, tanh, softmax or identity), its
+    parameters, and a name if a later `add` takes its output. Images begin with reshape to (c, h, w). Rows with null features give null.
+    """
+    for layer in layers:
+        for part in ("kernel", "bias", "w", "b", "value"):
+            if part in layer:
+                _bounded(np.asarray(layer[part], float))
+    sent = df.sparkSession.sparkContext.broadcast(layers)
+
+    def run(v: np.ndarray) -> np.ndarray:
+        outputs: dict[str, np.ndarray] = {}
+        for layer in sent.value:
+            v = _graph_step(v, layer, outputs)
+            if "name" in layer:
+                outputs[layer["name"]] = v
+        return v.reshape(len(v), -1)
+
+    @F.pandas_udf("array<double>")
+    def kernel(x: pd.Series) -> pd.Series:
+        return by_rows(x, run)
+
+    return df.withColumn(out, kernel(F.col(features)))
+
+
 # ---- images: rows (n, c, h, w, pixels), row-major -------------------------------------------------------------------
 
 

@@ -28,16 +28,30 @@ def reduce(m: DataFrame, op: int, dim: int = -1) -> DataFrame:
     return m.agg(value) if dim == -1 else m.groupBy("j" if dim == 0 else "i").agg(value)
 
 
+def reduce_many(m: DataFrame, ops: dict[str, int], dim: int = -1) -> DataFrame:
+    """Several reductions, by column name, in one aggregation."""
+    values = [getattr(F, REDUCE[op])("v").alias(name) for name, op in ops.items()]
+    return m.agg(*values) if dim == -1 else m.groupBy("j" if dim == 0 else "i").agg(*values)
+
+
 def reduce_row(x: Column, op: int) -> Column:
     """The same of an array column; no shuffle."""
     return _fold(F.transform(x, lambda v: v.cast("double")), op)
 
 
+def votes(df: DataFrame, keys: list[str], value: str, strategies: dict[str, int], approximate: bool = False) -> DataFrame:
+    """(keys, one column per name): several consensus values of each group in one aggregation; nulls take no part."""
+
+    def f(strategy: int) -> Column:
+        kind = VOTES[strategy]
+        return (F.percentile_approx(value, 0.5, 10_000) if approximate else F.median(value)) if kind == "median" else {"mean": F.avg, "min": F.min, "max": F.max}[kind](value)
+
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(*[f(s).cast("double").alias(n) for n, s in strategies.items()])
+
+
 def vote(df: DataFrame, keys: list[str], value: str = "value", strategy: int = 0, approximate: bool = False) -> DataFrame:
     """(keys, value): consensus of each group; nulls take no part."""
-    kind = VOTES[strategy]
-    f = (F.percentile_approx(value, 0.5, 10_000) if approximate else F.median(value)) if kind == "median" else {"mean": F.avg, "min": F.min, "max": F.max}[kind](value)
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(f.cast("double").alias("value"))
+    return votes(df, keys, value, {"value": strategy}, approximate)
 
 
 def vote_named(df: DataFrame, keys: list[str], value: str = "value", strategy: str = "mean") -> DataFrame:
@@ -61,10 +75,15 @@ def vote_quorum(df: DataFrame, keys: list[str], k: int, tol: float = 0.01, value
     return best.select(*keys, F.col("b._v").alias("value"), F.col("b._c").alias("count"), (F.col("b._c") >= k).cast("int").alias("agree"))
 
 
+def losses(df: DataFrame, keys: list[str], kinds: dict[str, int], pred: str = "pred", target: str = "target") -> DataFrame:
+    """Several losses per group, by column name, in one aggregation: 0 mean squared error, 1 mean absolute error (no rows: 0)."""
+    d = F.col(pred).cast("double") - F.col(target)
+    return df.groupBy(*keys).agg(*[F.coalesce(F.avg(d * d if kind == 0 else F.abs(d)), F.lit(0.0)).alias(n) for n, kind in kinds.items()])
+
+
 def loss(df: DataFrame, keys: list[str], kind: int, pred: str = "pred", target: str = "target") -> DataFrame:
     """Per group: 0 mean squared error, 1 mean absolute error (no rows: 0)."""
-    d = F.col(pred).cast("double") - F.col(target)
-    return df.groupBy(*keys).agg(F.coalesce(F.avg(d * d if kind == 0 else F.abs(d)), F.lit(0.0)).alias("loss"))
+    return losses(df, keys, {"loss": kind}, pred, target)
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
@@ -82,12 +101,19 @@ def softmax(x: Column) -> Column:
     return F.transform(x, lambda v: F.exp(v - top) / total)
 
 
+def _with_group(df: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of `of`, a row per group; null keys are a group too."""
+    of = of.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return df.join(of, same).drop(*(f"_of_{k}" for k in keys))
+
+
 def softmax_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """df with `softmax` of a long column per group; the group's maximum and sum are aggregates joined back, not a window over a large group."""
+    """df with `softmax` of a long column per group, rows with null keys being a group; the group's maximum and sum are aggregates joined back, not a window over a large group."""
     top = df.groupBy(*keys).agg(F.max(value).alias("_top"))
-    shifted = df.join(top, keys).withColumn("_e", F.exp(F.col(value) - F.col("_top")))
+    shifted = _with_group(df, top, keys).withColumn("_e", F.exp(F.col(value) - F.col("_top")))
     total = shifted.groupBy(*keys).agg(F.sum("_e").alias("_total"))
-    return shifted.join(total, keys).withColumn("softmax", F.col("_e") / F.col("_total")).drop("_top", "_e", "_total")
+    return _with_group(shifted, total, keys).withColumn("softmax", F.col("_e") / F.col("_total")).drop("_top", "_e", "_total")
 
 
 def layer_norm(x: Column, gamma: Column | None = None, beta: Column | None = None) -> Column:
@@ -105,14 +131,14 @@ def _normalised(x: Column, mean: Column, n: Column, gamma: Column | None, beta:
 
 
 def batch_norm(df: DataFrame, channel: str, value: str, params: DataFrame | None = None) -> DataFrame:
-    """df with `normed`: per channel over all rows; params(channel, gamma, beta) are optional. One pass for the moments."""
+    """df with `normed`: per channel (null is one too) over all rows; params(channel, gamma, beta) are optional. One pass for the moments."""
     moments = df.groupBy(channel).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_q"))
     if params is not None:
         moments = moments.join(params.select(channel, "gamma", "beta"), channel, "left")
     else:
         moments = moments.withColumns({"gamma": F.lit(1.0), "beta": F.lit(0.0)})
     scaled = (F.col(value) - F.col("_m")) / F.sqrt(F.col("_q") + EPS) * F.coalesce("gamma", F.lit(1.0)) + F.coalesce("beta", F.lit(0.0))
-    return df.join(moments, channel).withColumn("normed", scaled).drop("_m", "_q", "gamma", "beta")
+    return _with_group(df, moments, [channel]).withColumn("normed", scaled).drop("_m", "_q", "gamma", "beta")
 
 
 def mean_std(df: DataFrame, keys: list[str], value: str) -> DataFrame:

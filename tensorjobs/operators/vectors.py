@@ -48,14 +48,19 @@ def project(df: DataFrame, features: str, matrix: np.ndarray, out: str = "projec
 
 
 def nearest_centroid(df: DataFrame, features: str, centroids: np.ndarray, out: str = "cluster") -> DataFrame:
-    """df with the number of the nearest centroid by squared distance (the first of equals) and that distance."""
+    """df with the number of the nearest centroid by squared distance (the first of equals) and that distance; null for null features."""
     c = df.sparkSession.sparkContext.broadcast(_bounded(np.asarray(centroids, float)))
 
     @F.pandas_udf("struct<cluster:int,distance:double>")
     def kernel(x: pd.Series) -> pd.DataFrame:
-        v = np.array(x.tolist(), float)
+        some = x.notna().to_numpy()
+        cluster, distance = np.full(len(x), None, object), np.full(len(x), None, object)
+        if not some.any():
+            return pd.DataFrame({"cluster": pd.Series(cluster, dtype="Int32"), "distance": pd.Series(distance, dtype="Float64")})
+        v = np.array(x[some].tolist(), float)
         d = ((v[:, None, :] - c.value[None, :, :]) ** 2).sum(2) if len(c.value) * v.size < 50_000_000 else np.stack([((v - k) ** 2).sum(1) for k in c.value], 1)
-        return pd.DataFrame({"cluster": d.argmin(1).astype(np.int32), "distance": d.min(1)})
+        cluster[some], distance[some] = d.argmin(1), d.min(1)
+        return pd.DataFrame({"cluster": pd.Series(cluster, dtype="Int32"), "distance": pd.Series(distance, dtype="Float64")})
 
     return df.withColumn("_k", kernel(F.col(features))).withColumns({out: F.col("_k.cluster"), "distance": F.col("_k.distance")}).drop("_k")
 

@@ -57,13 +57,19 @@ def rate_bounds_lines(spark, d):
     return t(spark, d, "lineitem").agg(F.count("*").alias("n"), F.count_if(out(F.col("l_discount"))).alias("discounts"), F.count_if(out(F.col("l_quantity"))).alias("quantities"))
 
 
-@query("""WITH k(l, r, res) AS (VALUES ('float', 'float', 'float'), ('currency', 'currency', 'currency'), ('currency', 'ratio', 'currency'), ('ratio', 'ratio', 'ratio'))
-SELECT o_orderkey, CASE WHEN lt = 'currency' AND rt = 'category' THEN NULL WHEN lt = 'float' THEN rt WHEN rt = 'float' THEN lt ELSE res END AS result_type
-FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'float' WHEN 'O' THEN 'currency' ELSE 'ratio' END AS lt, CASE WHEN o_orderkey % 3 = 0 THEN 'float' WHEN o_orderkey % 3 = 1 THEN 'ratio' ELSE 'category' END AS rt FROM orders) LEFT JOIN k ON l = lt AND r = rt""")
+_TYPES_SQL = ", ".join(f"('{a}', '{b}', '{o}', '{x}')" for a, b, o, x in C.TYPE_RESULTS)
+
+
+@query(f"""WITH k(l, r, o, res) AS (VALUES {_TYPES_SQL}), x AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'float' WHEN 'O' THEN 'currency' ELSE 'ratio' END AS lt,
+CASE o_orderkey % 4 WHEN 0 THEN 'float' WHEN 1 THEN 'ratio' WHEN 2 THEN 'currency' ELSE 'category' END AS rt, CASE o_custkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'multiply' ELSE 'divide' END AS op FROM orders),
+y AS (SELECT o_orderkey, CASE WHEN lt = 'float' THEN rt WHEN rt = 'float' THEN lt ELSE res END AS found FROM x LEFT JOIN k ON l = lt AND r = rt AND o = op)
+SELECT o_orderkey, found IS NOT NULL AS safe, coalesce(found, 'float') AS result_type FROM y""")
 def type_check_orders(spark, d):
     left = F.when(F.col("o_orderstatus") == "F", "float").when(F.col("o_orderstatus") == "O", "currency").otherwise("ratio")
-    right = F.when(F.col("o_orderkey") % 3 == 0, "float").when(F.col("o_orderkey") % 3 == 1, "ratio").otherwise("category")
-    return C.type_check(t(spark, d, "orders").select("o_orderkey", left.alias("left_type"), right.alias("right_type"))).select("o_orderkey", "result_type")
+    kind = lambda c, n, names: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % n + 1).cast("int"))
+    right = kind("o_orderkey", 4, ["float", "ratio", "currency", "category"])
+    rows = t(spark, d, "orders").select("o_orderkey", left.alias("left_type"), right.alias("right_type"), kind("o_custkey", 3, ["add", "multiply", "divide"]).alias("op"))
+    return C.type_check(rows).select("o_orderkey", "safe", "result_type")
 
 
 @query("SELECT event_id, sum(CASE WHEN keep THEN 1 ELSE 0 END) AS kept FROM (SELECT event_id, TRUE AS keep FROM events) GROUP BY 1")
@@ -81,9 +87,9 @@ def decayed_update_embeddings(spark, d):
 
 @query("SELECT DISTINCT l_partkey AS key, l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AS in_both FROM lineitem WHERE l_returnflag = 'A'")
 def key_sets_parts(spark, d):
-    y = t(spark, d, "lineitem")
-    a, b = (y.where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("key")).distinct() for f in "AR")
-    return a.intersect(b).withColumn("in_both", F.lit(True)).unionByName(a.exceptAll(a.intersect(b)).withColumn("in_both", F.lit(False)))
+    of = lambda flag: F.max(F.col("l_returnflag") == flag)
+    sets = t(spark, d, "lineitem").where(F.col("l_returnflag").isin("A", "R")).groupBy(F.col("l_partkey").alias("key")).agg(of("A").alias("a"), of("R").alias("in_both"))
+    return sets.where("a").select("key", "in_both")
 
 
 @query("SELECT doc_id, 'sha256:' || substr(sha256(text), 1, 16) AS hash, md5(lang || chr(0) || text) AS pair FROM documents")
@@ -110,12 +116,12 @@ def patch_round_trip(spark, d):
     return out.select(F.col("key").cast("long").alias("key"), "text", "status")
 
 
-VOCABULARY = ["AND", "ENTION", "THER", "THERE", "VERBER"]
-_VOCABULARY_SQL = ", ".join(f"('{v}')" for v in VOCABULARY)
+VOCABULARY = ["VERBER", "AND", "THERE", "ENTION", "THER"]
+_VOCABULARY_SQL = ", ".join(f"({i}, '{v}')" for i, v in enumerate(VOCABULARY))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), v(v) AS (VALUES {_VOCABULARY_SQL}),
-n AS (SELECT word, min({{'d': levenshtein(upper(word), v), 'v': v}}) AS n FROM w, v GROUP BY word) SELECT word, CASE WHEN n.d <= CASE WHEN length(word) <= 4 THEN 2 ELSE 3 END THEN n.v END AS suggestion FROM n""")
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), v(i, v) AS (VALUES {_VOCABULARY_SQL}),
+n AS (SELECT word, min({{'d': levenshtein(upper(word), v), 'i': i, 'v': v}}) AS n FROM w, v GROUP BY word) SELECT word, CASE WHEN n.d <= CASE WHEN length(word) <= 4 THEN 2 ELSE 3 END THEN n.v END AS suggestion FROM n""")
 def suggest_document_words(spark, d):
     words = t(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
     return lint.suggest_word(words, VOCABULARY)

@@ -118,8 +118,7 @@ def range_checks(spark, d):
 @query("SELECT j, round(sum(v), 4) AS s, round(avg(v), 6) AS m, max(v) AS hi, min(v) AS lo FROM (SELECT unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY j")
 def reduce_columns(spark, d):
     m = tensors.rows_to_coordinates(t(spark, d, "embeddings"), "vec_id", "embedding").withColumn("v", F.col("v").cast("double"))
-    a, b, hi, lo = (reduce.reduce(m, op, 0).withColumnRenamed("v", n) for op, n in enumerate(("s", "m", "hi", "lo")))
-    return a.join(b, "j").join(hi, "j").join(lo, "j").select("j", r("s", 4).alias("s"), r("m").alias("m"), "hi", "lo")
+    return reduce.reduce_many(m, {"s": 0, "m": 1, "hi": 2, "lo": 3}, 0).select("j", r("s", 4).alias("s"), r("m").alias("m"), "hi", "lo")
 
 
 @query("SELECT vec_id, round(list_sum(e), 6) AS s, round(list_avg(e), 6) AS m, list_max(e) AS hi, list_min(e) AS lo FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
@@ -128,11 +127,10 @@ def reduce_rows(spark, d):
     return t(spark, d, "embeddings").select("vec_id", *[(r(reduce.reduce_row(e, op)) if op < 2 else reduce.reduce_row(e, op)).alias(n) for op, n in enumerate(("s", "m", "hi", "lo"))])
 
 
-@query("SELECT o_custkey, round(median(o_totalprice), 4) AS median, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS largest FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, round(median(o_totalprice), 4) AS median, round(avg(o_totalprice), 6) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS largest FROM orders GROUP BY o_custkey")
 def vote_per_customer(spark, d):
     o = t(spark, d, "orders")
-    a, b, c, e = (reduce.vote(o, ["o_custkey"], "o_totalprice", k).withColumnRenamed("value", n) for k, n in ((0, "median"), (1, "mean"), (3, "least"), (4, "largest")))
-    return a.join(b, "o_custkey").join(c, "o_custkey").join(e, "o_custkey").select("o_custkey", r("median", 4).alias("median"), r("mean", 4).alias("mean"), "least", "largest")
+    return reduce.votes(o, ["o_custkey"], "o_totalprice", {"median": 0, "mean": 1, "least": 3, "largest": 4}).select("o_custkey", r("median", 4).alias("median"), r("mean", 6).alias("mean"), "least", "largest")
 
 
 @query("""WITH c AS (SELECT a.user_id, a.event_id, a.value, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND abs(a.value - b.value) <= 0.01 GROUP BY ALL),
@@ -144,8 +142,7 @@ def vote_quorum_per_user(spark, d):
 @query("SELECT l_returnflag, round(avg((l_discount - l_tax) ** 2), 8) AS mse, round(avg(abs(l_discount - l_tax)), 8) AS mae FROM lineitem GROUP BY l_returnflag")
 def losses_by_flag(spark, d):
     y = t(spark, d, "lineitem")
-    a, b = (reduce.loss(y, ["l_returnflag"], k, "l_discount", "l_tax").withColumnRenamed("loss", n) for k, n in ((0, "mse"), (1, "mae")))
-    return a.join(b, "l_returnflag").select("l_returnflag", r("mse", 8).alias("mse"), r("mae", 8).alias("mae"))
+    return reduce.losses(y, ["l_returnflag"], {"mse": 0, "mae": 1}, "l_discount", "l_tax").select("l_returnflag", r("mse", 8).alias("mse"), r("mae", 8).alias("mae"))
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: exp(x)) AS x, embedding::DOUBLE[] AS v FROM embeddings)
@@ -606,3 +603,4 @@ def rules_calc_customers(spark, d):
 
 
 from . import more  # noqa: E402,F401  registers its queries
+from . import extra  # noqa: E402,F401  so does this

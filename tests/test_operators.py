@@ -167,10 +167,145 @@ def test_structure_and_golden(spark):
     assert {r["key"]: r["status"] for r in audit.golden_check(actual, golden, programs).collect()} == {"a": "ok", "b": "value_mismatch", "c": "missing_output", "d": "error"}
 
 
+RATES = """
+ι @income
+⋈ φ κ #1.5 #1.5
+↘ #2
+∎ γ #14600
+→ #3
+⋈ φ κ #0 #2.5
+↘ #2
+∎ γ #29200
+→ #1
+∎ γ #21900
+⋈ φ κ #0 #1.5
+↘ #8
+∗ α π #0.10
+→ #20
+∎ α #1100
+∎ γ #11000
+⊖ ρ π γ
+∗ ρ ρ #0.12
+∎ α #5000
+∎ γ #44000
+⋈ φ κ #0 #2.5
+↘ #6
+∗ α π #0.10
+∎ α #2200
+∎ γ #22000
+∗ ρ ρ #0.11
+→ #4
+⊕ α α ρ
+∗ α π #0.10
+∎ α #1700
+∎ γ #17000
+∗ ρ ρ #0.13
+↑ α @tax
+◼
+"""
+
+
 def test_rate_structure_text(spark):
-    text = "; status: single\nCMPI R1 #100\nLEAF R2 #0\nLEAF R3 #0.1\nCMPI R1 #200\nLEAF R2 #10\nLEAF R3 #0.2\nHALT"
-    rows = audit.extract_rate_structure(spark.createDataFrame([("k", text)], "key string, text string")).orderBy("idx").collect()
-    assert [(r["status"], r["threshold"], r["rate"], r["cumulative"], r["line"]) for r in rows] == [("single", 100, 0.1, 0, 2), ("single", 200, 0.2, 10, 5)]
+    programs = [("k", RATES), ("flat", "ι @x\n∗ γ ι #0.045\n↑ γ @tax\n◼"), ("none", "◼"), ("null", None)]
+    rows = [tuple(r) for r in audit.extract_rate_structure(spark.createDataFrame(programs, "key string, text string")).orderBy("key", "kind", "line").collect()]
+    brackets = [(r[2], r[3], r[4], r[5], r[6]) for r in rows if r[0] == "k" and r[1] == "bracket"]
+    assert brackets == [
+        ("single", 0, 0.0, 0.10, 0.0), ("single", 1, 11000.0, 0.12, 1100.0), ("single", 2, 44000.0, 0.0, 5000.0), ("mfj", 0, 0.0, 0.10, 0.0), ("mfj", 1, 22000.0, 0.11, 2200.0),
+        ("hoh", 0, 0.0, 0.10, 0.0), ("hoh", 1, 17000.0, 0.13, 1700.0),
+    ]
+    assert [(r[2], r[7]) for r in rows if r[1] == "deduction"] == [("single", 14600.0), ("mfj", 29200.0), ("default", 21900.0)]
+    assert [(r[0], r[2], r[5], r[8]) for r in rows if r[1] == "flat"] == [("flat", "unknown", 0.045, 2)] and {r[0] for r in rows} == {"k", "flat"}
+
+
+def test_signatures(spark):
+    key = "00ff10"
+    body = "LD R0 @x\nHALT"
+    import hashlib
+    import hmac
+
+    sign = lambda text, k=key: hmac.new(bytes.fromhex(k), hashlib.sha256(text.encode()).hexdigest().encode(), "sha256").hexdigest()
+    line = lambda s, k=key, a="hmac-sha256": f"✦  agent=me  key={a}:{k}  sig={s}"
+    cases = {
+        "valid": line(sign(body)) + "\n" + body + "\n", "mismatch": line(sign(body + "x")) + "\n" + body, "no signature": body, "unknown algorithm": line(sign(body), a="other") + "\n" + body,
+        "unreadable": line(sign(body), k="zz") + "\n" + body,
+    }
+    rows = [(want, text) for want, text in cases.items()] + [("no signature", None), ("unreadable", "✦ nothing\n" + body)]
+    for r in lint.verify_hmac(spark.createDataFrame(rows, "want string, text string")).collect():
+        assert r["signature"] == r["want"]
+
+
+def test_type_check(spark):
+    rows = [("currency", "ratio", "multiply", True, "currency"), ("currency", "ratio", "add", False, "float"), ("bool", "bool", "add", False, "float"), ("float", "bool", "add", True, "bool"), ("count", "float", "divide", True, "count"), ("currency", "count", "divide", True, "currency"), (None, "count", "add", False, "float")]
+    out = C.type_check(spark.createDataFrame(rows, "left_type string, right_type string, op string, want boolean, kind string")).collect()
+    assert all((r["safe"], r["result_type"]) == (r["want"], r["kind"]) for r in out) and len(out) == len(rows)
+
+
+def test_nulls_keep_rows(spark):
+    g = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0)], "k string, v double")
+    assert sorted(round(r["normed"], 3) for r in reduce.batch_norm(g, "k", "v").collect()) == [-1.0, -1.0, 1.0, 1.0]
+    assert sum(r["softmax"] for r in reduce.softmax_by(g, ["k"], "v").collect()) == pytest.approx(2.0)
+    d = spark.createDataFrame([("x", None, 1), ("x", 2, 2), ("y", None, 3), (None, 1, 4), (None, 5, 5)], "k string, o int, id int")
+    assert {r["id"] for r in corpus.dedup_first(d, F.col("k"), "o").collect()} == {1, 3, 4}
+    v = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [5.0, 5.0])], "id int, x array<double>")
+    assert [(r["cluster"], r["distance"]) for r in vectors.nearest_centroid(v, "x", np.array([[0.0, 0.0], [5.0, 5.0]])).orderBy("id").collect()] == [(0, 1.0), (None, None), (1, 0.0)]
+    tree = {0: [{"node": 0, "feature": 0, "threshold": 1.0, "left": 1, "right": 2, "leaf": None}, {"node": 1, "feature": None, "threshold": None, "left": None, "right": None, "leaf": 3.0}, {"node": 2, "feature": None, "threshold": None, "left": None, "right": None, "leaf": 4.0}]}
+    assert [r["score"] for r in models.trees_score(v, "x", tree).orderBy("id").collect()] == [3.0, None, 4.0]
+
+
+def test_graph_score(spark):
+    """Convolution, bias, relu, residual, average pooling, dense and softmax against numpy."""
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((5, 32))
+    kernel, w = rng.standard_normal((2, 2, 3, 3)), rng.standard_normal((8, 3))
+    graph = [{"op": "reshape", "shape": (2, 4, 4), "name": "in"}, {"op": "conv", "kernel": kernel, "bias": [0.1, -0.2], "padding": 1}, {"op": "relu"}, {"op": "add", "with": "in"}, {"op": "avgpool", "size": 2}, {"op": "flatten"}, {"op": "dense", "w": w}, {"op": "softmax"}]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())] + [(9, None)], "id int, f array<double>")
+    got = [r["score"] for r in models.graph_score(df, "f", graph).orderBy("id").collect()]
+    for row, out in zip(x.reshape(5, 2, 4, 4), got[:5], strict=True):
+        p = np.pad(row, ((0, 0), (1, 1), (1, 1)))
+        c = np.array([[[(p[:, i : i + 3, j : j + 3] * kernel[o]).sum() + [0.1, -0.2][o] for j in range(4)] for i in range(4)] for o in range(2)])
+        y = np.maximum(c, 0) + row
+        z = y.reshape(2, 2, 2, 2, 2).mean((2, 4)).ravel() @ w
+        assert out == pytest.approx((np.exp(z - z.max()) / np.exp(z - z.max()).sum()).tolist())
+    assert got[5] is None
+    with pytest.raises(Exception):
+        models.graph_score(df, "f", [{"op": "fly"}]).collect()
+
+
+def test_golden_round_trip_and_splits(spark, tmp_path):
+    rows = [("a", "FIT", 0, "o", 1.0), ("a", "FIT", 1, "o", 2.0), ("a", "FIT", 1, "p", 3.0), ("b", "SIT", 0, "o", 4.0)]
+    golden = spark.createDataFrame(rows, "key string, type string, vector int, output string, value double")
+    path = str(tmp_path / "golden")
+    files.write_golden(golden, path)
+    read = lambda: sorted(tuple(r) for r in files.read_golden(spark, path).collect())
+    assert read() == rows
+    (tmp_path / "golden" / "c.json").write_text('{\n "key": "c", "type": "FIT",\n "test_vectors": [{"inputs": {"x": 1}, "expected": {"o": 5}}]\n}')
+    assert read() == [*rows, ("c", "FIT", 0, "o", 5.0)]
+    d = spark.createDataFrame([(1, "train", 7), (2, "test", 8)], "id int, split string, _h int")
+    files.write_splits(d, str(tmp_path / "splits"))
+    back = spark.read.json(str(tmp_path / "splits"))
+    assert sorted(back.columns) == ["id", "split"] and {(r["id"], r["split"]) for r in back.collect()} == {(1, "train"), (2, "test")}
+    with pytest.raises(ValueError):
+        files.union_sources({})
+    chat = spark.createDataFrame([([("user", "a\r\nb")], None, None), (None, "do", "done")], "messages array<struct<role:string,content:string>>, instruction string, output string")
+    lines = files.corpus_lines(chat, spark.createDataFrame([("x\ny",)], "text string")).collect()
+    assert sorted((r["source"], r["line"]) for r in lines) == [("alpaca", "do"), ("alpaca", "done"), ("chat", "a"), ("chat", "b"), ("program", "x"), ("program", "y")]
+
+
+def test_samples_and_dropout(spark):
+    df = spark.range(1000)
+    a, b = (corpus.sample_n(df, F.col("id"), 50, 7).collect() for _ in range(2))
+    assert a == b and len({r["id"] for r in a}) == 50
+    assert corpus.pad_to(df.limit(10), df, F.col("id"), 30).count() == 30 and corpus.pad_to(df, df, F.col("id"), 30).count() == 1000
+    parts = {r["split"]: r["count"] for r in corpus.split_90_10(df, F.col("id")).groupBy("split").count().collect()}
+    assert parts["train"] + parts["valid"] == 1000 and 850 < parts["train"] < 950
+    x = df.select("id", F.expr("transform(sequence(1, 20), x -> cast(x as double))").alias("x"))
+    out = x.select("id", "x", C.dropout(F.col("x"), 0.25, 3, F.col("id")).alias("y")).collect()
+    assert all(v == 0 or v == pytest.approx(u / 0.75) for r in out for u, v in zip(r["x"], r["y"], strict=True))
+    assert 0.23 < sum(v == 0 for r in out for v in r["y"]) / 20_000 < 0.27
+    t = spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "doc_id int, id int")
+    table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "id int, vector array<double>")
+    p = {r["doc_id"]: r["class"] for r in models.embed_pool_classify(t, table, 2, np.array([[0.0, 1.0], [0.0, 3.0]]), np.array([0.9, 0.0])).collect()}
+    assert p == {1: 1, 2: 1}
 
 
 def test_lint(spark):
@@ -183,6 +318,7 @@ def test_lint(spark):
     assert found == {("word", "invalid_opcode"), ("count", "wrong_operand_count"), ("jump", "invalid_jump"), ("halt", "missing_halt"), ("empty", "empty_program"), ("endf", "unmatched_endf"), ("open", "unclosed_fragment"), ("quiet", "no_output")}
     s = lint.suggest_word(spark.createDataFrame([("LDD",), ("QQQQQQQQ",)], "word string"), ["LD", "ST", "HALT"]).collect()
     assert {r["word"]: r["suggestion"] for r in s} == {"LDD": "LD", "QQQQQQQQ": None}
+    assert lint.suggest_word(spark.createDataFrame([("XD",)], "word string"), ["ZD", "LD", "AD"]).first()["suggestion"] == "ZD"  # of equals the first
 
 
 def test_patch_round_trip(spark):
