@@ -30,7 +30,7 @@ def expand(text: Column, delimiter: str = "¶") -> Column:
 def detect_syntax(text: Column, symbols: str, classic: list[str], verbose: list[str]) -> Column:
     """symbolic, classic, verbose or unknown, from the first 500 characters."""
     head = F.substring(F.coalesce(text, F.lit("")), 1, 500)
-    word = lambda words: head.rlike(r"(?m)^\s*(?:" + "|".join(words) + r")\b")
+    word = lambda words: head.rlike(r"(?m)^\s*(?:" + "|".join(words) + r")(?![\p{L}\p{N}_])")
     return F.when(head.rlike(f"[{symbols}]"), "symbolic").when(word(classic), "classic").when(word(verbose), "verbose").otherwise("unknown")
 
 

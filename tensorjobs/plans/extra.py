@@ -112,7 +112,7 @@ def rarest_words(spark, d):
     return corpus.lowest_coverage(corpus.coverage(t(spark, d, "documents"), "text", vocabulary), 3)
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(h, '[|#]') THEN 'symbolic' WHEN regexp_matches(h, '(?m)^[ \t\n\v\f\r]*(?:The|And|He)\b') THEN 'classic' WHEN regexp_matches(h, '(?m)^[ \t\n\v\f\r]*(?:A|In|La)\b') THEN 'verbose' ELSE 'unknown' END AS syntax
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(h, '[|#]') THEN 'symbolic' WHEN regexp_matches(h, '(?m)^[ \t\n\v\f\r]*(?:The|And|He)(?:[^\p{L}\p{N}_]|$)') THEN 'classic' WHEN regexp_matches(h, '(?m)^[ \t\n\v\f\r]*(?:A|In|La)(?:[^\p{L}\p{N}_]|$)') THEN 'verbose' ELSE 'unknown' END AS syntax
 FROM (SELECT doc_id, substr(coalesce(text, ''), 1, 500) AS h FROM documents)""")
 def syntax_of_documents(spark, d):
     return t(spark, d, "documents").select("doc_id", lint.detect_syntax(F.col("text"), "|#", ["The", "And", "He"], ["A", "In", "La"]).alias("syntax"))
