@@ -33,6 +33,13 @@ def retry_stats(results: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def retry_gain(results: DataFrame, keys: list[str], run: str = "retries") -> DataFrame:
+    """(keys, run, total, passed, rate, gain): the pass rate of each run and what it gains over the run without retries (run 0; null without one)."""
+    per = results.groupBy(*keys, run).agg(F.count("*").alias("total"), F.count_if("passed").alias("passed")).withColumn("rate", F.col("passed") / F.col("total"))
+    base = F.max(F.when(F.col(run) == 0, F.col("rate"))).over(Window.partitionBy(*keys))  # a row per run
+    return per.withColumn("gain", F.col("rate") - base)
+
+
 def word_outcomes(results: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Per vocabulary word: prompts that generated it, of these valid and executed ones; 0 where none."""
     each = results.select(F.explode(F.array_distinct("opcodes")).alias("word"), "grammar", "execute")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import corpus, lint, lookup, models
+from ..operators import corpus, evaluate, lint, lookup, models
 from ..sources import files
 from .queries import _WORDS_SQL, WORDS, query, r, t
 
@@ -131,3 +131,39 @@ def translated_programs(spark, d):
 def united_sources(spark, d):
     n, g = t(spark, d, "nation").select(F.col("n_name").alias("name")), t(spark, d, "region").select(F.col("r_name").alias("name"))
     return files.union_sources({"nation": n, "region": g, "none": n.where("false")})[1]
+
+
+_LINE = "SELECT l_returnflag AS flag, l_quantity::DOUBLE / 50 AS a, l_discount::DOUBLE * 10 AS b, l_tax::DOUBLE * 10 AS y FROM lineitem"
+_STEP = "avg(2 * (0.5 * a - 0.25 * b + 0.1 - y) * {x})"
+
+
+def _line_samples(spark, d):
+    x = F.array(F.col("l_quantity").cast("double") / 50, F.col("l_discount").cast("double") * 10)
+    return t(spark, d, "lineitem").select("l_returnflag", x.alias("x"), F.array(F.col("l_tax").cast("double") * 10).alias("y"))
+
+
+_LINEAR = [(np.array([[0.5], [-0.25]]), np.array([0.1]), 3)]
+
+
+@query(f"""SELECT round(0.5 - 0.1 * {_STEP.format(x='a')}, 6) AS a, round(-0.25 - 0.1 * {_STEP.format(x='b')}, 6) AS b, round(0.1 - 0.1 * {_STEP.format(x='1')}, 6) AS bias,
+round(avg((0.5 * a - 0.25 * b + 0.1 - y) ** 2), 6) AS loss FROM ({_LINE})""")
+def training_step_lines(spark, d):
+    """One full-batch step of a linear network over all lines."""
+    (w, b, _), *_ = (out := models.mlp_train(_line_samples(spark, d), "x", "y", _LINEAR, epochs=1, lr=0.1, adam=False))[0]
+    return spark.createDataFrame([(float(w[0, 0]), float(w[1, 0]), float(b[0]), out[1][0])], "a double, b double, bias double, loss double").select(*[r(c).alias(c) for c in ("a", "b", "bias", "loss")])
+
+
+@query(f"""WITH g AS (SELECT flag, 0.5 - 0.1 * {_STEP.format(x='a')} AS a, -0.25 - 0.1 * {_STEP.format(x='b')} AS b, 0.1 - 0.1 * {_STEP.format(x='1')} AS bias FROM ({_LINE}) GROUP BY flag)
+SELECT round(median(a), 6) AS a, round(median(b), 6) AS b, round(median(bias), 6) AS bias FROM g""")
+def local_step_votes(spark, d):
+    """One step for the lines of each flag alone, then the median of each parameter."""
+    ((w, b, _),) = models.local_train_then_vote(_line_samples(spark, d), "l_returnflag", "x", "y", _LINEAR, epochs=1, lr=0.1)
+    return spark.createDataFrame([(float(w[0, 0]), float(w[1, 0]), float(b[0]))], "a double, b double, bias double").select(*[r(c).alias(c) for c in ("a", "b", "bias")])
+
+
+@query("""WITH p AS (SELECT o_orderstatus, o_orderkey % 3 AS retries, count(*) AS total, count(*) FILTER (o_totalprice > 150000 + 10000 * (o_orderkey % 3)) AS passed FROM orders GROUP BY ALL)
+SELECT o_orderstatus, retries, total, passed, round(passed / total - max(CASE WHEN retries = 0 THEN passed / total END) OVER (PARTITION BY o_orderstatus), 6) + 0.0 AS gain FROM p""")
+def retry_gain_orders(spark, d):
+    run = (F.col("o_orderkey") % 3).alias("retries")
+    rows = t(spark, d, "orders").select("o_orderstatus", run, (F.col("o_totalprice") > 150000 + 10000 * (F.col("o_orderkey") % 3)).alias("passed"))
+    return evaluate.retry_gain(rows, ["o_orderstatus"]).select("o_orderstatus", "retries", "total", "passed", (r("gain") + 0.0).alias("gain"))

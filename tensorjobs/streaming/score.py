@@ -19,7 +19,7 @@ def score_stream(stream: DataFrame, scorer: Scorer, features: list[str], divisor
 
 
 def vote_stream(results: DataFrame, path: str, key: str = "request", value: str = "value", strategy: str = "mean") -> DataStreamWriter:
-    """A writer that votes per request within each micro-batch and writes it to path/batch=N: a batch done again replaces itself."""
+    """A writer that votes per request within each micro-batch (results of a request that arrive apart: session_votes) and writes it to path/batch=N: a batch done again replaces itself."""
 
     def each(batch: DataFrame, number: int) -> None:
         vote_named(batch, [key], value, strategy).write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -27,6 +27,13 @@ def vote_stream(results: DataFrame, path: str, key: str = "request", value: str
     return results.writeStream.foreachBatch(each)
 
 
+def session_votes(stream: DataFrame, ts: str, key: str = "request", value: str = "value", strategy: str = "mean", gap: str = "1 minute", late: str = "1 minute") -> DataFrame:
+    """(key, value, n, until): one vote per request over all micro-batches, given when no result of it came for `gap` (mean, min or max)."""
+    vote = {"mean": F.avg, "min": F.min, "max": F.max}[strategy](value).cast("double").alias("value")
+    g = stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("s"), key)
+    return g.agg(vote, F.count(value).alias("n")).select(key, "value", "n", F.col("s.end").alias("until"))
+
+
 def windowed_votes(stream: DataFrame, ts: str, key: str, value: str, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """Mean, least and largest value per key and window, with a watermark for late rows."""
     g = stream.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), key)

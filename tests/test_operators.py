@@ -414,3 +414,15 @@ def test_equalize_ranks_in_buckets(spark):
     assert {len(c) for c in n["big"].values()} == {2, 3} and {len(c) for c in n["small"].values()} == {2, 3}
     ranked = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in line]
     assert ranked and all("_b#" in line for line in ranked)
+
+
+def test_session_votes(spark, tmp_path):
+    """A request whose results come in two micro-batches gets one vote."""
+    schema = "request string, value double, ts timestamp"
+    for i, rows in enumerate([[("a", 1.0, 0), ("b", 5.0, 0)], [("a", 3.0, 20)], [("z", 0.0, 3600)], [("z", 0.0, 7200)]]):
+        spark.createDataFrame(rows, "request string, value double, s int").selectExpr("request", "value", "timestamp_seconds(s) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    query = streaming.session_votes(stream, "ts").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination(120)
+    got = {r["request"]: (r["value"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["request"] != "z"}
+    assert got == {"a": (2.0, 2), "b": (5.0, 1)}
