@@ -178,6 +178,10 @@ def extract_rate_structure(programs: DataFrame) -> DataFrame:
     return found.unionByName(one.select("key", F.lit("deduction").alias("kind"), "status", F.lit(0).alias("idx"), none.alias("threshold"), none.alias("rate"), none.alias("cumulative"), "amount", "line"))
 
 
+#: Statuses that may be required of every income program.
+MAX_STATUSES = 1_000
+
+
 def semantic_checks(inputs: DataFrame, used: DataFrame, outputs: DataFrame, statuses: DataFrame, required: DataFrame) -> DataFrame:
     """(key, kind, severity, name): inputs never used, programs without output, income programs without a required status.
 
@@ -186,6 +190,10 @@ def semantic_checks(inputs: DataFrame, used: DataFrame, outputs: DataFrame, stat
     row = lambda df, kind, severity: df.select("key", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.col("name").cast("string").alias("name"))
     unused = row(inputs.join(used, ["key", "name"], "left_anti"), "unused_input", "warning")
     silent = row(statuses.select("key").distinct().join(outputs, "key", "left_anti").withColumn("name", F.lit(None)), "missing_output", "error")
-    income = statuses.where(F.col("type").isin(INCOME_TYPES)).select("key").distinct().join(F.broadcast(required), how="cross")
+    names = [r["status"] for r in required.select("status").distinct().limit(MAX_STATUSES + 1).collect()]
+    if len(names) > MAX_STATUSES:
+        raise ValueError("too many required statuses")
+    every = F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("status")
+    income = statuses.where(F.col("type").isin(INCOME_TYPES)).select("key").distinct().select("key", every)
     lacking = row(income.join(statuses.select("key", "status"), ["key", "status"], "left_anti").withColumnRenamed("status", "name"), "missing_status", "warning")
     return unused.unionByName(silent).unionByName(lacking)

@@ -102,7 +102,7 @@ def split_80_10_10(df: DataFrame, key: Column, seed: int = 42, anchor: Column |
 
 
 def split_exact(df: DataFrame, key: Column, shares: tuple[float, ...] = (0.8, 0.1), names: tuple[str, ...] = ("train", "valid", "test"), seed: int = 42) -> DataFrame:
-    """df with split of exact sizes int(n * share), the rest last. Each of 1000 buckets of the hash knows how many rows lie below it; rows are ranked within their bucket."""
+    """df with split of exact sizes int(n * share), the rest last. Each of 1000 buckets of the hash knows how many rows lie below it; only the rows of buckets with a cut in them are ranked."""
     from pyspark.sql import Window
 
     buckets = 1000
@@ -119,12 +119,16 @@ def split_exact(df: DataFrame, key: Column, shares: tuple[float, ...] = (0.8, 0.
         ends.append(at)
     spark = df.sparkSession
     starts = spark.createDataFrame(below, "_b long, _start long") if below else spark.createDataFrame([], "_b long, _start long")
+    sizes = dict(counts)
+    with_cut = [b for b, start in below if any(start < end < start + sizes[b] for end in ends)]  # one a cut at most
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *[c for c in df.columns if dict(df.dtypes)[c] in ("bigint", "int", "string")]))
-    place = F.col("_start") + rank - 1
     split = F.lit(names[-1])
     for name, end in reversed(list(zip(names, ends, strict=False))):
         split = F.when(F.col("_p") < end, name).otherwise(split)
-    return rows.join(F.broadcast(starts), "_b").withColumn("_p", place).withColumn("split", split).drop("_h", "_b", "_start", "_p")
+    rows = rows.join(F.broadcast(starts), "_b")
+    ranked = rows.where(F.col("_b").isin(with_cut)).withColumn("_p", F.col("_start") + rank - 1)
+    placed = rows.where(~F.col("_b").isin(with_cut)).withColumn("_p", F.col("_start")).unionByName(ranked)
+    return placed.withColumn("split", split).drop("_h", "_b", "_start", "_p")
 
 
 def split_90_10(df: DataFrame, key: Column, seed: int = 42) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookup import small
+
 LINE_END = r"\r\n|\r|\n"
 
 
@@ -58,7 +60,7 @@ def lint_lines(programs: DataFrame, arity: DataFrame, jumps: list[str], halt: li
     """(key, kind, severity, line): findings of programs(key, text) against arity(word, low, high).
 
     invalid_opcode, wrong_operand_count, invalid_jump, unmatched_endf per line; missing_halt, empty_program (errors),
-    unclosed_fragment, no_output (warnings) per program. One window per program; the vocabulary is broadcast.
+    unclosed_fragment, no_output (warnings) per program. One window per program; the vocabulary is broadcast if it is small.
     """
     lines = programs.select("key", F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_END)).alias("line", "s")).withColumn("s", uncommented(F.col("s"))).where("s <> ''")
     tokens = F.split("s", " ")
@@ -68,7 +70,7 @@ def lint_lines(programs: DataFrame, arity: DataFrame, jumps: list[str], halt: li
     step = F.when(F.col("word") == opens, 1).when(F.col("word") == closes, -1).otherwise(0)
     code = code.withColumns({"idx": F.row_number().over(w) - 1, "n": F.count("*").over(whole), "depth": F.sum(step).over(w)})
     code = code.withColumn("low", F.min("depth").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    known = code.join(F.broadcast(arity.select("word", "low", "high").withColumnsRenamed({"low": "least", "high": "most"})), "word", "left")
+    known = code.join(small(arity.select("word", "low", "high").withColumnsRenamed({"low": "least", "high": "most"})), "word", "left")
     target = F.col("idx") + F.regexp_extract("last", r"#?(-?\d+)$", 1).try_cast("int")
     found = F.array(
         F.when(F.col("least").isNull(), "invalid_opcode"),

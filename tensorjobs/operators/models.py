@@ -282,9 +282,18 @@ def softmax_classify(df: DataFrame, features: str, w: np.ndarray, b: np.ndarray)
     return out.withColumn("class", F.expr("array_position(probabilities, array_max(probabilities)) - 1")).drop("_z")
 
 
+#: Classes of a naive Bayes model.
+MAX_CLASSES = 10_000
+
+
 def naive_bayes_score(tokens: DataFrame, likelihood: DataFrame, priors: DataFrame) -> DataFrame:
     """(doc_id, class, probability): tokens(doc_id, word), likelihood(word, class, logp), priors(class, logp). Unknown words say nothing."""
-    docs = tokens.select("doc_id").distinct().join(F.broadcast(priors.withColumnRenamed("logp", "prior")), how="cross")  # classes are few
+    classes = priors.select("class", "logp").limit(MAX_CLASSES + 1).collect()
+    if len(classes) > MAX_CLASSES:
+        raise ValueError("too many classes to be listed for each document")
+    kind = priors.schema["class"].dataType.simpleString()
+    every = F.array(*[F.struct(F.lit(c["class"]).alias("class"), F.lit(c["logp"]).alias("prior")) for c in classes]).cast(f"array<struct<class:{kind},prior:double>>")
+    docs = tokens.select("doc_id").distinct().select("doc_id", F.inline(every))
     counts = tokens.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     sums = counts.join(likelihood, "word").groupBy("doc_id", "class").agg(F.sum(F.col("n") * F.col("logp")).alias("s"))
     total = docs.join(sums, ["doc_id", "class"], "left").withColumn("z", F.col("prior") + F.coalesce("s", F.lit(0.0)))

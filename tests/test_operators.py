@@ -426,3 +426,16 @@ def test_session_votes(spark, tmp_path):
     query.awaitTermination(120)
     got = {r["request"]: (r["value"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["request"] != "z"}
     assert got == {"a": (2.0, 2), "b": (5.0, 1)}
+
+
+def test_semantic_checks(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    found = audit.semantic_checks(
+        frame([("p", "x"), ("p", "y"), ("q", "x")], "key string, name string"), frame([("p", "x"), ("q", "x")], "key string, name string"), frame([("p",)], "key string"),
+        frame([("p", "FIT", "single"), ("q", "XYZ", None)], "key string, type string, status string"), frame([("single",), ("mfj",)], "status string"),
+    )
+    assert sorted(tuple(r) for r in found.select("key", "kind", "severity").collect()) == [("p", "missing_status", "warning"), ("p", "unused_input", "warning"), ("q", "missing_output", "error")]
+    priors = frame([(0, -0.7), (1, -0.7)], "class int, logp double")
+    out = models.naive_bayes_score(frame([(1, "a"), (2, "z")], "doc_id int, word string"), frame([("a", 0, -1.0), ("a", 1, -3.0)], "word string, class int, logp double"), priors)
+    got = {(r["doc_id"], r["class"]): round(r["probability"], 4) for r in out.collect()}
+    assert got == {(1, 0): 0.8808, (1, 1): 0.1192, (2, 0): 0.5, (2, 1): 0.5}
