@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         # after it every edge (u, v) has u > v
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, edges = edges, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        drop(old)  # what later steps read is written
         before, now = now, state(edges)
         if now == before:
             break

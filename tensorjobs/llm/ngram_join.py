@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, gram_hashes, has_bit, mix, ragged, runs, table, texts_of, word_arrays
+from .common import bitmap, cut, drop, gram_hashes, has_bit, mix, ragged, runs, table, texts_of, word_arrays
 from .components import components
 
 SHINGLE = 5
@@ -448,6 +448,7 @@ def _linked(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> Data
     classes = cut(classes, "classes")
     shared = cut(_hubs(docs, ranks, percent), "hubs")
     members = cut(_memberships(docs, ranks, shared, classes, percent), "memberships")
+    drop(shared)
     hubs = members.groupBy("hub").agg(F.ceil(F.sum(F.col("n") + SET_WEIGHT) / chunk).cast("int").alias("chunks"))
     blocks = (
         members.where("node <> hub")
