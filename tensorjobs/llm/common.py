@@ -216,6 +216,12 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def each_text(batch: pa.RecordBatch, step: int = 200) -> Iterator[bytes | None]:
+    """The texts of a batch one by one; only `step` of them are copied at a time."""
+    for lo in range(0, batch.num_rows, step):
+        yield from texts_of(batch.slice(lo, step))
+
+
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
     """Consecutive rows with equal keys, from batches sorted by them."""
     now, held = None, []

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, drop, gram_hashes, has_bit, mix, ragged, runs, table, texts_of, word_arrays
+from .common import bitmap, cut, drop, each_text, gram_hashes, has_bit, mix, ragged, runs, table, texts_of, word_arrays
 from .components import components
 
 SHINGLE = 5
@@ -79,12 +79,12 @@ def _sets(docs: DataFrame) -> DataFrame:
         total, size = np.zeros(1 << SKETCH_BITS, np.int64), 1 << SKETCH_BITS
         for batch in batches:
             n, node, held, held_n = [], [], [], 0
-            for s in shingle_sets(texts_of(batch)):
+            for s in shingle_sets(each_text(batch)):
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
                 held.append((s & np.uint64(size - 1)).astype(np.int64))
                 held_n += len(s)
-                if held_n > 2_000_000:
+                if held_n > 500_000:
                     total += np.bincount(np.concatenate(held), minlength=size)
                     held, held_n = [], 0
             if held_n:
@@ -147,7 +147,7 @@ def _prefixes(docs: DataFrame, ranks, percent: int, bits=None) -> DataFrame:
                 columns = [pa.array(np.concatenate(tokens).view(np.int64)), spread(nodes, np.int64), spread(sizes, np.int32), spread(copies, np.int32)]
                 return pa.RecordBatch.from_arrays(columns, ["shingle", "node", "n", "copies"])
 
-            for s in shingle_sets(texts_of(batch)):
+            for s in shingle_sets(each_text(batch)):
                 if not len(s):
                     continue
                 node = node_of(s)
