@@ -19,9 +19,22 @@ def pass_rates(results: DataFrame, *keys: str) -> DataFrame:
     return g.withColumns({"grammar_pct": percent(F.col("grammar"), F.col("total")), "execute_pct": percent(F.col("execute"), F.col("total"))})
 
 
-def model_pivot(results: DataFrame, models: list[str], metric: str = "execute") -> DataFrame:
-    """A row per category with the share of `metric` per model."""
-    return results.groupBy("cat").pivot("model", models).agg(F.avg(F.col(metric).cast("double")))
+#: Models up to which a pivot makes columns of them.
+MODELS = 1_000
+
+
+def model_shares(results: DataFrame, metric: str = "execute") -> DataFrame:
+    """(cat, model, share): the share of `metric` for each pair that occurs, whatever the number of models."""
+    return results.groupBy("cat", "model").agg(F.avg(F.col(metric).cast("double")).alias("share"))
+
+
+def model_pivot(results: DataFrame, models: list[str] | None = None, metric: str = "execute") -> DataFrame:
+    """A row per category with the share of `metric` per model; all models that occur unless some are given (MODELS at most, see model_shares)."""
+    if models is None:
+        models = sorted(r["model"] for r in results.select("model").where("model IS NOT NULL").distinct().limit(MODELS + 1).collect())
+        if len(models) > MODELS:
+            raise ValueError(f"more than {MODELS} models for columns: use model_shares")
+    return model_shares(results, metric).groupBy("cat").pivot("model", models).agg(F.first("share"))
 
 
 def retry_stats(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,22 +93,34 @@ def catalog_lookup(catalog: DataFrame, state: str, kind: str) -> DataFrame:
     return catalog.where((F.get(parts, F.lit(0)) == state) & (F.get(parts, F.lit(3)) == kind))
 
 
-def signal_match(texts: DataFrame, signals: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3) -> DataFrame:
-    """(key, problem_id, hits, place): for each text the problems with most signals in it, ties by rank.
+def signal_match(texts: DataFrame, signals: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3, block: int = 10_000) -> DataFrame:
+    """(key, problem_id, hits, place): for each text the problems with most signals in it, ties by rank, then problem.
 
-    signals(problem_id, rank, signal) becomes a literal array of checked size, so each text is read once and no pairs of
-    texts and signals are made. Texts are lower-cased, so a signal with a capital never matches.
+    signals(problem_id, rank, signal) is a parameter table that the driver holds; a null problem or signal matches nothing. It
+    becomes literals, `block` signals a pass over the texts, so no pairs of texts and signals are made; only with several passes are
+    hits (not texts) shuffled, to be added up. Texts are lower-cased, so a signal with a capital never matches; keys are unique.
     """
-    rows = signals.orderBy("rank").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10000 signals: split them")
-    by: dict = {}
+    rows = signals.where("problem_id IS NOT NULL AND signal IS NOT NULL").orderBy("rank", "problem_id", "signal").collect()
+    ranks: dict = {}
     for r in rows:
-        by.setdefault(r["problem_id"], (r["rank"], []))[1].append(r["signal"])
+        ranks.setdefault(r["problem_id"], r["rank"])
     low = F.lower(text)
-    hits = [F.struct((-sum((F.contains(low, F.lit(s)).cast("int") for s in found), F.lit(0))).alias("n"), F.lit(rank).alias("rank"), F.lit(p).alias("problem_id")) for p, (rank, found) in by.items()]
-    best = F.slice(F.array_sort(F.filter(F.array(*hits), lambda h: h["n"] < 0)), 1, top)
-    return texts.select(key, F.posexplode(best).alias("place", "h")).select(key, F.col("h.problem_id").alias("problem_id"), (-F.col("h.n")).alias("hits"), (F.col("place") + 1).alias("place"))
+
+    def hits(part: list) -> Column:
+        by: dict = {}
+        for r in part:
+            by.setdefault(r["problem_id"], []).append(F.contains(low, F.lit(r["signal"])).cast("int"))
+        each = [F.struct((-sum(found, F.lit(0))).alias("n"), F.lit(ranks[p]).alias("rank"), F.lit(p).alias("problem_id")) for p, found in by.items()]
+        return F.filter(F.array(*each), lambda h: h["n"] < 0)
+
+    if len(rows) <= block:
+        found = hits(rows) if rows else F.expr("cast(array() as array<struct<n:int,rank:int,problem_id:string>>)")
+        best = texts.select(key, F.posexplode(F.slice(F.array_sort(found), 1, top)).alias("place", "h"))
+        return best.select(key, F.col("h.problem_id").alias("problem_id"), (-F.col("h.n")).alias("hits"), (F.col("place") + 1).alias("place"))
+    passes = [texts.select(key, F.explode(hits(rows[lo : lo + block])).alias("h")).select(key, "h.*") for lo in range(0, len(rows), block)]
+    summed = reduce(DataFrame.unionByName, passes).groupBy(key, "rank", "problem_id").agg(F.sum("n").cast("int").alias("n"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("n", "rank", "problem_id"))  # a row per problem at most
+    return summed.withColumn("place", place).where(F.col("place") <= top).select(key, "problem_id", (-F.col("n")).alias("hits"), "place")
 
 
 def fragment_compat(producers: DataFrame, consumers: DataFrame) -> DataFrame:

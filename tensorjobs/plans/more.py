@@ -79,6 +79,17 @@ def dropout_identity_events(spark, d):
     return t(spark, d, "events").select("event_id", F.size(x).cast("long").alias("kept"))
 
 
+@query("SELECT event_type, count(*) AS n, TRUE AS near, 0::BIGINT AS wrong FROM events WHERE value IS NOT NULL GROUP BY 1")
+def dropout_share_events(spark, d):
+    """A quarter of the values is dropped (within six standard errors) and the rest is scaled; the same draw gives the same rows."""
+    e = t(spark, d, "events").where("value IS NOT NULL").select("event_type", F.col("value").cast("double").alias("v"), "event_id")
+    draw = lambda: C.dropout(F.array(F.col("v") + 1000), 0.25, 7, F.col("event_id"))
+    e = e.withColumns({"x": F.get(draw(), F.lit(0)), "again": F.get(draw(), F.lit(0))})
+    kept = F.abs(F.col("x") - (F.col("v") + 1000) / 0.75) < 1e-9
+    near = F.abs(F.avg((F.col("x") == 0).cast("int")) - 0.25) < 6 * F.sqrt(0.1875 / F.count("*"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), near.alias("near"), F.count_if(((F.col("x") != 0) & ~kept) | (F.col("x") != F.col("again"))).alias("wrong"))
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(e, lambda x: x * 0.999 - 0.01 * x)), 6) AS s FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
 def decayed_update_embeddings(spark, d):
     e = F.col("embedding").cast("array<double>")

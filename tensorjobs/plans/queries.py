@@ -452,10 +452,12 @@ def pass_rates_by_source(spark, d):
     return evaluate.pass_rates(_results(spark, d), "model", "cat").select("model", "cat", "total", "grammar", "execute", "grammar_pct")
 
 
-@query(f"SELECT cat, round(avg(execute::INT) FILTER (model = 'src0'), 6) AS src0, round(avg(execute::INT) FILTER (model = 'src1'), 6) AS src1 FROM ({EVAL}) GROUP BY cat")
+@query(f"SELECT cat, model, round(avg(execute::INT), 6) AS share FROM ({EVAL}) GROUP BY ALL HAVING share IS NOT NULL AND model IS NOT NULL")
 def pivot_by_source(spark, d):
-    p = evaluate.model_pivot(_results(spark, d), ["src0", "src1"])
-    return p.select("cat", r("src0").alias("src0"), r("src1").alias("src1"))
+    """All sources as columns of a pivot, and back to a row per category and source that occur together."""
+    p = evaluate.model_pivot(_results(spark, d))
+    long = p.unpivot("cat", [f"`{c}`" for c in p.columns if c != "cat"], "model", "share")
+    return long.where("share IS NOT NULL").select("cat", "model", r("share").alias("share"))
 
 
 @query("""SELECT prompt, max_by(doc_id, score * 1000000000 - doc_id) AS chosen, min_by(doc_id, score * 1000000000 - doc_id) AS rejected FROM (SELECT d.source AS prompt, l.doc_id, l.quality * 2 - l.toxic * l.quality AS score FROM labels l JOIN documents d USING (doc_id)) GROUP BY prompt HAVING count(*) >= 2 AND min(score) <> max(score)""")

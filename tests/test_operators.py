@@ -439,3 +439,22 @@ def test_semantic_checks(spark):
     out = models.naive_bayes_score(frame([(1, "a"), (2, "z")], "doc_id int, word string"), frame([("a", 0, -1.0), ("a", 1, -3.0)], "word string, class int, logp double"), priors)
     got = {(r["doc_id"], r["class"]): round(r["probability"], 4) for r in out.collect()}
     assert got == {(1, 0): 0.8808, (1, 1): 0.1192, (2, 0): 0.5, (2, 1): 0.5}
+
+
+def test_signals_over_passes(spark):
+    """Several passes add up to what one pass finds; ties go to the rank, null signals match nothing."""
+    texts = spark.createDataFrame([(1, "a tax on wage and rent"), (2, "RENT due"), (3, None), (4, "none"), (5, "")], "doc_id long, text string")
+    rows = [("p", 0, "tax"), ("p", 0, "wage"), ("q", 1, "rent"), ("q", 1, "wage"), ("r", 2, "due"), ("q", 1, None), (None, 3, "a"), ("s", 4, "Tax")]
+    signals = spark.createDataFrame(rows, "problem_id string, rank int, signal string")
+    want = {(1, "p", 2, 1), (1, "q", 2, 2), (2, "q", 1, 1), (2, "r", 1, 2)}
+    for block in (10_000, 2, 1):
+        got = lookup.signal_match(texts, signals, block=block)
+        assert got.columns == ["doc_id", "problem_id", "hits", "place"] and {tuple(r) for r in got.collect()} == want
+    assert lookup.signal_match(texts, signals.where("false")).count() == 0
+
+
+def test_model_pivot_of_all_models(spark):
+    rows = [("x", "m1", True), ("x", "m1", False), ("x", "m2", True), ("y", "m2", False), ("y", None, True)]
+    df = spark.createDataFrame(rows, "cat string, model string, execute boolean")
+    assert {tuple(r) for r in evaluate.model_pivot(df).select("cat", "m1", "m2").collect()} == {("x", 0.5, 1.0), ("y", None, 0.0)}
+    assert evaluate.model_shares(df).count() == 4
