@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, substring_dedup
+from . import merkle, quality_rules, substring_dedup
 from .class_lm import op6_class_lm
+from .merkle import op13_merkle_manifest
 from .mixing import op10_mixing
 from .neighbours import op4_neighbours
 from .ngram_join import op3_ngram_join
@@ -20,7 +21,7 @@ from .toxicity import op2_toxicity
 
 QUERIES = (
     op1_quality_rules, op2_toxicity, op3_ngram_join, op4_neighbours, op5_resharding,
-    op6_class_lm, op7_secret_scan, op8_packing, op9_substring_dedup, op10_mixing,
+    op6_class_lm, op7_secret_scan, op8_packing, op9_substring_dedup, op10_mixing, op13_merkle_manifest,
 )
 
 
@@ -35,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
