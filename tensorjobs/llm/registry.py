@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, quality_rules, substring_dedup
+from . import license_scan, merkle, quality_rules, substring_dedup
 from .class_lm import op6_class_lm
+from .license_scan import op12_license_scan
 from .merkle import op13_merkle_manifest
 from .mixing import op10_mixing
 from .neighbours import op4_neighbours
@@ -21,7 +22,7 @@ from .toxicity import op2_toxicity
 
 QUERIES = (
     op1_quality_rules, op2_toxicity, op3_ngram_join, op4_neighbours, op5_resharding,
-    op6_class_lm, op7_secret_scan, op8_packing, op9_substring_dedup, op10_mixing, op13_merkle_manifest,
+    op6_class_lm, op7_secret_scan, op8_packing, op9_substring_dedup, op10_mixing, op12_license_scan, op13_merkle_manifest,
 )
 
 
@@ -36,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op12_license_scan": license_scan.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
