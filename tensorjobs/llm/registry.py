@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, merkle, quality_rules, substring_dedup
+from . import collocations, license_scan, merkle, quality_rules, substring_dedup
 from .class_lm import op6_class_lm
+from .collocations import op11_collocations
 from .license_scan import op12_license_scan
 from .merkle import op13_merkle_manifest
 from .mixing import op10_mixing
@@ -22,7 +23,7 @@ from .toxicity import op2_toxicity
 
 QUERIES = (
     op1_quality_rules, op2_toxicity, op3_ngram_join, op4_neighbours, op5_resharding,
-    op6_class_lm, op7_secret_scan, op8_packing, op9_substring_dedup, op10_mixing, op12_license_scan, op13_merkle_manifest,
+    op6_class_lm, op7_secret_scan, op8_packing, op9_substring_dedup, op10_mixing, op11_collocations, op12_license_scan, op13_merkle_manifest,
 )
 
 
@@ -37,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op12_license_scan": license_scan.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_license_scan": license_scan.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
