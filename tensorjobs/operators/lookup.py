@@ -27,14 +27,90 @@ def brackets(spark, thresholds=RATE_THRESHOLDS, rates=RATE_RATES, bases=RATE_BAS
     return spark.createDataFrame(list(zip(thresholds, rates, bases, uppers, strict=True)), "threshold double, rate double, base double, upper double")
 
 
+#: Thresholds of a key up to which they travel with the key as an array.
+FEW = 64
+#: Bins of an as-of join at most, and rows that one task fills.
+MAX_BINS, FILL = 2_048, 1_000_000
+
+
 def rate_lookup(df: DataFrame, x: str, table: DataFrame, out: str = "amount", keys: list[str] = ()) -> DataFrame:
-    """df with base + (x - threshold) * rate of the largest threshold <= x; below the first, 0. keys: equal in both."""
-    t = small(table.select(*keys, "threshold", "rate", "base", "upper"))
-    cond = (F.col(f"d.{x}") >= F.col("t.threshold")) & (F.col("t.upper").isNull() | (F.col(f"d.{x}") < F.col("t.upper")))
-    for k in keys:
-        cond &= F.col(f"d.{k}") == F.col(f"t.{k}")
-    amount = F.coalesce(F.col("t.base") + (F.col(f"d.{x}") - F.col("t.threshold")) * F.col("t.rate"), F.lit(0.0))
-    return df.alias("d").join(t.alias("t"), cond, "left").select("d.*", F.when(F.col(f"d.{x}").isNotNull(), amount).alias(out))
+    """df with base + (x - threshold) * rate of the largest threshold <= x; below the first, and from its `upper` on, 0.
+
+    keys: equal in both; a null key finds nothing. A null x gives null.
+    """
+    found = asof_lookup(df, x, table.select(*keys, "threshold", "rate", "base", "upper"), "threshold", "_b", keys)
+    b = lambda c: F.col(f"_b.{c}").cast("double")
+    inside = F.col("_b").isNotNull() & (b("upper").isNull() | (F.col(x) < b("upper")))
+    amount = F.when(inside, b("base") + (F.col(x) - b("threshold")) * b("rate")).otherwise(0.0)
+    return found.withColumn(out, F.when(F.col(x).isNotNull(), amount)).drop("_b")
+
+
+def asof_lookup(df: DataFrame, x: str, table: DataFrame, at: str, out: str, keys: list[str] = (), few: int = FEW, fill: int = FILL, bins: int = MAX_BINS) -> DataFrame:
+    """df with the table's row of the largest `at` <= x among those with its keys, as a struct; null if there is none.
+
+    Of rows with equal keys and `at` the largest counts. Rows with null keys, x or `at` find and give nothing. Tables with `few` rows a
+    key go along as arrays in a join on the keys; others in one sort: rows and thresholds of a bin (`_filled`) stand in order, and each
+    row takes the last threshold before it. No row meets thresholds other than its own.
+    """
+    values = [c for c in table.columns if c not in keys and c != at]
+    known = [F.col(k).isNotNull() for k in keys] + [F.col(at).isNotNull()]
+    one = table.where(reduce(Column.__and__, known)).groupBy(*keys, at).agg(F.max(F.struct(*[F.col(v) for v in values]) if values else F.lit(True)).alias("_v"))
+    one = one.select(*keys, F.col(at).alias("_at"), F.struct(F.col(at), *[F.col(f"_v.{v}") for v in values]).alias("_r"))
+    kind, below = one.schema["_r"].dataType, lambda b: b[at] <= F.col(x)
+    if keys:
+        most = one.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
+        if (most[0] or 0) > few:
+            return _filled(df, x, one, out, list(keys), fill, bins)
+        lists = one.groupBy(*keys).agg(F.array_sort(F.collect_list("_r")).alias("_l"))
+        lists = F.broadcast(lists) if most[1] <= SMALL // few else lists
+        return df.join(lists, list(keys), "left").select(*[df[c] for c in df.columns], F.try_element_at(F.filter("_l", below), F.lit(-1)).alias(out))
+    rows = sorted(one.limit(few + 1).collect(), key=lambda r: r["_at"])
+    if len(rows) > few:
+        return _filled(df, x, one, out, [], fill, bins)
+    cells = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r["_r"], kind.fields, strict=True)]) for r in rows]
+    literal = F.array(*cells) if cells else F.array().cast(f"array<{kind.simpleString()}>")
+    return df.select("*", F.try_element_at(F.filter(literal, below), F.lit(-1)).alias(out))
+
+
+def _bin(x: Column, edges: list) -> Column:
+    """How many of the sorted edges are <= x, by halving."""
+    if not edges:
+        return F.when(x.isNotNull(), F.lit(0))
+    e = F.array(*map(F.lit, edges))
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(F.when(F.get(e, middle(s)) <= x, F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi"))))
+    halves = F.sequence(F.lit(0), F.lit(len(edges).bit_length()))
+    return F.when(x.isNotNull(), F.aggregate(halves, F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi")), step, lambda s: s["lo"]))
+
+
+def _filled(df: DataFrame, x: str, table: DataFrame, out: str, keys: list[str], fill: int, bins: int) -> DataFrame:
+    """The as-of join by one sort. table: keys, _at, _r.
+
+    Bins hold about equally many thresholds. A bin with more than `fill` rows is dealt out over parts, each with all of the bin's
+    thresholds; what a bin takes over from those before is found among the bins' last thresholds alone.
+    """
+    n = min(bins, max(1, table.count() // 256))
+    cuts = table.agg(F.percentile_approx("_at", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    edges = sorted(set(cuts or ()))
+    group = [*keys, "_bin"]
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (x, *keys)])
+    rows = df.where(known).select(F.struct("*").alias("_row"), F.col(x).alias("_x"), *keys).withColumn("_bin", _bin(F.col("_x"), edges))
+    marks = table.withColumn("_bin", _bin(F.col("_at"), edges))
+    counts = rows.groupBy(*group).agg(F.ceil(F.count("*") / fill).cast("int").alias("_parts"))
+    lasts = marks.groupBy(*group).agg(F.max(F.struct("_at", "_r")).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # `bins` rows a key at most
+    spans = counts.join(lasts, group, "full_outer").withColumn("_last", F.last("_last", True).over(before)).where("_parts IS NOT NULL")
+    spans = spans.select(*group, "_last", "_parts")
+    part = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")
+    own = marks.join(spans.select(*group, "_parts"), group).select(*group, part, "_at", "_r")
+    taken = spans.where("_last IS NOT NULL").select(*group, part, F.col("_last._at").alias("_at"), F.col("_last._r").alias("_r"))
+    dealt = rows.join(small(spans.where("_parts > 1").select(*group, "_parts")), group, "left")
+    dealt = dealt.withColumn("_part", (F.monotonically_increasing_id() % F.coalesce("_parts", F.lit(1))).cast("int"))
+    every = dealt.select(*group, "_part", F.col("_x").alias("_at"), F.lit(1).alias("_kind"), "_row", F.lit(None).cast(table.schema["_r"].dataType).alias("_r"))
+    every = every.unionByName(own.unionByName(taken).select(*group, "_part", "_at", F.lit(0).alias("_kind"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_r"))
+    w = Window.partitionBy(*group, "_part").orderBy("_at", "_kind")
+    found = every.withColumn("_r", F.last("_r", True).over(w)).where("_kind = 1").select("_row.*", F.col("_r").alias(out))
+    return found.unionByName(df.where(~known).withColumn(out, F.lit(None).cast(table.schema["_r"].dataType)))
 
 
 def rate_relu(x: Column, thresholds: list[float] = RATE_THRESHOLDS, rates: list[float] = RATE_RATES) -> Column:

@@ -606,3 +606,4 @@ def rules_calc_customers(spark, d):
 
 from . import more  # noqa: E402,F401  registers its queries
 from . import extra  # noqa: E402,F401  so does this
+from . import third  # noqa: E402,F401  and this
