@@ -187,8 +187,8 @@ def mlp_train(df: DataFrame, features: str, labels: str, layers: list[Layer], ep
                 else:
                     p -= lr * step
             if patience:
-                since = 0 if losses[-1] < best - min_delta else since + 1
-                best = min(best, losses[-1])
+                better = best - losses[-1] > min_delta
+                best, since = (losses[-1], 0) if better else (best, since + 1)
                 if since >= patience:
                     break
     finally:
@@ -319,15 +319,38 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def attention(df: DataFrame, seq: str, pos: str, kind: str = "long") -> DataFrame:
-    """(seq, pos, out): softmax(Q K^T / sqrt(d)) V of each sequence, rows (seq, pos, q, k, v); one sequence must fit a task."""
+def attention(df: DataFrame, seq: str, pos: str, kind: str = "long", block: int = 1024) -> DataFrame:
+    """(seq, pos, out): softmax(Q K^T / sqrt(d)) V of each sequence, rows (seq, pos, q, k, v), of any length.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(pos)
-        q, k, v = (np.array(p[c].tolist(), float) for c in "qkv")
-        return pd.DataFrame({seq: p[seq], pos: p[pos], "out": list(_softmax(q @ k.T / np.sqrt(q.shape[1])) @ v)})
-
-    return df.groupBy(seq).applyInPandas(run, f"{seq} {kind}, {pos} long, out array<double>")
+    A sequence is cut into blocks of about `block` rows by hash. Each block of queries meets each block of keys in a task of its own, which keeps per query
+    the largest score, the sum of weights and the weighted sum of values; these merge in any order. The work grows with the square
+    of a sequence's length, as the result needs; memory does not. Rows with null k or v are no keys; a null q, or no key at all, gives null.
+    """
+    rows = df.select(F.col(seq).alias("_s"), F.col(pos).alias("_p"), "q", "k", "v", F.monotonically_increasing_id().alias("_id"))
+    sizes = rows.groupBy("_s").agg(F.ceil(F.count("*") / block).cast("int").alias("_n")).withColumnRenamed("_s", "_t")
+    rows = rows.join(sizes, F.col("_s").eqNullSafe(F.col("_t"))).withColumn("_b", F.pmod(F.xxhash64("_p", "_id"), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    queries = rows.where("q IS NOT NULL").select("_s", F.col("_b").alias("qb"), every.alias("kb"), "_p", "_id", "q")
+    keys = rows.where("k IS NOT NULL AND v IS NOT NULL").select(F.col("_s").alias("_t"), every.alias("to"), F.col("_b").alias("of"), "k", "v")
+    schema = f"_s {kind}, _p {dict(rows.dtypes)['_p']}, _id long, m double, w double, a array<double>"
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return left[["_s", "_p", "_id"]].assign(m=-np.inf, w=0.0, a=None)
+        q, k, v = np.array(left.q.tolist(), float), np.array(right.k.tolist(), float), np.array(right.v.tolist(), float)
+        z = q @ k.T / np.sqrt(q.shape[1])
+        m = z.max(1)
+        e = np.exp(z - m[:, None])
+        return left[["_s", "_p", "_id"]].assign(m=m, w=e.sum(1), a=list(e @ v))
+
+    parts = queries.groupBy("_s", "qb", "kb").cogroup(keys.groupBy("_t", "to", "of")).applyInPandas(run, schema)
+    found = parts.groupBy("_s", "_p", "_id").agg(F.max("m").alias("m"), F.filter(F.collect_list(F.struct("m", "w", "a")), lambda x: x["a"].isNotNull()).alias("x"))  # a row per block of keys
+    scaled = F.transform("x", lambda x: F.struct((x["w"] * F.exp(x["m"] - F.col("m"))).alias("w"), F.transform(x["a"], lambda y: y * F.exp(x["m"] - F.col("m"))).alias("a")))
+    total = F.aggregate("y", F.lit(0.0), lambda s, x: s + x["w"])
+    summed = F.aggregate(F.slice("y", F.lit(2), F.size("y")), F.get("y", F.lit(0))["a"], lambda s, x: F.zip_with(s, x["a"], lambda a, b: a + b))
+    found = found.withColumn("y", scaled).withColumns({"_total": total, "_sum": F.when(F.size("y") > 0, summed)})
+    out = found.select(F.col("_s").alias(seq), F.col("_p").alias(pos), F.transform("_sum", lambda x: x / F.col("_total")).alias("out"))
+    return out.unionByName(rows.where("q IS NULL").select(F.col("_s").alias(seq), F.col("_p").alias(pos), F.lit(None).cast("array<double>").alias("out")))
 
 
 # ---- whole graphs ---------------------------------------------------------------------------------------------------
@@ -392,41 +415,40 @@ def graph_score(df: DataFrame, features: str, layers: list[dict], out: str = "sc
 
 
 def _images(df: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """f over the images of one shape at once, as x[n, c, h, w]. Null pixels or sizes give null pixels."""
     kinds, keep = dict(df.dtypes), [c for c in df.columns if c not in ("c", "h", "w", "pixels")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = [f(np.array(p, float).reshape(c, h, w)) for c, h, w, p in zip(pdf.c, pdf.h, pdf.w, pdf.pixels, strict=True)]
-            shapes = np.array([x.shape for x in out]).reshape(-1, 3).T.astype(np.int32)
-            yield pdf[keep].assign(c=shapes[0], h=shapes[1], w=shapes[2], pixels=[x.ravel() for x in out])
-
-    return df.select(*keep, "c", "h", "w", "pixels").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", c int, h int, w int, pixels array<double>")
+            shapes = np.full((len(pdf), 3), None, object)
+            pixels = np.full(len(pdf), None, object)
+            at = pd.Series(np.arange(len(pdf)))[pdf[["c", "h", "w", "pixels"]].notna().all(axis=1).to_numpy()]
+            for (c, h, w), some in at.groupby([pdf[k].to_numpy()[at] for k in "chw"]):
+                y = f(np.array(pdf["pixels"].iloc[some].tolist(), float).reshape(len(some), int(c), int(h), int(w)))
+                shapes[some] = y.shape[1:]
+                for i, v in zip(some, y.reshape(len(y), -1), strict=True):
+                    pixels[i] = v
+            yield pdf[keep].assign(**{k: pd.array(shapes[:, i], "Int32") for i, k in enumerate("chw")}, pixels=pixels)
 
-
-def _patches(x: np.ndarray, size: tuple[int, int], stride: int) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(x, size, axis=(1, 2))[:, ::stride, ::stride]
+    return df.select(*keep, "c", "h", "w", "pixels").mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), "c int, h int, w int, pixels array<double>"]))
 
 
 def conv2d(df: DataFrame, kernel: np.ndarray, stride: int = 1, padding: int = 0) -> DataFrame:
     """Correlation with kernel[out, in, kh, kw]; zeros around."""
-
-    def f(x: np.ndarray) -> np.ndarray:
-        x = np.pad(x, ((0, 0), (padding, padding), (padding, padding)))
-        return np.einsum("chwij,ocij->ohw", _patches(x, kernel.shape[2:], stride), kernel)
-
-    return _images(df, f)
+    layer = {"op": "conv", "kernel": np.asarray(kernel, float), "stride": stride, "padding": padding}
+    return _images(df, lambda x: _graph_step(x, layer, {}))
 
 
 def maxpool(df: DataFrame, size: int = 2, stride: int = 2) -> DataFrame:
-    return _images(df, lambda x: _patches(x, (size, size), stride).max((3, 4)))
+    return _images(df, lambda x: _graph_step(x, {"op": "maxpool", "size": size, "stride": stride}, {}))
 
 
 def upscale(df: DataFrame, factor: int = 2) -> DataFrame:
-    return _images(df, lambda x: x.repeat(factor, 1).repeat(factor, 2))
+    return _images(df, lambda x: x.repeat(factor, 2).repeat(factor, 3))
 
 
 def pad(df: DataFrame, n: int = 1) -> DataFrame:
-    return _images(df, lambda x: np.pad(x, ((0, 0), (n, n), (n, n))))
+    return _images(df, lambda x: np.pad(x, ((0, 0), (0, 0), (n, n), (n, n))))
 
 
 # ---- gradients --------------------------------------------------------------------------------------------------
@@ -443,33 +465,8 @@ def layer_norm_backward(grad: np.ndarray, x: np.ndarray, eps: float = R.EPS) ->
     return inv / n * (n * grad - grad.sum(-1, keepdims=True) - h * (grad * h).sum(-1, keepdims=True))
 
 
-def attention_backward(grad: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    root = np.sqrt(q.shape[1])
-    s = _softmax(q @ k.T / root)
-    z = softmax_backward(grad @ v.T, s) / root
-    return z @ k, z.T @ q, s.T @ grad
-
-
-def conv2d_backward(grad: np.ndarray, x: np.ndarray, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(input, kernel) gradients of a convolution of x[c, h, w] with stride 1 and no padding."""
-    dk = np.einsum("chwij,ohw->ocij", _patches(x, kernel.shape[2:], 1), grad)
-    kh, kw = kernel.shape[2:]
-    wide = np.pad(grad, ((0, 0), (kh - 1, kh - 1), (kw - 1, kw - 1)))
-    return np.einsum("ohwij,ocij->chw", _patches(wide, (kh, kw), 1), kernel[:, :, ::-1, ::-1]), dk
-
-
-def maxpool_backward(grad: np.ndarray, x: np.ndarray, size: int = 2) -> np.ndarray:
-    """Of a pool with stride = size: the gradient goes to the first largest of each window."""
-    out = np.zeros_like(x)
-    for c, i, j in np.ndindex(grad.shape):
-        w = x[c, i * size : (i + 1) * size, j * size : (j + 1) * size]
-        a, b = np.unravel_index(w.argmax(), w.shape)
-        out[c, i * size + a, j * size + b] += grad[c, i, j]
-    return out
-
-
 def matmul_backward(df: DataFrame, features: str, grad: str) -> DataFrame:
-    """(i, j, v) = X^T G over all rows: partial products per partition, then a sum."""
+    """(i, j, v) = X^T G over all rows: partial products per partition, then a sum. Rows with a null on either side take no part."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -481,7 +478,8 @@ def matmul_backward(df: DataFrame, features: str, grad: str) -> DataFrame:
             i, j = np.indices(total.shape)
             yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
 
-    return df.select(features, grad).mapInPandas(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    rows = df.select(features, grad).where(F.col(features).isNotNull() & F.col(grad).isNotNull())
+    return rows.mapInPandas(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 class Scorer:
