@@ -3,6 +3,9 @@
 Rows are dealt to `tasks` tasks by hash and stay there, as float arrays, for all epochs; an epoch's order is by another hash. A batch
 is the next `batch / tasks` rows of every task. Tasks exchange only sums as large as the parameters, and each applies the same step, so all hold the same
 parameters. With no more than `batch` rows a batch is all of them, whatever the number of tasks. All tasks must run at once; a lost one restarts the stage.
+
+An exchange takes about a second (barriers poll), so for many rows a task takes `every` steps on its own parts of the batches, after which parameters and
+moments are averaged, weighted by the rows that each has seen.
 """
 
 from __future__ import annotations
@@ -43,6 +46,12 @@ def _cut(flat: np.ndarray, shapes: list[tuple[tuple, tuple, int]]) -> list[Layer
     return out
 
 
+def _like(flat: np.ndarray, arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """flat in pieces of the arrays' shapes."""
+    ends = np.cumsum([a.size for a in arrays])
+    return [piece.reshape(a.shape) for piece, a in zip(np.split(flat, ends[:-1]), arrays, strict=True)]
+
+
 class Optimiser:
     """Steps on a list of arrays, which it changes: plain, or with moments."""
 
@@ -75,7 +84,7 @@ class Patience:
 
 
 def batches_train(
-    df: DataFrame, features: str, labels: str, layers: list[Layer], epochs: int = 1000, lr: float = 0.001, adam: bool = True, patience: int = 0, min_delta: float = 1e-6, batch: int = BATCH, tasks: int | None = None
+    df: DataFrame, features: str, labels: str, layers: list[Layer], epochs: int = 1000, lr: float = 0.001, adam: bool = True, patience: int = 0, min_delta: float = 1e-6, batch: int = BATCH, tasks: int | None = None, every: int = 1
 ) -> tuple[list[Layer], list[float]]:
     """(layers, losses) by mini-batch steps on the mean squared error; labels is an array column. A loss is the epoch's mean over rows and outputs, each
     before its batch's step. Rows with null features or labels take no part; without rows the layers come back as they are."""
@@ -118,16 +127,27 @@ def batches_train(
         optimiser, waiting, losses = Optimiser([p for w, b, _ in params for p in (w, b)], lr, adam), Patience(patience, min_delta), []
         for epoch in range(epochs if n else 0):
             order, lost = _order(hashes, epoch), 0.0
-            for lo in range(0, int(counts.max()), each):
-                some = order[lo : lo + each]
-                loss, grads = _gradients(xs[some], ys[some], params) if len(some) else (0.0, [np.zeros_like(p) for p in optimiser.params])
-                total = added(np.concatenate([[loss, len(some)], *(g.ravel() for g in grads)]))
+            for lo in range(0, int(counts.max()), each * every):
+                if every == 1:
+                    some = order[lo : lo + each]
+                    loss, grads = _gradients(xs[some], ys[some], params) if len(some) else (0.0, [np.zeros_like(p) for p in optimiser.params])
+                    total = added(np.concatenate([[loss, len(some)], *(g.ravel() for g in grads)]))
+                    optimiser.step(_like(total[2:] / total[1], optimiser.params))
+                else:
+                    seen, loss = 0, 0.0
+                    for at in range(lo, min(lo + each * every, int(counts.max())), each):
+                        some = order[at : at + each]
+                        if len(some):
+                            own_loss, grads = _gradients(xs[some], ys[some], params)
+                            loss, seen = loss + own_loss, seen + len(some)
+                            optimiser.step([g / len(some) for g in grads])
+                        else:
+                            optimiser.t += 1
+                    held = [*optimiser.params, *optimiser.m, *optimiser.v]
+                    total = added(np.concatenate([[loss, seen], *(seen * p.ravel() for p in held)]))
+                    for p, mean in zip(held, _like(total[2:] / total[1], held), strict=True):
+                        p[...] = mean
                 lost += total[0]
-                mean, at = [], 2
-                for p in optimiser.params:
-                    mean.append(total[at : at + p.size].reshape(p.shape) / total[1])
-                    at += p.size
-                optimiser.step(mean)
             losses.append(lost / (n * params[-1][0].shape[1]))
             if waiting.stops(losses[-1]):
                 break
