@@ -6,10 +6,10 @@ A candidate is
 - a key with a known prefix (AKIA..., ghp_..., PREFIXES),
 - a piece of the body of a PEM private key, also with line ends written as \\n,
 - a run of 16 or more key characters with a digit in it, inside a word.
-The forest sees its length, character transitions and distribution, how much of it a dictionary covers
-(the most frequent words of the documents themselves, and words of identifiers), the path of its document and the neighbouring words. It learns from labelled findings; where nobody has labelled any,
-`weak_label` gives labels to the clear cases, which are their verdict, and the forest learns from a bounded sample of
-them (SAMPLE) to judge the others. A run without a keyword is clearly harmless only if something says so.
+The forest sees its form, length, character transitions and distribution, how much of it a dictionary covers
+(the most frequent words of the documents themselves, and words of identifiers), the path of its document and the neighbouring words. It learns from labelled
+findings and gives every verdict: no rule stands beside it. Findings of one's own are a parameter; without them it learns from `examples`, a
+documented table of labelled texts: EXAMPLES lists contexts with the kind of value in them and the label, each written out COPIES times with values drawn by a fixed seed.
 
 Out of reach: values after a keyword without : or = ("the password is ...", <password>...</password>), values on another
 line than an opening quote, the rest of unquoted values after a blank, a quote or one of , ; &, runs without keyword and
@@ -18,12 +18,16 @@ prefix that are shorter than 16 or have no digit, and secrets that are split or
 Built-in functions and the DataFrame forest only. Texts without candidates are dropped by one pattern
 before anything is taken apart. Defined results: null and empty texts have no candidates; null paths
 are empty; rows that repeat an id are scanned one by one; candidates of any length are examined whole;
-with labels of one class only, that class is the verdict for all; with none, nothing is removed; columns of docs keep
+with labels of one class only, that class is the verdict for all; with an empty table of labels, nothing is removed; columns of docs keep
 their names and values in `redact`, whatever they are called, and `scan` returns none of them.
 """
 
 from __future__ import annotations
 
+import random
+import re
+import string
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -49,8 +53,7 @@ PEM = r"(?s)-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----EN
 FORMS = {"assigned": ASSIGNED, "url": URL, "prefix": PREFIXES}
 #: Values that stand for a secret, as a whole.
 STANDIN = r"(?i)^(?:passw(?:or)?d|pass|pwd|secret|token|key|user|none|null|true|false|nil|undefined|[*x.\-_#]+|[$%<{\[(].*|.*\(\)?|os\..*|process\..*|self\..*)$"
-SAMPLE = 20_000
-TREES, DEPTH, SEED = 20, 6, 11
+TREES, DEPTH, SEED = 30, 10, 11
 KEYWORDS = r"(?i)(token|secret|passw|pwd|api|key|auth|bearer|credential|private)"
 HARMLESS = r"(?i)(commit|sha|md5|checksum|digest|uuid|order|card|phone|isbn|issue|revision|etag)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your|test|xxxx|0123456789|1234567890|abcdef0)"
@@ -65,6 +68,7 @@ DICTIONARY = (
     "first last next new old main core base lib src bin tmp log error info debug"
 ).split()
 FEATURES = (
+    "is_pem", "is_prefix", "is_url", "is_assigned", "standin", "special_share", "blanks",
     "length", "digit_share", "upper_share", "lower_share", "hex", "kind_changes", "case_changes", "distinct_share", "entropy",
     "dictionary_share", "placeholder", "slashes", "path_harmless", "before_keyword", "before_harmless", "before_assigns", "after_harmless", "quoted",
 )
@@ -156,7 +160,11 @@ def featured(found: DataFrame, words: list[str] | None = None) -> DataFrame:
     before = F.concat_ws(" ", "before2", "before", F.expr("substring_index(word, candidate, 1)"))
     return found.withColumns(
         {
-            "length": n.cast("double"),
+            **{f"is_{k}": flag(F.col("kind") == k) for k in ("pem", "prefix", "url", "assigned")},
+            "standin": flag(c.rlike(STANDIN)),
+            "special_share": share(r"[^A-Za-z0-9\s]"),
+            "blanks": share(r"\s"),
+            "length": F.log2(n.cast("double")),
             "digit_share": share("[0-9]"),
             "upper_share": share("[A-Z]"),
             "lower_share": share("[a-z]"),
@@ -178,25 +186,56 @@ def featured(found: DataFrame, words: list[str] | None = None) -> DataFrame:
     ).drop("_e")
 
 
-def weak_label() -> Column:
-    """1 for findings that are clearly secrets, 0 for clear false positives, null for the rest; over FEATURES, kind and candidate."""
-    c, kind = F.col("candidate"), F.col("kind")
-    random = (F.col("entropy") > 2.8) & (F.col("digit_share").between(0.1, 0.95)) & (F.col("dictionary_share") < 0.4)
-    keyed = (F.col("before_keyword") == 1) & (F.col("before_assigns") == 1) & random & (F.col("placeholder") == 0)
-    mixed = ((F.col("digit_share") > 0) & c.rlike("[A-Za-z]")) | (F.col("case_changes") > 0) | c.rlike(r"[A-Za-z0-9][^A-Za-z0-9\s.:][A-Za-z0-9]")
-    quoted = (F.col("quoted") == 1) & ~c.rlike(r"\s")
-    assigned = (kind == "assigned") & (F.length(c) >= 6) & (F.col("placeholder") == 0) & (mixed | quoted) & (F.col("dictionary_share") < 0.6)
-    harmless = (F.col("before_harmless") == 1) | (F.col("after_harmless") == 1) | (F.col("path_harmless") == 1)
-    return (
-        F.when(kind == "pem", 1.0)
-        .when(c.rlike(STANDIN), 0.0)
-        .when(kind == "url", 1.0)
-        .when(kind == "prefix", F.when(c.rlike(r"(?i)example|placeholder|dummy|xxxxxx"), 0.0).otherwise(1.0))
-        .when(keyed | assigned, 1.0)
-        .when((F.col("placeholder") == 1) | (F.col("dictionary_share") >= 0.6) | ((kind == "run") & (F.col("digit_share") == 1)), 0.0)
-        .when((kind == "run") & (F.col("before_keyword") == 0) & harmless, 0.0)
-        .when((kind == "assigned") & (F.col("quoted") == 0) & c.rlike(r"^[A-Za-z]?[a-z]*[.:!?)]*$"), 0.0)
-    )
+#: Labelled contexts: 1 for secrets, 0 for what only looks like one; {v} is the value, of the kind named (`_value`).
+EXAMPLES = (
+    (1, 'token = "{v}"', "hex40"), (1, 'token = "{v}"', "base62"), (1, 'token = "{v}"', "letters"), (1, 'password = "{v}"', "password"), (1, "DB_PASSWORD={v}", "password"),
+    (1, "db_password: '{v}'", "spaced"), (1, 'pwd = "{v}"', "odd"), (1, "DB_PASS={v}", "odd"), (1, '"api_key": "{v}"', "base62"), (1, "api-key={v}", "hex32"), (1, "secret: {v}", "base64"),
+    (1, "Authorization: Bearer {v}", "base62"), (1, "aws_secret_access_key = {v}", "base64"), (1, "access_key={v}", "upper"), (1, "private_key: '{v}'", "base64"), (1, "auth_token := {v}", "hex40"),
+    (1, 'client_secret => "{v}"', "password"), (1, "token = {v}", "password"), (1, "token = {v}", "long"), (1, "token = {v}", "base62"), (1, 'credentials = "{v}"', "password"), (1, "secret_key = {v}", "hex40"),
+    (1, "postgres://admin:{v}@db.host/x", "password"), (1, "https://bot:{v}@git.host/r.git", "base62"), (1, "redis://:{v}@cache:6379", "hex32"), (1, "mysql://root:{v}@db", "odd"),
+    (1, "it was AKIA{v} there", "upper"), (1, "it was ghp_{v} there", "base62"), (1, "use sk_live_{v} now", "base62"), (1, "hook xoxb-{v} here", "base62"), (1, "AIza{v}", "base62"), (1, "got glpat-{v}", "base62"),
+    (1, "eyJ{v}.{v}.{v}", "base62"), (1, "npm_{v}", "base62"), (1, "hf_{v}", "letters"), (1, "github_pat_{v}", "base62"),
+    (1, "-----BEGIN RSA PRIVATE KEY-----\n{v}\n{v}\n{v}\n-----END RSA PRIVATE KEY-----", "base64"), (1, "-----BEGIN PRIVATE KEY-----\n{v}\n{v}\n-----END PRIVATE KEY-----", "letters"),
+    (1, '{"k": "-----BEGIN PRIVATE KEY-----\\n{v}\\n{v}\\n-----END PRIVATE KEY-----"}', "base64"), (1, "-----BEGIN EC PRIVATE KEY-----\n{v}==\n-----END EC PRIVATE KEY-----", "short"),
+    (0, "commit {v} was merged", "hex40"), (0, "commit {v} was merged", "base62"), (0, "sha256: {v}", "hex64"), (0, "md5 {v}", "hex32"), (0, "checksum={v}", "hex32"), (0, "etag {v}", "hex32"), (0, "digest {v}", "base64"),
+    (0, "revision {v} of it", "hex40"), (0, "order {v} came", "digits"), (0, "card {v} was used", "digits"), (0, "and {v} then", "digits"), (0, "phone {v}", "digits"), (0, "isbn {v}", "digits"), (0, "{v} {v}", "digits"),
+    (0, "uuid {v}", "uuid"), (0, "item {v} here", "uuid"), (0, "see {v} for it", "path"), (0, "the {v} build", "slug"), (0, "release {v} is out", "slug"), (0, "by {v} in", "slug"), (0, "cached as {v} there", "hex40"),
+    (0, "some {v} words", "hex32"), (0, 'password = "{v}"', "placeholder"), (0, "token: {v}", "placeholder"), (0, "api_key={v}", "placeholder"), (0, 'secret = "{v}"', "standin"), (0, "password: {v}", "standin"),
+    (0, "token = {v}", "variable"), (0, "password = {v}", "variable"), (0, "DB_PASS={v}", "variable"), (0, "The key: {v} was found", "word"), (0, "the secret: {v} knew", "word"), (0, "token: {v} of love", "word"),
+    (0, "a pass: {v}, they said", "word"), (0, "the auth: {v}.", "word"), (0, "http://user:{v}@host/x", "standin"), (0, "https://me:{v}@example.org", "standin"), (0, "ftp://a:{v}@b", "variable"),
+    (0, "AKIA{v}EXAMPLE", "upper9"), (0, 'sort_key = "{v}"', "name"), (0, "primary key: {v}", "name"), (0, 'key = "{v}"', "name"),
+)
+COPIES = 16
+
+
+def _value(rng: random.Random, kind: str) -> str:
+    pick = lambda letters, low, high: "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+    word = lambda: rng.choice(DICTIONARY)
+    small, large, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    return {
+        "hex32": lambda: pick("0123456789abcdef", 32, 32), "hex40": lambda: pick("0123456789abcdef", 40, 40), "hex64": lambda: pick("0123456789abcdef", 64, 64),
+        "base62": lambda: pick(small + large + digits, 20, 40), "letters": lambda: pick(small + large, 22, 64), "base64": lambda: pick(small + large + digits + "+/", 40, 64), "short": lambda: pick(small + large + digits, 8, 16),
+        "upper": lambda: pick(large + digits, 16, 16), "upper9": lambda: pick(large + digits, 9, 9), "digits": lambda: pick(digits, 16, 19), "long": lambda: pick(small + large + digits, 4, 6) * rng.randint(20, 2000),
+        "password": lambda: rng.choice([pick(small, 4, 9) + rng.choice(["", "-", "!", "_"]) + pick(digits, 2, 4), pick(large, 1, 1) + pick(small + digits, 5, 11) + pick(digits, 1, 2), word().title() + pick(digits, 3, 4) + rng.choice("!#%")]),
+        "spaced": lambda: f"{pick(large, 1, 1)}{pick(small + digits, 4, 7)}{rng.choice(' 	')}{pick(small, 3, 6)} {pick(digits, 2, 3)}", "odd": lambda: pick(small + digits, 2, 4) + rng.choice("$!%") + rng.choice(["", "\\", "$"]) + pick(small + large + digits, 3, 6) + rng.choice("!$%*?"),
+        "uuid": lambda: "-".join(pick("0123456789abcdef", n, n) for n in (8, 4, 4, 4, 12)), "path": lambda: "/".join([word(), word() + "-" + word(), word() + pick(digits, 1, 3)]) + "/" + word(),
+        "slug": lambda: "-".join([word(), word(), word(), pick(digits, 1, 4)]), "name": lambda: word() + rng.choice(["_", "-", "."]) + word(), "word": lambda: rng.choice([word(), pick(small, 2, 9)]),
+        "placeholder": lambda: rng.choice(["changeme", "your-token-here", "example123", "xxxxxxxxxxxxxxxx", "your_password", "test1234567890", "dummy-secret", "<your key>", "sample0123456789"]),
+        "standin": lambda: rng.choice(["password", "secret", "null", "None", "pass", "true", "******", "undefined", "user", "pwd", "token"]),
+        "variable": lambda: rng.choice(["${DB_PASS}", "$TOKEN", "os.environ['X']", "getenv()", "<password>", "{{ secret }}", "%PASS%", "process.env.KEY", "self.token", "read_key()"]),
+    }[kind]()
+
+
+def examples(spark: SparkSession) -> DataFrame:
+    """(doc_id, text, source, label): EXAMPLES written out; the same rows every time."""
+    rng = random.Random(SEED)
+    rows = []
+    for label, context, kind in EXAMPLES:
+        for _ in range(COPIES):
+            text = re.sub(r"\{v\}", lambda _, kind=kind: _value(rng, kind), context)
+            around = [" ".join(rng.choice(DICTIONARY) for _ in range(rng.randint(0, 4))) for _ in range(2)]
+            rows.append((len(rows), f"{around[0]} {text} {around[1]}".strip(), rng.choice(["src1", "web", "mail"]), float(label)))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, label double")
 
 
 def judge(found: DataFrame, labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
@@ -212,17 +251,17 @@ def judge(found: DataFrame, labelled: DataFrame, trees: int = TREES, depth: int
 
 
 def scan(docs: DataFrame, path: Column, labelled: DataFrame | None = None) -> DataFrame:
-    """Findings with their verdict: doc_id, text_key, path, at, word, kind, candidate, FEATURES, probability, secret."""
-    found = cut(featured(candidates(docs, path), word_list(docs)), "findings")  # few and small; labels over computed features would make plans too large
-    clear = labelled is None
-    if clear:
-        some = found.withColumn("label", weak_label()).where("label IS NOT NULL")
-        order = F.xxhash64("doc_id", "text_key", "at", "candidate")
-        labelled = cut(some.withColumn("_h", order).orderBy("_h").limit(SAMPLE).select(*FEATURES, "label"), "labelled-findings")
-    out = judge(found, labelled)
-    if clear:
-        out = out.withColumn("probability", F.coalesce(weak_label(), "probability")).withColumn("secret", F.col("probability") >= 0.5)
-    return out
+    """Findings with the forest's verdict: doc_id, text_key, path, at, word, kind, candidate, FEATURES, probability, secret.
+
+    labelled: FEATURES and label (0 or 1), a bounded table; without it `examples`.
+    """
+    words = word_list(docs)
+    found = cut(featured(candidates(docs, path), words), "findings")  # few and small
+    if labelled is None:
+        texts = examples(docs.sparkSession)
+        known = featured(candidates(texts, F.col("source")), words).select("doc_id", *FEATURES)
+        labelled = cut(known.join(texts.select("doc_id", "label"), "doc_id").select(*FEATURES, "label"), "labelled-findings")
+    return judge(found, labelled)
 
 
 def redact(docs: DataFrame, path: Column, labelled: DataFrame | None = None, mask: str = "[SECRET]") -> DataFrame:
