@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reduce import _with_group
+
 #: Program types that must have at least MIN_LINES lines, and tolerances of comparisons.
 INCOME_TYPES = ["FIT", "SIT", "COUNTY", "CITY", "SCHL", "PIT", "EIT"]
 MIN_LINES = 5
@@ -28,13 +31,13 @@ def outliers(df: DataFrame, group: str, key: str, value: str, digits: int = 8, s
     """(group, key, value, mean, sd, z): values more than `sigmas` sample deviations from their group's mean.
 
     Only positive values (below `upper`) count; groups of fewer than 3 values or without spread give none. Moments are
-    aggregated with partial sums and joined back; one row per key and rounded value.
+    aggregated with partial sums and joined back; one row per key and rounded value. Rows of a null group are a group.
     """
     rows = df.where(F.col(value) > 0)
     if upper is not None:
         rows = rows.where(F.col(value) < upper)
     moments = rows.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count("*").alias("n")).where("n >= 3 AND sd >= 1e-9").drop("n")
-    hits = rows.join(moments, group).withColumn("z", F.abs(F.col(value) - F.col("mean")) / F.col("sd")).where(F.col("z") > sigmas)
+    hits = _with_group(rows, moments, [group]).withColumn("z", F.abs(F.col(value) - F.col("mean")) / F.col("sd")).where(F.col("z") > sigmas)
     return hits.groupBy(group, key, F.round(value, digits).alias("value")).agg(F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.max("z").alias("z"))
 
 
@@ -79,7 +82,7 @@ def structure_diff(old: DataFrame, new: DataFrame) -> DataFrame:
         idx = F.row_number().over(Window.partitionBy("key", "status").orderBy("threshold", "rate", "cumulative"))
         return df.select("key", "status", idx.alias("idx"), F.struct("threshold", "rate", "cumulative").alias(side))
 
-    both = placed(old, "o").join(placed(new, "n"), ["key", "status", "idx"], "full_outer")
+    both = _beside(placed(old, "o"), placed(new, "n"), ["key", "status", "idx"])
 
     def change(name: str, field: str, tol: float) -> Column:
         a, b = F.col(f"o.{field}"), F.col(f"n.{field}")
@@ -96,8 +99,15 @@ def value_diff(old: DataFrame, new: DataFrame, name: str, tol: float) -> DataFra
     """The same for single values per (key, status): a flat rate (TOL_RATE) or a deduction (TOL_AMOUNT)."""
     o = old.select("key", "status", F.col("value").alias("old_value"))
     n = new.select("key", "status", F.col("value").alias("new_value"))
-    kind = F.when(F.col("old_value").isNull(), f"{name}_added").when(F.col("new_value").isNull(), f"{name}_removed").when(F.abs(F.col("old_value") - F.col("new_value")) > tol, f"{name}_changed")
-    return o.join(n, ["key", "status"], "full_outer").withColumn("category", kind).where("category IS NOT NULL")
+    kind = F.when(F.col("_in").isNull(), f"{name}_added").when(F.col("_on").isNull(), f"{name}_removed").when(F.abs(F.col("old_value") - F.col("new_value")) > tol, f"{name}_changed")
+    return _beside(o.withColumn("_in", F.lit(True)), n.withColumn("_on", F.lit(True)), ["key", "status"]).withColumn("category", kind).where("category IS NOT NULL").drop("_in", "_on")
+
+
+def _beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """A full outer join in which null keys are equal."""
+    a, b = a.withColumn("_a", F.lit(True)), b.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    both = a.join(b, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]), "full_outer")
+    return both.withColumns({k: F.when(F.col("_a"), F.col(k)).otherwise(F.col(f"_of_{k}")) for k in keys}).drop("_a", *(f"_of_{k}" for k in keys))
 
 
 def golden_check(actual: DataFrame, golden: DataFrame, programs: DataFrame, tol: float = TOL_GOLDEN) -> DataFrame:

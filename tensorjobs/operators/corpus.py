@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .reduce import _with_group
+
 LINE_END = r"\r\n|\r|\n"
 
 
@@ -149,11 +151,11 @@ def pad_to(df: DataFrame, anchors: DataFrame, key: Column, least: int = 500) ->
 def equalize(records: DataFrame, words: DataFrame, targets: DataFrame, key: str = "key") -> DataFrame:
     """Rows of words(word, key) repeated until each word of targets(word, target) has its number; a word short of it says how many copies it needs.
 
-    Returns (word, key, copy): for each word its records, copied evenly, `target` rows if it had fewer, all of them otherwise.
+    Returns (word, key, copy): for each word its records, copied evenly, `target` rows if it had fewer, all of them otherwise. A null word is a word.
     """
     pairs = words.join(records.select(key), key, "left_semi")
     counts = pairs.groupBy("word").agg(F.count("*").alias("n"))
-    need = targets.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    need = _with_group(targets, counts, ["word"])
     from pyspark.sql import Window
 
     # ranks within hash buckets of a word, from the rows of the buckets below: no word meets in one task
@@ -162,8 +164,8 @@ def equalize(records: DataFrame, words: DataFrame, targets: DataFrame, key: str
     below = F.sum("_m").over(Window.partitionBy("word").orderBy("_b")) - F.col("_m")  # 1000 rows a word at most
     starts = sizes.select(F.col("word").alias("_word"), F.col("_b").alias("_bucket"), below.alias("_start"))
     rank = F.row_number().over(Window.partitionBy("word", "_b").orderBy(key))
-    ranked = pairs.withColumn("_k", rank).join(starts, (F.col("word") == F.col("_word")) & (F.col("_b") == F.col("_bucket"))).withColumn("_r", F.col("_start") + F.col("_k"))
-    held = ranked.join(need, "word")
+    ranked = pairs.withColumn("_k", rank).join(starts, F.col("word").eqNullSafe(F.col("_word")) & (F.col("_b") == F.col("_bucket"))).withColumn("_r", F.col("_start") + F.col("_k"))
+    held = _with_group(ranked, need, ["word"])
     copies = F.when(F.col("n") >= F.col("target"), F.lit(1)).otherwise(F.expr("cast(target div n + if(_r <= target % n, 1, 0) as int)"))
     return held.select("word", key, F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
 
@@ -171,7 +173,7 @@ def equalize(records: DataFrame, words: DataFrame, targets: DataFrame, key: str
 def deficits(words: DataFrame, targets: DataFrame) -> DataFrame:
     """(word, missing): max(target - count, 0)."""
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    return targets.join(counts, "word", "left").select("word", F.greatest(F.col("target") - F.coalesce("n", F.lit(0)), F.lit(0)).alias("missing"))
+    return _with_group(targets, counts, ["word"], "left").select("word", F.greatest(F.col("target") - F.coalesce("n", F.lit(0)), F.lit(0)).alias("missing"))
 
 
 def word_counts(lines: DataFrame, line: str = "line", least: int = 2, special: tuple[str, ...] = ()) -> DataFrame:

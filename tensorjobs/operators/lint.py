@@ -107,6 +107,65 @@ def suggest_word(unknown: DataFrame, vocabulary: list[str]) -> DataFrame:
     return unknown.select("word").distinct().withColumn("n", best).select("word", F.when(F.col("n.d") <= limit, F.col("n.v")).alias("suggestion"))
 
 
+#: Edits that may part a word from its suggestion, in words of up to SHORT letters and longer ones.
+NEAR_SHORT, NEAR, SHORT = 2, 3, 4
+#: Letters from which words are compared by pieces instead of deletions, whose number grows with the cube of the length.
+LONG = 22
+
+
+def suggest_word_from(unknown: DataFrame, vocabulary: DataFrame, word: str = "word", place: str = "place") -> DataFrame:
+    """As `suggest_word`, from a vocabulary of any size: a table of `word` and `place`, its order.
+
+    Two words within d edits become equal by at most d deletions from each: both sides list what their deletions leave, and equality joins bring
+    near words together. Words of LONG letters and more list pieces instead: with NEAR edits, one of NEAR + 1 pieces of the vocabulary's word stands
+    in the other unchanged, moved by NEAR places at most. The exact distance is taken of these candidates only. Null words are left out.
+    """
+    asked = unknown.where(F.col(word).isNotNull()).select(F.col(word).alias("word")).distinct().withColumn("u", F.upper("word"))
+    limit = F.when(F.length("word") <= SHORT, NEAR_SHORT).otherwise(NEAR)
+    known = vocabulary.where(F.col(word).isNotNull()).groupBy(F.col(word).alias("v")).agg(F.min(place).alias("place"))
+    left = asked.withColumn("limit", limit)
+    forms = lambda df, c, most: df.select("*", F.explode(_deletions(F.col(c), most)).alias("form"))
+    short = forms(left.where(F.length("u") < LONG + NEAR), "u", F.col("limit")).join(forms(known.where(F.length("v") < LONG), "v", F.lit(NEAR)), "form")
+    pieces = _by_pieces(left.where(F.length("u") >= LONG - NEAR), known.where(F.length("v") >= LONG))
+    columns = ["word", "u", "limit", "v", "place"]
+    pairs = short.select(columns).unionByName(pieces.select(columns)).distinct()
+    near = pairs.withColumn("d", F.levenshtein("u", "v")).where(F.col("d") <= F.col("limit"))
+    best = near.groupBy("word").agg(F.min(F.struct("d", "place", "v")).alias("b")).select("word", F.col("b.v").alias("suggestion"))
+    return asked.select("word").join(best, "word", "left")
+
+
+def _deletions(word: Column, most: Column) -> Column:
+    """All that is left of a word after up to `most` deletions."""
+    from itertools import combinations
+
+    @F.pandas_udf("array<string>")
+    def kernel(words: pd.Series, most: pd.Series) -> pd.Series:
+        out = []
+        for w, m in zip(words, most, strict=True):
+            left = {w}
+            for k in range(1, min(int(m), len(w)) + 1):
+                left.update("".join(c) for c in combinations(w, len(w) - k))
+            out.append(list(left))
+        return pd.Series(out, dtype=object)
+
+    return kernel(word, most)
+
+
+def _by_pieces(left: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of long words of which a piece of the known one stands in the other, near its place."""
+    n = NEAR + 1
+    # piece i of a word of length l begins at floor(i * l / n)
+    at = lambda i, length: F.floor(i * length / n).cast("int")
+    numbers = F.sequence(F.lit(0), F.lit(n - 1))
+    one = known.select("*", F.length("v").alias("l"), F.explode(numbers).alias("i"))
+    one = one.withColumn("form", F.expr(f"substring(v, cast(floor(i * l / {n}) as int) + 1, cast(floor((i + 1) * l / {n}) as int) - cast(floor(i * l / {n}) as int))"))
+    probes = left.select("*", F.explode(F.sequence(F.length("u") - NEAR, F.length("u") + NEAR)).alias("l")).select("*", F.explode(numbers).alias("i"))
+    start = at(F.col("i"), F.col("l"))
+    probes = probes.withColumns({"s": start, "m": at(F.col("i") + 1, F.col("l")) - start}).select("*", F.explode(F.sequence(F.greatest(F.col("s") - NEAR, F.lit(0)), F.col("s") + NEAR)).alias("p"))
+    probes = probes.withColumn("form", F.substring(F.col("u"), F.col("p") + 1, F.col("m"))).where(F.length("form") == F.col("m")).select("word", "u", "limit", "l", "i", "form").distinct()
+    return probes.join(one, ["l", "i", "form"])
+
+
 _SIGN_LINE = r"^\s*✦\s+"
 _SIGNED = r"^\s*✦\s+agent=(\S+)\s+key=(\S+?):(\S+)\s+sig=(\S+)"
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,28 +171,39 @@ def catalog_lookup(catalog: DataFrame, state: str, kind: str) -> DataFrame:
     return catalog.where((F.get(parts, F.lit(0)) == state) & (F.get(parts, F.lit(3)) == kind))
 
 
-def signal_match(texts: DataFrame, signals: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3, block: int = 10_000) -> DataFrame:
+#: Signals up to which each is looked for on its own, and the most that one automaton holds and the driver reads (about 1 GB).
+EACH, MOST_SIGNALS = 32, 2_000_000
+
+
+def signal_match(texts: DataFrame, signals: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3, block: int = MOST_SIGNALS, each: int = EACH) -> DataFrame:
     """(key, problem_id, hits, place): for each text the problems with most signals in it, ties by rank, then problem.
 
-    signals(problem_id, rank, signal) is a parameter table that the driver holds; a null problem or signal matches nothing. It
-    becomes literals, `block` signals a pass over the texts, so no pairs of texts and signals are made; only with several passes are
-    hits (not texts) shuffled, to be added up. Texts are lower-cased, so a signal with a capital never matches; keys are unique.
+    signals(problem_id, rank, signal) is a parameter table of at most MOST_SIGNALS rows; a null problem or signal matches nothing, a problem's first
+    rank holds. Few signals become expressions; more go into one automaton (Aho-Corasick), which reads a text once whatever their number, `block`
+    signals a pass. Only with several passes are hits (not texts) shuffled, to be added up. Texts are lower-cased, so a signal with a
+    capital never matches; keys are unique.
     """
-    rows = signals.where("problem_id IS NOT NULL AND signal IS NOT NULL").orderBy("rank", "problem_id", "signal").collect()
+    rows = signals.where("problem_id IS NOT NULL AND signal IS NOT NULL").select("problem_id", "rank", "signal").limit(MOST_SIGNALS + 1).collect()
+    if len(rows) > MOST_SIGNALS:
+        raise ValueError(f"more than {MOST_SIGNALS} signals: match parts of them by problem and rank what they find")
+    rows.sort(key=lambda r: ((r["rank"] is not None, r["rank"] or 0), r["problem_id"], r["signal"]))
     ranks: dict = {}
     for r in rows:
         ranks.setdefault(r["problem_id"], r["rank"])
-    low = F.lower(text)
+    kinds = dict(signals.dtypes)
+    hit = f"struct<n:int,rank:{kinds['rank']},problem_id:{kinds['problem_id']}>"
 
     def hits(part: list) -> Column:
+        if len(part) > each:
+            return _automaton(part, ranks, f"array<{hit}>")(F.lower(text))
         by: dict = {}
         for r in part:
-            by.setdefault(r["problem_id"], []).append(F.contains(low, F.lit(r["signal"])).cast("int"))
-        each = [F.struct((-sum(found, F.lit(0))).alias("n"), F.lit(ranks[p]).alias("rank"), F.lit(p).alias("problem_id")) for p, found in by.items()]
-        return F.filter(F.array(*each), lambda h: h["n"] < 0)
+            by.setdefault(r["problem_id"], []).append(F.contains(F.lower(text), F.lit(r["signal"])).cast("int"))
+        found = [F.struct((-reduce(Column.__add__, c)).alias("n"), F.lit(ranks[p]).cast(kinds["rank"]).alias("rank"), F.lit(p).alias("problem_id")) for p, c in by.items()]
+        return F.filter(F.array(*found), lambda h: h["n"] < 0)
 
     if len(rows) <= block:
-        found = hits(rows) if rows else F.expr("cast(array() as array<struct<n:int,rank:int,problem_id:string>>)")
+        found = hits(rows) if rows else F.array().cast(f"array<{hit}>")
         best = texts.select(key, F.posexplode(F.slice(F.array_sort(found), 1, top)).alias("place", "h"))
         return best.select(key, F.col("h.problem_id").alias("problem_id"), (-F.col("h.n")).alias("hits"), (F.col("place") + 1).alias("place"))
     passes = [texts.select(key, F.explode(hits(rows[lo : lo + block])).alias("h")).select(key, "h.*") for lo in range(0, len(rows), block)]
@@ -199,6 +212,54 @@ def signal_match(texts: DataFrame, signals: DataFrame, text: str = "text", key:
     return summed.withColumn("place", place).where(F.col("place") <= top).select(key, "problem_id", (-F.col("n")).alias("hits"), "place")
 
 
+_built: dict = {}
+
+
+def _automaton(part: list, ranks: dict, schema: str):
+    """A function of a text column that gives its problems as structs (minus the number of signals, rank, problem)."""
+    from pyspark.sql import SparkSession
+
+    problems = list(dict.fromkeys(r["problem_id"] for r in part))
+    number = {p: i for i, p in enumerate(problems)}
+    sent = SparkSession.active().sparkContext.broadcast(([(r["signal"], number[r["problem_id"]]) for r in part], [(p, ranks[p]) for p in problems]))
+    name = uuid4().hex
+
+    def built():
+        """The automaton; a worker makes it once."""
+        import ahocorasick
+
+        if name not in _built:
+            _built.clear()
+            words: dict[str, list[int]] = {}
+            for signal, i in sent.value[0]:
+                words.setdefault(signal, []).append(i)
+            machine = ahocorasick.Automaton()
+            for k, w in enumerate(words):
+                if w:
+                    machine.add_word(w, k)
+            machine.make_automaton()
+            always = words.get("", [])
+            _built[name] = machine, list(words.values()), always
+        return _built[name]
+
+    @F.pandas_udf(schema)
+    def kernel(x: pd.Series) -> pd.Series:
+        machine, owners, always = built()
+        out = []
+        for text in x:
+            counts: dict[int, int] = {}
+            if text is not None:
+                for i in always:
+                    counts[i] = counts.get(i, 0) + 1
+                for k in {k for _, k in machine.iter(text)} if len(machine) else ():
+                    for i in owners[k]:
+                        counts[i] = counts.get(i, 0) + 1
+            out.append([{"n": -n, "rank": sent.value[1][i][1], "problem_id": sent.value[1][i][0]} for i, n in counts.items()])
+        return pd.Series(out, dtype=object)
+
+    return kernel
+
+
 def fragment_compat(producers: DataFrame, consumers: DataFrame) -> DataFrame:
     """(fragment, name, issue): consumer inputs without a producer of that name (missing) or with another type (mismatch)."""
     made = producers.groupBy("name").agg(F.collect_set("type").alias("types"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql.types import DoubleType, LongType
 
 EPS = 1e-5
 REDUCE = {0: "sum", 1: "avg", 2: "max", 3: "min"}
@@ -54,6 +56,52 @@ def vote(df: DataFrame, keys: list[str], value: str = "value", strategy: int = 0
     return votes(df, keys, value, {"value": strategy}, approximate)
 
 
+#: Values of a group from which its median is found by counting, and bits that a round of counting settles.
+HUGE, DIGIT = 1_000_000, 16
+
+
+@F.pandas_udf(LongType())
+def _sortable(v: pd.Series) -> pd.Series:
+    """Bits of a double that order like the doubles (NaN last) when read without sign."""
+    b = (v.to_numpy(float) + 0.0).view(np.int64)
+    return pd.Series(np.where(b < 0, ~b, b ^ np.int64(-(2**63))))
+
+
+@F.pandas_udf(DoubleType())
+def _unsortable(s: pd.Series) -> pd.Series:
+    b = s.to_numpy(np.int64)
+    return pd.Series(np.where(b < 0, b ^ np.int64(-(2**63)), ~b).view(float))
+
+
+def median(df: DataFrame, keys: list[str], value: str = "value", huge: int = HUGE) -> DataFrame:
+    """(keys, value): exact medians, also of groups whose values no task could hold; nulls take no part, a null key is a group.
+
+    Groups of up to `huge` values are aggregated as usual. For larger ones (a table of them is as small as the data over `huge`) the
+    middle values are narrowed down: of the doubles' bits in sorting order, DIGIT at a time, one aggregation counts how many values
+    begin with each pattern, and the pattern that holds the middle one goes on to the next round. No values are gathered.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = sizes.where(F.col("_n") > huge)
+    if not large.take(1):
+        return rows.groupBy(*keys).agg(F.median("_v").alias("value"))
+    few = _with_group(rows, F.broadcast(large), keys, "left").where("_n IS NULL").groupBy(*keys).agg(F.median("_v").alias("value"))
+    found = large.select(*keys, F.explode(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))).alias("_rank")).distinct()
+    found = found.select(*keys, F.col("_rank").alias("_of"), "_rank", F.lit(0).cast("long").alias("_prefix"))
+    bits = rows.withColumn("_s", _sortable("_v")).drop("_v")
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        above = F.lit(0).cast("long") if shift + DIGIT == 64 else F.shiftrightunsigned("_s", shift + DIGIT)
+        some = _with_group(bits, F.broadcast(found), keys).where(above == F.col("_prefix"))
+        digit = F.shiftrightunsigned("_s", shift).bitwiseAND(F.lit((1 << DIGIT) - 1).cast("long"))
+        counts = some.groupBy(*keys, "_of", "_rank", "_prefix", digit.alias("_d")).agg(F.count("*").alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*keys, "_of").orderBy("_d"))  # 2 ** DIGIT rows at most
+        held = counts.withColumn("_upto", upto).where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
+        found = held.select(*keys, "_of", (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_rank"), F.shiftleft("_prefix", DIGIT).bitwiseOR(F.col("_d")).alias("_prefix"))
+    number = F.coalesce(_unsortable("_prefix"), F.lit(float("nan")))  # pandas hands NaN over as null
+    many = found.withColumn("_v", number).groupBy(*keys).agg(F.avg("_v").alias("value"))
+    return few.unionByName(many)
+
+
 def vote_named(df: DataFrame, keys: list[str], value: str = "value", strategy: str = "mean") -> DataFrame:
     """As vote, by name; an unknown name means the mean."""
     return vote(df, keys, value, {v: k for k, v in VOTES.items()}.get(strategy, 1))
@@ -101,11 +149,11 @@ def softmax(x: Column) -> Column:
     return F.transform(x, lambda v: F.exp(v - top) / total)
 
 
-def _with_group(df: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+def _with_group(df: DataFrame, of: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """df with the columns of `of`, a row per group; null keys are a group too."""
     of = of.withColumnsRenamed({k: f"_of_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    return df.join(of, same).drop(*(f"_of_{k}" for k in keys))
+    return df.join(of, same, how).drop(*(f"_of_{k}" for k in keys))
 
 
 def softmax_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:

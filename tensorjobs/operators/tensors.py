@@ -79,8 +79,9 @@ def matmul_blocked(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
     import pandas as pd
 
     def tiles(m: DataFrame, r: str, c: str, name: str) -> DataFrame:
-        cell = F.struct((F.col("i") % block).cast("int").alias("y"), (F.col("j") % block).cast("int").alias("x"), "v")
-        return m.groupBy(F.floor(F.col("i") / block).alias(r), F.floor(F.col("j") / block).alias(c)).agg(F.collect_list(cell).alias(name))
+        at = ((F.col("i") % block) * block + F.col("j") % block).cast("int")
+        cells = m.where("v IS NOT NULL").groupBy(F.floor(F.col("i") / block).alias(r), F.floor(F.col("j") / block).alias(c)).agg(F.collect_list(F.struct(at.alias("at"), F.col("v").cast("double").alias("v"))).alias("_c"))
+        return cells.select(r, c, F.struct(F.col("_c.at").alias("at"), F.col("_c.v").alias("v")).alias(name))
 
     def run(frames):
         for pdf in frames:
@@ -88,8 +89,7 @@ def matmul_blocked(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
             for r, c, left, right in zip(pdf.r, pdf.c, pdf.left, pdf.right, strict=True):
                 x, y = np.zeros((block, block)), np.zeros((block, block))
                 for m, cells in ((x, left), (y, right)):
-                    for cell in cells:
-                        m[cell["y"], cell["x"]] = cell["v"]
+                    m.ravel()[np.asarray(cells["at"])] = cells["v"]
                 i, j = np.nonzero((x != 0).any(1)[:, None] & (y != 0).any(0)[None, :])
                 out.append(pd.DataFrame({"i": r * block + i, "j": c * block + j, "v": (x @ y)[i, j]}))
             if out:
