@@ -485,7 +485,7 @@ def retry_counts(spark, d):
     return evaluate.retry_stats(y, ["l_shipmode"]).select("l_shipmode", "retries_used", "saved", "passed")
 
 
-@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, ';.*$', ''), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'), ' ')), lambda x: x <> ''), '¶') AS compact FROM documents WHERE NOT contains(text, chr(13))")
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: trim(regexp_replace(regexp_replace(x, ';.*$', ''), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'), ' ')), lambda x: x <> ''), '¶') AS compact FROM documents")
 def compact_documents(spark, d):
     return t(spark, d, "documents").select("doc_id", lint.compact(F.col("text")).alias("compact"))
 
@@ -607,3 +607,4 @@ def rules_calc_customers(spark, d):
 from . import more  # noqa: E402,F401  registers its queries
 from . import extra  # noqa: E402,F401  so does this
 from . import third  # noqa: E402,F401  and this
+from . import fixtures  # noqa: E402,F401  and this

@@ -40,9 +40,9 @@ def write_named_tensors(df: DataFrame, path: str) -> None:
     df.select(line.alias("value")).write.text(path)
 
 
-def read_chat_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Chats with file and pos; lines that don't parse are skipped."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+def read_chat_jsonl(spark: SparkSession, path: str, names: str = "*.jsonl") -> DataFrame:
+    """Chats with file and pos, from files called like `names`; lines that don't parse are skipped."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).text(path)
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos")).where(F.col("value").rlike(r"\S"))
     parsed = lines.withColumn("r", F.from_json("value", CHAT, {"columnNameOfCorruptRecord": "_corrupt"}))
     return parsed.where("r IS NOT NULL AND r._corrupt IS NULL").select("r.messages", "r.instruction", "r.input", "r.output", "file", "pos")

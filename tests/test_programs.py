@@ -1,5 +1,6 @@
 """Semantic findings of programs from their text."""
 
+from tensorjobs.operators import lint
 from tensorjobs.operators.programs import program_checks
 
 
@@ -57,3 +58,18 @@ def test_inputs_outputs_rates_statuses(spark):
     assert found(spark, gates, "fit") == [("status_coverage", 0, "mfj")] and found(spark, gates, "SALES") == []
     assert found(spark, OUT, "SIT") == [("status_coverage", 0, "mfj"), ("status_coverage", 0, "single")]
     assert found(spark, None) == found(spark, " \n\t\n") == [("missing_output", 0, None)]
+
+
+def test_code_and_data_of_answers(spark):
+    """Fenced blocks, data in a later block or between code lines, open fences, answers without fences."""
+    answers = {
+        "two": ("Here:\n```nml\nLD R0 @x\nHALT\n```\nand\n```\n@x shape=1 data=5\n```\nbye", "LD R0 @x\nHALT", "@x shape=1 data=5"),
+        "mixed": ("```\nLD R0 @x\n@x shape=1 data=5\nHALT\n```", "LD R0 @x\nHALT", "@x shape=1 data=5"),
+        "open": ("text\n```\nLD R0 @x\nHALT", "LD R0 @x\nHALT", ""),
+        "later text": ("```\nHALT\n```\n```\nno data here\n```", "HALT", ""),
+        "bare": ("The program:\nLD R0 @x\nHALT\nhalts then", "LD R0 @x\nHALT", ""),
+        "none": (None, "", ""),
+    }
+    df = spark.createDataFrame([(k, a) for k, (a, _, _) in answers.items()], "key string, response string")
+    got = {r["key"]: (r["code"], r["data"]) for r in lint.extract_code_and_data(df).collect()}
+    assert got == {k: (code, data) for k, (_, code, data) in answers.items()}
