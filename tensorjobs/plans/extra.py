@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import corpus, evaluate, lint, lookup, models
 from ..sources import files
-from .queries import _WORDS_SQL, WORDS, query, r, t
+from .queries import _WORDS_SQL, SQL, WORDS, query, r, t
 
 _E = "(SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64)"
 
@@ -44,6 +44,9 @@ def _conv_sql(y: int, x: int) -> str:
 _CONV_SQL = ", ".join(f"greatest({', '.join(_conv_sql(2 * i + a, 2 * j + b) for a in (0, 1) for b in (0, 1))})" for i in range(3) for j in range(3))
 
 
+SQL["conv2d_embeddings"] = f"SELECT vec_id, 1 AS c, 3 AS h, 3 AS w, list_transform([{_CONV_SQL}], lambda x: round(x, 6)) AS pixels FROM {_E}"
+
+
 @query(f"SELECT vec_id, unnest(range(9)) AS place, round(unnest([{_CONV_SQL}]), 6) AS value FROM {_E}")
 def conv2d_pixels_embeddings(spark, d):
     """Convolution and pooling of vectors as images, a row per pixel."""

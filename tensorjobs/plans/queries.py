@@ -552,9 +552,10 @@ def mlp_train_quality(spark, d):
     return y.limit(1).select(F.posexplode(F.array(*map(F.lit, losses))).alias("epoch", "loss"))
 
 
-@query("SELECT i::BIGINT AS i, j::BIGINT AS j, round(sum(a * b), 4) AS v FROM (SELECT vec_id, unnest(range(4)) AS i, unnest(embedding[1:4])::DOUBLE AS a FROM embeddings) JOIN (SELECT vec_id, unnest(range(4)) AS j, unnest(embedding[5:8])::DOUBLE AS b FROM embeddings) USING (vec_id) GROUP BY ALL")
+@query("SELECT i::BIGINT AS i, j::BIGINT AS j, round(sum(a * b), 4) AS v FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS a FROM embeddings) JOIN (SELECT vec_id, unnest(range(len(embedding))) AS j, unnest(list_reverse(embedding))::DOUBLE AS b FROM embeddings) USING (vec_id) GROUP BY ALL")
 def matmul_backward_embeddings(spark, d):
-    y = t(spark, d, "embeddings").select(F.slice("embedding", 1, 4).cast("array<double>").alias("x"), F.slice("embedding", 5, 4).cast("array<double>").alias("g"))
+    """The gradient of a product's matrix over all vectors: their outer products with themselves reversed, summed."""
+    y = t(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"), F.reverse("embedding").cast("array<double>").alias("g"))
     return models.matmul_backward(y, "x", "g").withColumn("v", r("v", 4))
 
 
@@ -579,7 +580,9 @@ def conv2d_embeddings(spark, d):
     return models.maxpool(models.conv2d(y, k)).select("vec_id", "c", "h", "w", F.transform("pixels", lambda x: F.round(x, 6)).alias("pixels"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT vec_id, floor(vec_id / 100)::BIGINT::VARCHAR || '/' || coalesce(label::VARCHAR, '') AS seq, embedding::DOUBLE[] AS e FROM embeddings),
+z AS (SELECT a.vec_id AS pos, b.e AS v, list_dot_product(a.e, b.e) / sqrt(len(a.e)) AS z FROM x a JOIN x b USING (seq)), w AS (SELECT pos, v, exp(z - max(z) OVER (PARTITION BY pos)) AS w FROM z)
+SELECT pos, [{', '.join(f'round(sum(w * v[{k}]) / sum(w), 6)' for k in range(1, 65))}] AS out FROM w GROUP BY pos""")
 def attention_per_label(spark, d):
     """Self-attention within fixed windows: the vectors of one label among 100 consecutive ids, never a whole label.
 
