@@ -611,3 +611,4 @@ from . import more  # noqa: E402,F401  registers its queries
 from . import extra  # noqa: E402,F401  so does this
 from . import third  # noqa: E402,F401  and this
 from . import fixtures  # noqa: E402,F401  and this
+from . import streams  # noqa: E402,F401  and this
