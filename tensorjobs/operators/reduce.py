@@ -213,7 +213,3 @@ def unit(x: Column) -> Column:
     """x over its norm, if that is above 1e-12."""
     n = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
     return F.when(n > 1e-12, F.transform(x, lambda v: v / n)).otherwise(x)
-
-
-def lagged(df: DataFrame, keys: list[str], order: str, value: str) -> Column:
-    return F.lag(value).over(Window.partitionBy(*keys).orderBy(order))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tensorjobs.operators import audit, corpus, lint, lookup, reduce, vectors
+from tensorjobs.functions import columns as C
+from tensorjobs.operators import audit, corpus, lint, lookup, models, reduce, tensors, vectors
 
 
 @pytest.mark.parametrize("huge", [10, 10**9])
@@ -131,3 +132,50 @@ def test_null_vectors_take_no_part(spark):
     got = {(r["query_id"], r["vec_id"]) for r in vectors.pairwise_nearest(df, df, 1, block=2).collect()}
     assert got == {(1, 2), (2, 1), (4, 2)}
     assert vectors.pairwise_nearest(df.where("id = 3"), df, 2).count() == 0
+
+
+def test_conversions_and_rows_under_a_matrix(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0, 6.0], [10.0, 20.0, 30.0], 3, 7)], "a array<double>, b array<double>, n int, k int")
+    row = df.select(C.broadcast_rows(F.col("a"), F.col("b"), F.col("n"), "add").alias("sum"), C.itof(F.col("k")).alias("k")).first()
+    assert row["sum"] == [11.0, 22.0, 33.0, 14.0, 25.0, 36.0] and row["k"] == 7.0 and isinstance(row["k"], float)
+
+
+def test_packed_tensors_as_coordinates(spark):
+    df = spark.createDataFrame([("m", [2, 3], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), ("v", [2], [7.0, 8.0]), ("e", [0], [])], "name string, shape array<int>, data array<double>")
+    got = {(r["name"], r["i"], r["j"]): r["v"] for r in tensors.packed_to_coordinates(df).collect()}
+    assert got == {("m", i, j): 3.0 * i + j + 1 for i in range(2) for j in range(3)} | {("v", 0, j): 7.0 + j for j in range(2)}
+
+
+def test_nearest_centroid_as_expression(spark):
+    rng = np.random.default_rng(0)
+    x, c = rng.standard_normal((40, 3)), rng.standard_normal((4, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, v array<double>")
+    got = {r["id"]: r["k"] for r in df.select("id", vectors.nearest_sql(F.col("v"), c.tolist()).alias("k")).collect() if r["id"] < 99}
+    want = {r["id"]: r["cluster"] for r in vectors.nearest_centroid(df, "v", c).collect() if r["id"] < 99}
+    assert got == want == {i: int(((c - v) ** 2).sum(1).argmin()) for i, v in enumerate(x)}
+
+
+def test_models_from_tables(spark):
+    """Layers from rows in any order, a scorer from packed tensors; a missing tensor is an error."""
+    w1, b1, w2, b2 = np.arange(6.0).reshape(2, 3) / 10, np.ones(3), np.array([[1.0], [-1.0], [0.5]]), np.array([0.2])
+    rows = [{"layer": 1, "w": w2.ravel(), "b": b2, "rows": 3, "cols": 1, "act": 3}, {"layer": 0, "w": w1.ravel(), "b": b1, "rows": 2, "cols": 3, "act": 0}]
+    layers = models.layers_of(rows)
+    x = np.array([[1.0, 2.0], [-3.0, 0.5]])
+    want = models.forward(x, [(w1, b1, 0), (w2, b2, 3)])
+    assert np.allclose(models.forward(x, layers), want)
+    with pytest.raises(ValueError, match="10 layers"):
+        models.layers_of(rows * 6)
+    t = spark.createDataFrame([("w1", [2, 3], w1.ravel().tolist()), ("b1", [1, 3], b1.tolist()), ("w2", [3, 1], w2.ravel().tolist()), ("b2", [1], b2.tolist()), ("other", [1], [0.0])], "name string, shape array<int>, data array<double>")
+    scorer = models.Scorer.from_tensors(t, [("w1", "b1", 0), ("w2", "b2", 3)])
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)], "features array<double>")
+    got = [r["score"] for r in scorer.score(df).collect()]
+    assert np.allclose(got[:2], want) and got[2] is None
+    with pytest.raises(KeyError):
+        models.Scorer.from_tensors(t, [("w3", "b1", 0)])
+
+
+def test_composition(spark):
+    """Operators chain by df.transform."""
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, "b", 5.0)], "pos long, k string, value double")
+    out = df.transform(reduce.softmax_by, ["k"], "value").transform(reduce.vote, ["k"], "softmax")
+    assert {r["k"]: round(r["value"], 6) for r in out.collect()} == {"a": 0.5, "b": 1.0}
