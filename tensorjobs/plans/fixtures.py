@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import table_functions
-from ..operators import lint, lookup, models
+from ..operators import lint, lookup, models, reduce
 from ..sources import files, tensor_source
 from .queries import query, r, t
 
@@ -148,3 +148,38 @@ def missing_customers(spark, d):
     """Customers without a pending order."""
     found = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"))
     return lookup.missing_keys(t(spark, d, "customer").select(F.col("c_custkey").alias("key")), found)
+
+
+_KEY = bytes(range(7, 39))
+_INNER, _OUTER = (bytes(b ^ pad for b in _KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+
+
+@query("""SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 = 0 THEN 'no signature' WHEN o_orderkey % 5 = 0 THEN 'unknown algorithm' WHEN o_orderkey % 11 = 0 THEN 'unreadable' WHEN o_orderkey % 3 = 0 THEN 'mismatch' ELSE 'valid' END AS signature FROM orders""")
+def signatures_of_order_programs(spark, d):
+    """Programs signed by the definition of HMAC in hash functions of the engine, some changed afterwards, then verified."""
+    k = F.col("o_orderkey")
+    body = F.concat(F.lit("LD R0 @x"), k.cast("string"), F.lit("\nADD R0 R0 R1\nHALT"))
+    inner = F.sha2(F.unhex(F.concat(F.lit(_INNER), F.hex(F.sha2(body, 256)))), 256)
+    sig = F.sha2(F.unhex(F.concat(F.lit(_OUTER), inner)), 256)
+    name = F.when(k % 5 == 0, "other").otherwise("hmac-sha256")
+    line = F.concat(F.lit("✦ agent=a key="), name, F.lit(":"), F.when(k % 11 == 0, "xyz").otherwise(_KEY.hex()), F.lit(" sig="), sig)
+    text = F.concat_ws("\n", F.when(k % 7 != 0, line), F.when(k % 3 == 0, F.concat(body, F.lit(" "))).otherwise(body))
+    return lint.verify_hmac(t(spark, d, "orders").select(k.alias("key"), text.alias("text"))).select("key", "signature")
+
+
+@query("""WITH l AS (SELECT 'chat' AS source, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE text IS NOT NULL UNION ALL SELECT 'program', unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) FROM documents
+UNION ALL SELECT 'alpaca', unnest([p_name, p_type]) FROM part) SELECT source, count(*) AS n, sum(length(line))::BIGINT AS characters FROM l GROUP BY 1""")
+def corpus_lines_by_source(spark, d):
+    """Lines of conversations, of pairs of part names and types, and of documents as programs."""
+    chats = t(spark, d, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("messages"))
+    pairs = t(spark, d, "part").select(F.col("p_name").alias("output"), F.col("p_type").alias("instruction"))
+    lines = files.corpus_lines(chats.select("messages").unionByName(pairs, allowMissingColumns=True), t(spark, d, "documents").select("text"))
+    return lines.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("characters"))
+
+
+@query("SELECT o_orderpriority, round(avg(o_totalprice), 4) AS other, round(median(o_totalprice), 4) AS middle FROM orders GROUP BY 1")
+def named_votes_by_priority(spark, d):
+    """Votes by the name of their strategy; an unknown name means the mean."""
+    o = t(spark, d, "orders")
+    other, middle = (reduce.vote_named(o, ["o_orderpriority"], "o_totalprice", name).withColumn("value", r("value", 4)) for name in ("whatever", "median"))
+    return other.withColumnRenamed("value", "other").join(middle.withColumnRenamed("value", "middle"), "o_orderpriority")
