@@ -2,7 +2,7 @@
 
 Lines are '@name shape=2,3 dtype=f64 data=1,2,..', as for `files.read_named_tensors`. Files are split at SPLIT bytes; a line belongs to the split it begins
 in. Comparisons of the name with values are pushed down, so other tensors' values are never taken apart. Each task writes a file of its own
-under a hidden name; the commit gives them their names, an abort removes them.
+under a hidden name; the commit gives them their names, an abort removes them. What a task writes that outlives its job stays hidden, so readers never see it.
 
 The files are opened by path on executors, so they must lie on a file system that all machines mount; for object stores use `files`.
 """
