@@ -385,7 +385,8 @@ def _rest(joined: DataFrame, roots: DataFrame, with_text: Callable[[DataFrame],
     """Links (a, b) between components that meet in a split block, in which neither was the hub's own chunk mate.
 
     Probes are the members outside the hub's component, in cells of like distance to the hub; each cell gets the
-    members it could link with once, in a stream.
+    members it could link with once, in a stream. A task keeps which components it has linked, directly or by others, and puts out only links
+    that bring two of them together: fewer than it meets components, however many of their members are near each other.
     """
     far = F.col("common") / (F.col("n") + F.col("hub_n") - F.col("common"))
     rooted = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
@@ -409,6 +410,15 @@ def _rest(joined: DataFrame, roots: DataFrame, with_text: Callable[[DataFrame],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         now, nodes, roots_, sets, tree = None, [], [], [], None
+        above: dict[int, int] = {}  # of linked components the one they are known by
+
+        def known(root: int) -> int:
+            while root in above:
+                if above[root] in above:
+                    above[root] = above[above[root]]
+                root = above[root]
+            return root
+
         for key, parts in runs(batches, [*keys, "side"]):
             for p in parts:
                 some = zip(p.column("node").to_pylist(), p.column("node_root").to_pylist(), shingle_sets(texts_of(p)), strict=True)
@@ -423,7 +433,11 @@ def _rest(joined: DataFrame, roots: DataFrame, with_text: Callable[[DataFrame],
                 if tree is None:
                     tree = PrefixTree(sets, ranks.value)
                 for node, root, s in some:
-                    out += [(node, nodes[j]) for j in tree.overlaps(s, percent)[0].tolist() if roots_[j] != root]
+                    for j in tree.overlaps(s, percent)[0].tolist():
+                        a, b = known(root), known(roots_[j])
+                        if a != b:
+                            above[max(a, b)] = min(a, b)
+                            out.append((node, nodes[j]))
             if len(out) > 5000:
                 yield _batch(out, ["a", "b"])
                 out = []
