@@ -80,7 +80,7 @@ def test_parse_is_a_dictionary(spark):
     rows = [(i, f"{'start ' * i} {passage} end{i}", "en") for i in range(8)]
     chunks = collocations.parse(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert sum(c["own"] * c["weight"] for c in chunks) == sum(len(r[1].split()) for r in rows)
-    assert sum(c["own"] for c in chunks) < 2500
+    assert sum(c["own"] for c in chunks) < 3000  # of 16,000 words and more: only first and last chunks differ
 
 
 def test_huge_counts(spark):
