@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import table_functions
-from ..operators import lint, lookup, models, reduce
+from ..operators import corpus, lint, lookup, models, reduce
 from ..sources import files, tensor_source
 from .queries import query, r, t
 
@@ -183,3 +183,13 @@ def named_votes_by_priority(spark, d):
     o = t(spark, d, "orders")
     other, middle = (reduce.vote_named(o, ["o_orderpriority"], "o_totalprice", name).withColumn("value", r("value", 4)) for name in ("whatever", "median"))
     return other.withColumnRenamed("value", "other").join(middle.withColumnRenamed("value", "middle"), "o_orderpriority")
+
+
+@query("SELECT o_orderkey AS key, o_orderkey % 4 <> 1 AS alone, o_orderkey % 3 <> 2 AS is_code FROM orders")
+def self_contained_order_programs(spark, d):
+    """Programs that load from a named slot, or only mention one; texts that begin a line with a vocabulary word, or not."""
+    k = F.col("o_orderkey")
+    load = F.when(k % 4 == 0, "LD R0 #1").when(k % 4 == 1, " LOAD R0 @x").when(k % 4 == 2, "; LD R0 @x").otherwise("ST R0 @x")
+    text = F.concat_ws("\n", F.when(k % 3 == 2, "the HALT of it").otherwise("HALT"), F.when(k % 3 == 2, F.concat(F.lit("- "), load)).otherwise(load))
+    rows = t(spark, d, "orders").select(k.alias("key"), text.alias("text"), load.alias("load"))
+    return rows.select("key", corpus.is_self_contained(F.col("load")).alias("alone"), corpus.looks_like_code(F.col("text"), ["HALT", "LD", "ST"]).alias("is_code"))
