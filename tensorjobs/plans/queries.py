@@ -34,6 +34,11 @@ def r(x, n: int = 6):
     return F.round(x, n)
 
 
+def r_each(x, n: int = 6):
+    """The numbers of an array rounded, small negative ones to -0.0: lists are compared as they are written."""
+    return F.transform(x, lambda v: F.when(F.round(v, n) == 0, v * 0.0).otherwise(F.round(v, n)))
+
+
 BRACKETS = ", ".join(
     f"({a}, {b}, {c}, {d if d is not None else 'NULL'})"
     for a, b, c, d in zip(lookup.RATE_THRESHOLDS, lookup.RATE_RATES, lookup.RATE_BASES, [*lookup.RATE_THRESHOLDS[1:], None], strict=True)
@@ -591,8 +596,9 @@ def attention_per_label(spark, d):
     e = F.col("embedding").cast("array<double>")
     label = F.coalesce(F.col("label").cast("string"), F.lit(""))
     seq = F.concat_ws("/", F.floor(F.col("vec_id") / 100).cast("string"), label)  # a number first: no two pairs give one string
-    y = t(spark, d, "embeddings").select(seq.alias("seq"), F.col("vec_id").alias("pos"), e.alias("q"), e.alias("k"), e.alias("v"))
-    return models.attention(y, "seq", "pos", "string").select("pos", F.transform("out", lambda x: F.round(x, 6)).alias("out"))
+    y = t(spark, d, "embeddings").where("vec_id IS NOT NULL").select(seq.alias("seq"), F.col("vec_id").alias("pos"), e.alias("q"), e.alias("k"), e.alias("v"))
+    out = F.coalesce("out", F.array_repeat(F.lit(None).cast("double"), 64))  # a null vector asks for nothing
+    return models.attention(y, "seq", "pos", "string").select("pos", r_each(out).alias("out"))
 
 
 @query("SELECT c_custkey, floor(greatest(0.0, federal + least(g, 160200) * 0.062 + g * 0.0145 + greatest(0, g - 200000) * 0.009 + agi * sr) + 0.003) AS total_tax FROM (SELECT c_custkey, g, agi, sr, greatest(0, taxable - 11000) * 0.1 AS federal FROM (SELECT c_custkey, g, g * 0.9 AS agi, greatest(0, g * 0.9 - CASE WHEN c_mktsegment = 'BUILDING' THEN 20000 ELSE 14600 END) AS taxable, CASE WHEN c_nationkey < 5 THEN 0.03 ELSE 0 END AS sr FROM (SELECT *, (c_acctbal + 1000) * 20 AS g FROM customer)))")
