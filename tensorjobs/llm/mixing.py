@@ -10,8 +10,10 @@ Probabilities are min(1, c * weight) for a stated amount of tokens (KEEP of all,
 are kept whole, and raking goes on over the others: a small cell can't scale down the corpus. What a category is
 short of (its share of the amount is more than it has) the others of its dimension make up in proportion.
 
-Only cells reach the driver (one row per combination that occurs), no text is shuffled. More than MAX_CELLS cells are
-too many for it: then the rarest sources share one cell per language and topic (their target shares are summed). Defined results:
+Up to MAX_CELLS cells (one row per combination that occurs) are raked on the driver. More stay a table in blocks: each step is then one
+aggregation of sums per block and category, and the driver holds a name and a number per category. Both add the same numbers in
+the same order, so every probability is the same to the last bit, whichever way is taken. Up to MAX_CELLS cells no text is shuffled;
+a larger table of probabilities is joined as the planner decides. Defined results:
 null sources, languages, topics and texts are values of their own ('' in cells);
 categories without a target keep their present share; rows that repeat an id and text are kept or left
 together; a text without words weighs nothing in the cells, has the topic 'none' and is treated like its cell; columns of
@@ -24,13 +26,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import table, texts_of, unused, word_arrays
+from .common import cut, table, texts_of, unused, word_arrays
 
+#: Cells that the driver rakes; it changes no result.
 MAX_CELLS = 200_000
 TOPICS, BINS, SWEEPS = 12, 4096, 2
 DIMENSIONS = ("source", "lang", "topic")
@@ -147,26 +151,115 @@ def scaled(tokens: np.ndarray, value: np.ndarray, code: np.ndarray, want: np.nda
         factor = better
 
 
-def calibrate(tokens: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], amount: float, rounds: int = 200, close: float = 1e-10) -> np.ndarray:
+#: Parts of the cells that are summed each on its own; then their sums are added in the order of the parts.
+BLOCKS = 16
+MOST = 1e12
+
+
+def _values(codes: np.ndarray, factors: list[np.ndarray]) -> np.ndarray:
+    """A cell's value is the product of a factor per category, given by its logarithm: some grow and others shrink without end where targets contradict each other."""
+    out = np.zeros(codes.shape[1])
+    for code, f in zip(codes, factors, strict=True):
+        out = out + f[code]
+    return np.exp(np.minimum(out, np.log(MOST)))
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log(x, out=np.full(len(x), -np.inf), where=x > 0)
+
+
+def _sums(tokens: np.ndarray, codes: np.ndarray, factors: list[np.ndarray], dim: int, trial: np.ndarray) -> np.ndarray:
+    """Per category of dim: tokens * value, the tokens of cells that trial * value takes to 1 or more, tokens * value of the others."""
+    value, code, n = _values(codes, factors), codes[dim], len(trial)
+    free = value * trial[code] < 1
+    return np.stack([np.bincount(code, w, n) for w in (tokens * value, tokens * ~free, tokens * value * free)]).astype(float)  # of no cells: integers
+
+
+def _packed(codes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, codes and a code that all share) of the cells of a block that have tokens, in the order of their codes."""
+    order = np.lexsort(codes[::-1])
+    order = order[tokens[order] > 0]
+    return tokens[order].astype(float), np.vstack([codes[:, order], np.zeros((1, len(order)), np.int64)]).astype(np.int64)
+
+
+class Cells:
+    """Cells in blocks, as arrays of the driver or as rows of a table. Sums come out the same to the last bit: blocks are summed in order, by the same code."""
+
+    def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray]] | DataFrame, dims: int) -> None:
+        self.blocks, self.dims = blocks, dims
+
+    def sums(self, factors: list[np.ndarray], dim: int, trial: np.ndarray) -> np.ndarray:
+        total = np.zeros((3, len(trial)))
+        if isinstance(self.blocks, list):
+            for tokens, codes in self.blocks:
+                total += _sums(tokens, codes, factors, dim, trial)
+            return total
+        sent, dims = self.blocks.sparkSession.sparkContext.broadcast((factors, dim, trial)), self.dims
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    got = _sums(np.frombuffer(row["tokens"]), np.frombuffer(row["codes"], np.int64).reshape(dims + 1, -1), *sent.value)
+                    at = np.flatnonzero(got.any(axis=0))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["block"], np.int32)), pa.array(at), *map(pa.array, got[:, at])], ["block", "at", "a", "b", "c"])
+
+        each = self.blocks.mapInArrow(run, "block int, at long, a double, b double, c double").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("block", "a", "b", "c"))).alias("x"))
+        added = lambda c: F.aggregate(F.transform("x", lambda x: x[c]), F.lit(0.0), lambda s, v: s + v).alias(c)
+        got = each.select("at", *map(added, "abc")).toPandas()  # a row per category
+        sent.unpersist()
+        for i, c in enumerate("abc"):
+            total[i, got["at"].to_numpy()] = got[c].to_numpy()
+        return total
+
+    def rake(self, targets: list[np.ndarray], rounds: int = 200, close: float = 1e-10) -> list[np.ndarray]:
+        """Logarithms of factors per category so that tokens * value has the target shares, see `rake`."""
+        factors = [np.zeros(len(x)) for x in targets] + [np.zeros(1)]
+        whole = self.sums(factors, self.dims, np.ones(1))[0, 0]
+        for _ in range(rounds):
+            off = 0.0
+            for dim, target in enumerate(targets):
+                now = self.sums(factors, dim, np.ones(len(target)))[0] / whole
+                off = max(off, float(np.abs(now - target).max()))
+                factors[dim] = factors[dim] + _log(np.divide(target, now, out=np.zeros_like(now), where=now > 0))
+            if off < close:
+                break
+        return factors
+
+    def scale(self, factors: list[np.ndarray], dim: int, want: np.ndarray) -> float:
+        """Change the factors of dim as `scaled` does; gives how far its sums were off."""
+        now, held, rest = self.sums(factors, dim, np.ones(len(want)))
+        off = float(np.abs(held + rest - want).max())
+        factor = np.divide(want, now, out=np.zeros_like(now), where=now > 0)
+        while True:
+            _, held, rest = self.sums(factors, dim, factor)
+            better = np.maximum(factor, np.divide(want - held, rest, out=np.zeros_like(rest), where=rest > 0))
+            if (better <= factor * (1 + 1e-12)).all():
+                factors[dim] = factors[dim] + _log(factor)
+                return off
+            factor = better
+
+    def calibrate(self, has: list[np.ndarray], targets: list[np.ndarray], amount: float, rounds: int = 200, close: float = 1e-10) -> list[np.ndarray]:
+        """The same for `calibrate`; has: the tokens of each category."""
+        reach = []
+        for tokens, target in zip(has, targets, strict=True):
+            part = np.divide(target, tokens, out=np.zeros_like(tokens), where=tokens > 0)
+            reach.append(tokens * np.minimum(1, scaled(tokens, part, np.zeros(len(tokens), int), np.array([amount]))))
+        factors = self.rake(targets)
+        for _ in range(rounds):
+            if max([self.scale(factors, dim, want) for dim, want in enumerate(reach)]) < close * amount:
+                break
+        self.scale(factors, self.dims, np.array([amount]))
+        return factors
+
+
+def calibrate(tokens: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], amount: float) -> np.ndarray:
     """Probability per cell (all have tokens), so that tokens * probability sums to amount with the target shares as far as they can be reached.
 
     codes and targets as for rake. If targets contradict each other within the cells, the last round stands.
     """
-    reach = []
-    for code, target in zip(codes, targets, strict=True):
-        has = np.bincount(code, tokens, len(target))
-        part = np.divide(target, has, out=np.zeros_like(has), where=has > 0)
-        reach.append(has * np.minimum(1, scaled(has, part, np.zeros(len(has), int), np.array([amount]))))
-    value = rake(tokens, codes, targets)
-    for _ in range(rounds):
-        off = 0.0
-        for code, want in zip(codes, reach, strict=True):
-            now = np.bincount(code, tokens * np.minimum(1, value), len(want))
-            off = max(off, float(np.abs(now - want).max()))
-            value = np.minimum(scaled(tokens, value, code, want), 1e12)
-        if off < close * amount:
-            break
-    return np.minimum(1, scaled(tokens, value, np.zeros(len(tokens), int), np.array([amount])))
+    all_ = np.vstack([codes, np.zeros((1, len(tokens)), np.int64)])
+    has = [np.bincount(code, tokens, len(target)) for code, target in zip(codes, targets, strict=True)]
+    return np.minimum(1, _values(all_, Cells([(tokens, all_)], len(codes)).calibrate(has, targets, amount)))
 
 
 def wanted(shares: dict[str, float], given: dict[str, float] | None) -> dict[str, float]:
@@ -195,40 +288,60 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[st
     rows = rows.drop("probability", "sampled")
     keys = unused(rows, "s", "l", "t")
     rows = rows.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(keys, DIMENSIONS, strict=True)})
-    cells_of = lambda df: df.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"))
-    cells = cells_of(rows).limit(max_cells + 1).collect()
-    if len(cells) > max_cells:  # the sources with most tokens keep cells of their own
-        per = cells_of(rows).select(*keys[1:]).distinct().count()
-        large = [r[0] for r in rows.groupBy(keys[0]).agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), keys[0]).limit(max(1, max_cells // per - 1)).collect()]
-        some = docs.sparkSession.createDataFrame([(x, True) for x in large], f"{keys[0]} string, _large boolean")
-        rows = rows.join(F.broadcast(some), keys[0], "left").withColumn(keys[0], F.when(F.col("_large"), F.col(keys[0])).otherwise("\u0000rare")).drop("_large")
-        cells = cells_of(rows).collect()
-        if targets and "source" in targets:
-            given = targets["source"]
-            targets = targets | {"source": {k: v for k, v in given.items() if k in set(large)} | {"\u0000rare": sum(v for k, v in given.items() if k not in set(large))}}
-    cells.sort(key=lambda r: tuple(r[k] for k in keys))
-    tokens = np.array([r["tokens"] for r in cells], float)
-    probability = np.ones(len(cells))
-    if tokens.sum() > 0:
-        codes, shares = [], []
-        for name, key in zip(DIMENSIONS, keys, strict=True):
-            kinds, code = np.unique(np.array([r[key] for r in cells], object), return_inverse=True)
-            kinds = kinds.tolist()
-            share = dict(zip(kinds, np.bincount(code, tokens, len(kinds)) / tokens.sum(), strict=True))
+    counts = rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"))
+    cells = cut(counts.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(BLOCKS)).cast("int")), "cells")
+    held = cells.limit(max_cells + 1).toPandas()
+    local = len(held) <= max_cells
+    totals = [(held if local else cells.groupBy(k).agg(F.sum("tokens").alias("tokens")).toPandas()).groupby(k)["tokens"].sum().sort_index() for k in keys]  # a row per category
+    names = [{name: i for i, name in enumerate(x.index)} for x in totals]
+    has = [x.to_numpy(float) for x in totals]
+    factors = None
+    if has[0].sum() > 0:
+        shares = []
+        for name, number, tokens in zip(DIMENSIONS, names, has, strict=True):
+            share = dict(zip(number, (tokens / tokens.sum()).tolist(), strict=True))
             given = (targets or {}).get(name)
             if given is None:
                 powered = {k: v ** POWER[name] for k, v in share.items()} if name in POWER else LANGUAGES
                 given = {k: v / sum(powered.values()) for k, v in powered.items()}
             want = wanted(share, given)
-            codes.append(code)
-            shares.append(np.array([want[k] for k in kinds]))
-        amount = min(KEEP * tokens.sum() if budget is None else budget, tokens.sum())
-        some = tokens > 0
-        probability[some] = calibrate(tokens[some], np.array(codes)[:, some], shares, amount)
-        probability[tokens == 0] = probability[tokens > 0].min()
-    table_ = docs.sparkSession.createDataFrame([(*(r[k] for k in keys), float(p)) for r, p in zip(cells, probability, strict=True)], ", ".join(f"{k} string" for k in keys) + ", probability double")
+            shares.append(np.array([want[k] for k in number]))
+        amount = min(KEEP * has[0].sum() if budget is None else budget, has[0].sum())
+        sent = docs.sparkSession.sparkContext.broadcast(names)
+
+        def codes_of(pdf: pd.DataFrame, names: list[dict[str, int]]) -> np.ndarray:
+            return np.stack([pdf[k].map(number).to_numpy(np.int64) for k, number in zip(keys, names, strict=True)])
+
+        def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+            tokens, codes = _packed(codes_of(pdf, sent.value), pdf["tokens"].to_numpy())
+            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "tokens": [tokens.tobytes()], "codes": [codes.tobytes()]})
+
+        if local:
+            blocks = [_packed(codes_of(some, names), some["tokens"].to_numpy()) for _, some in held.groupby("block")]
+        else:
+            blocks = cut(cells.groupBy("block").applyInPandas(packed, "block int, tokens binary, codes binary"), "blocks")
+        factors = Cells(blocks, len(keys)).calibrate(has, shares, amount)
+
+    def chances(pdf: pd.DataFrame, names: list[dict[str, int]], factors: list[np.ndarray] | None) -> pd.DataFrame:
+        p = np.ones(len(pdf))
+        if factors is not None and len(pdf):
+            codes = codes_of(pdf, names)
+            p = np.where(pdf["tokens"] > 0, np.minimum(1, _values(np.vstack([codes, np.zeros((1, len(pdf)), np.int64)]), factors)), np.nan)
+        return pdf[keys].assign(probability=p)
+
+    schema = ", ".join(f"{k} string" for k in keys) + ", probability double"
+    if local:
+        found = chances(held, names, factors)
+        found["probability"] = found["probability"].fillna(found["probability"].min())  # without tokens: the least of the others
+        table_ = F.broadcast(docs.sparkSession.createDataFrame(list(found.itertuples(index=False, name=None)), schema))
+    else:
+        given_ = docs.sparkSession.sparkContext.broadcast((names, factors))
+        found = cells.mapInPandas(lambda frames: (chances(pdf, *given_.value) for pdf in frames), schema)
+        found = cut(found.withColumn("probability", F.nanvl("probability", F.lit(None).cast("double"))), "probabilities")
+        least = found.agg(F.min("probability")).first()[0]
+        table_ = found.withColumn("probability", F.coalesce("probability", F.lit(least)))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return rows.join(F.broadcast(table_), keys).drop(*keys).withColumn("sampled", draw < F.col("probability"))  # max_cells rows at most
+    return rows.join(table_, keys).drop(*keys).withColumn("sampled", draw < F.col("probability"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
