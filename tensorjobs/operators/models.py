@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -319,12 +320,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def attention(df: DataFrame, seq: str, pos: str, kind: str = "long", block: int = 1024) -> DataFrame:
+#: Scores of queries and keys that a task holds at once.
+TILE = 4_000_000
+
+
+def attention(df: DataFrame, seq: str, pos: str, kind: str = "long", block: int = 16_384) -> DataFrame:
     """(seq, pos, out): softmax(Q K^T / sqrt(d)) V of each sequence, rows (seq, pos, q, k, v), of any length.
 
     A sequence is cut into blocks of about `block` rows by hash. Each block of queries meets each block of keys in a task of its own, which keeps per query
     the largest score, the sum of weights and the weighted sum of values; these merge in any order. The work grows with the square
-    of a sequence's length, as the result needs; memory does not. Rows with null k or v are no keys; a null q, or no key at all, gives null.
+    of a sequence's length, as the result needs; memory does not. Rows are shuffled once per block of their sequence, so in proportion to the input up to `block` rows
+    a sequence; within a task scores are made TILE at a time. Rows with null k or v are no keys; a null q, or no key at all, gives null.
     """
     rows = df.select(F.col(seq).alias("_s"), F.col(pos).alias("_p"), "q", "k", "v", F.monotonically_increasing_id().alias("_id"))
     sizes = rows.groupBy("_s").agg(F.ceil(F.count("*") / block).cast("int").alias("_n")).withColumnRenamed("_s", "_t")
@@ -338,10 +344,15 @@ def attention(df: DataFrame, seq: str, pos: str, kind: str = "long", block: int
         if not len(left) or not len(right):
             return left[["_s", "_p", "_id"]].assign(m=-np.inf, w=0.0, a=None)
         q, k, v = np.array(left.q.tolist(), float), np.array(right.k.tolist(), float), np.array(right.v.tolist(), float)
-        z = q @ k.T / np.sqrt(q.shape[1])
-        m = z.max(1)
-        e = np.exp(z - m[:, None])
-        return left[["_s", "_p", "_id"]].assign(m=m, w=e.sum(1), a=list(e @ v))
+        m, w, a = np.empty(len(q)), np.empty(len(q)), []
+        step = max(1, TILE // len(k))
+        for lo in range(0, len(q), step):
+            z = q[lo : lo + step] @ k.T / np.sqrt(q.shape[1])
+            m[lo : lo + step] = z.max(1)
+            e = np.exp(z - m[lo : lo + step, None])
+            w[lo : lo + step] = e.sum(1)
+            a.extend(e @ v)
+        return left[["_s", "_p", "_id"]].assign(m=m, w=w, a=a)
 
     parts = queries.groupBy("_s", "qb", "kb").cogroup(keys.groupBy("_t", "to", "of")).applyInPandas(run, schema)
     found = parts.groupBy("_s", "_p", "_id").agg(F.max("m").alias("m"), F.filter(F.collect_list(F.struct("m", "w", "a")), lambda x: x["a"].isNotNull()).alias("x"))  # a row per block of keys

@@ -133,7 +133,7 @@ def attention_whole_labels(spark, d):
     """Self-attention among all vectors of a label, in blocks of keys: some components and the sum of each output."""
     e = F.col("embedding").cast("array<double>")
     y = t(spark, d, "embeddings").select(F.col("label").alias("seq"), F.col("vec_id").alias("pos"), e.alias("q"), e.alias("k"), e.alias("v")).where("q IS NOT NULL")
-    out = models.attention(y, "seq", "pos", dict(y.dtypes)["seq"], block=256)
+    out = models.attention(y, "seq", "pos", dict(y.dtypes)["seq"])
     return out.select("pos", r(F.get("out", F.lit(0))).alias("first"), r(F.get("out", F.lit(63))).alias("last"), r(F.aggregate("out", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
