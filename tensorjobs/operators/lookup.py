@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ def brackets(spark, thresholds=RATE_THRESHOLDS, rates=RATE_RATES, bases=RATE_BAS
 
 #: Thresholds of a key up to which they travel with the key as an array.
 FEW = 64
-#: Bins of an as-of join at most, and rows that one task fills.
-MAX_BINS, FILL = 2_048, 1_000_000
+#: Bins of an as-of join at most, rows of a bin that stay together, and rows that one task fills.
+MAX_BINS, FILL, TASK = 2_048, 250_000, 500_000
 
 
 def rate_lookup(df: DataFrame, x: str, table: DataFrame, out: str = "amount", keys: list[str] = ()) -> DataFrame:
@@ -74,10 +75,26 @@ def asof_lookup(df: DataFrame, x: str, table: DataFrame, at: str, out: str, keys
     return df.select("*", F.try_element_at(F.filter(literal, below), F.lit(-1)).alias(out))
 
 
-def _bin(x: Column, edges: list) -> Column:
-    """How many of the sorted edges are <= x, by halving."""
+def _edges(table: DataFrame, at: str, each: int, bins: int) -> list:
+    """Values of `at` between which about equally many rows lie, `each` at least."""
+    n = min(bins, max(1, table.count() // each))
+    cuts = table.agg(F.percentile_approx(at, [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
+    return sorted(set(cuts or ()))
+
+
+def _bin(x: Column, edges: list, kind: str) -> Column:
+    """How many of the sorted edges are <= x, by halving; x is of type `kind`."""
     if not edges:
         return F.when(x.isNotNull(), F.lit(0))
+    if kind in ("double", "bigint") and all(isinstance(e, float if kind == "double" else int) for e in edges):  # NaN is the largest in both
+        steps = np.array(edges)
+
+        @F.pandas_udf("int")
+        def found(v: pd.Series) -> pd.Series:
+            some = v.to_numpy(steps.dtype)
+            return pd.Series(np.searchsorted(steps, some, "right").astype(np.int32))
+
+        return F.when(x.isNotNull(), found(F.coalesce(x, F.lit(edges[0]))))
     e = F.array(*map(F.lit, edges))
     middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
     step = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(F.when(F.get(e, middle(s)) <= x, F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi"))))
@@ -85,20 +102,30 @@ def _bin(x: Column, edges: list) -> Column:
     return F.when(x.isNotNull(), F.aggregate(halves, F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi")), step, lambda s: s["lo"]))
 
 
+def following(table: DataFrame, keys: list[str], at: str, out: str, each: int = 4_096, bins: int = MAX_BINS) -> DataFrame:
+    """table with the next larger `at` of its keys (distinct and not null), null after the last: found in bins, as a key's rows may be too many for a task."""
+    rows = table.withColumn("_bin", _bin(F.col(at), _edges(table, at, each, bins), dict(table.dtypes)[at]))
+    firsts = rows.groupBy(*keys, "_bin").agg(F.min(at).alias("_first"))
+    ahead = firsts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_bin").alias("_of_bin"), F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bin")).alias("_next"))  # `bins` rows a key at most
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col("_bin") == F.col("_of_bin")]
+    found = rows.withColumn(out, F.lead(at).over(Window.partitionBy(*keys, "_bin").orderBy(at))).join(ahead, same, "left")
+    return found.select(*table.columns, F.coalesce(out, "_next").alias(out))
+
+
 def _filled(df: DataFrame, x: str, table: DataFrame, out: str, keys: list[str], fill: int, bins: int) -> DataFrame:
     """The as-of join by one sort. table: keys, _at, _r.
 
     Bins hold about equally many thresholds. A bin with more than `fill` rows is dealt out over parts, each with all of the bin's
-    thresholds; what a bin takes over from those before is found among the bins' last thresholds alone.
+    thresholds; what a bin takes over from those before is found among the bins' last thresholds alone. One pass over x and the keys counts
+    the rows of each bin, one sorts.
     """
-    n = min(bins, max(1, table.count() // 256))
-    cuts = table.agg(F.percentile_approx("_at", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    edges = sorted(set(cuts or ()))
+    edges = _edges(table, "_at", 256, bins)
     group = [*keys, "_bin"]
     known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (x, *keys)])
-    rows = df.where(known).select(F.struct("*").alias("_row"), F.col(x).alias("_x"), *keys).withColumn("_bin", _bin(F.col("_x"), edges))
-    marks = table.withColumn("_bin", _bin(F.col("_at"), edges))
-    counts = rows.groupBy(*group).agg(F.ceil(F.count("*") / fill).cast("int").alias("_parts"))
+    rows = df.where(known).select(F.struct("*").alias("_row"), F.col(x).alias("_x"), *keys).withColumn("_bin", _bin(F.col("_x"), edges, dict(df.dtypes)[x]))
+    marks = table.withColumn("_bin", _bin(F.col("_at"), edges, dict(table.dtypes)["_at"]))
+    counts = rows.groupBy(*group).agg(F.count("*").alias("_n")).select(*group, "_n", F.ceil(F.col("_n") / fill).cast("int").alias("_parts"))
+    total, many = counts.agg(F.sum("_n"), F.count_if(F.col("_parts") > 1)).first()
     lasts = marks.groupBy(*group).agg(F.max(F.struct("_at", "_r")).alias("_last"))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # `bins` rows a key at most
     spans = counts.join(lasts, group, "full_outer").withColumn("_last", F.last("_last", True).over(before)).where("_parts IS NOT NULL")
@@ -106,10 +133,14 @@ def _filled(df: DataFrame, x: str, table: DataFrame, out: str, keys: list[str],
     part = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")
     own = marks.join(spans.select(*group, "_parts"), group).select(*group, part, "_at", "_r")
     taken = spans.where("_last IS NOT NULL").select(*group, part, F.col("_last._at").alias("_at"), F.col("_last._r").alias("_r"))
-    dealt = rows.join(small(spans.where("_parts > 1").select(*group, "_parts")), group, "left")
+    large = counts.where("_parts > 1").select(*group, "_parts")
+    dealt = rows.join(F.broadcast(large) if many <= SMALL else large, group, "left") if many else rows.withColumn("_parts", F.lit(1))
     dealt = dealt.withColumn("_part", (F.monotonically_increasing_id() % F.coalesce("_parts", F.lit(1))).cast("int"))
     every = dealt.select(*group, "_part", F.col("_x").alias("_at"), F.lit(1).alias("_kind"), "_row", F.lit(None).cast(table.schema["_r"].dataType).alias("_r"))
     every = every.unionByName(own.unionByName(taken).select(*group, "_part", "_at", F.lit(0).alias("_kind"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_r"))
+    tasks = (total or 0) // TASK
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):  # what a task sorts does not grow with the input
+        every = every.repartition(tasks, *group, "_part")
     w = Window.partitionBy(*group, "_part").orderBy("_at", "_kind")
     found = every.withColumn("_r", F.last("_r", True).over(w)).where("_kind = 1").select("_row.*", F.col("_r").alias(out))
     return found.unionByName(df.where(~known).withColumn(out, F.lit(None).cast(table.schema["_r"].dataType)))

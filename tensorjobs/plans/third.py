@@ -26,7 +26,7 @@ FROM (SELECT l_orderkey, l_linenumber, l_linestatus AS status, l_extendedprice *
 def rate_lookup_many_brackets(spark, d):
     """A rate table with a bracket for each order price, by status; some brackets end before the next begins."""
     prices = t(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("threshold")).distinct()
-    follow = prices.withColumn("upper", F.expr("lead(threshold) OVER (PARTITION BY status ORDER BY threshold)"))
+    follow = lookup.following(prices, ["status"], "threshold", "upper")
     gap = F.when(F.floor("threshold") % 5 == 0, F.col("threshold") + (F.col("upper") - F.col("threshold")) / 2).otherwise(F.col("upper"))
     table = follow.select("status", "threshold", (0.05 + 0.01 * F.floor(F.col("threshold") / 100000)).alias("rate"), (F.col("threshold") / 10).alias("base"), gap.alias("upper"))
     lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linestatus").alias("status"), (F.col("l_extendedprice") * 3).alias("x"))
