@@ -219,10 +219,42 @@ def linear_fit(df: DataFrame, x: str, y: str, lr: float, steps: int, w0: float =
 MAX_LOCAL = 10_000_000
 
 
+#: Rows that a task packs at once.
+PACK = 200_000
+
+
+def _packed(features: str, labels: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(_i, n, x, y): the rows of each worker in blocks of doubles, which later passes read without going through rows."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        i = table["_i"].to_numpy()
+        order = np.argsort(i, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(i[order]) != 0))
+        ends = np.append(starts[1:], len(i))
+        x, y = (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(i), -1)[order] for c in (features, labels))
+        blocks = [[m[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for m in (x, y)]
+        return pa.RecordBatch.from_arrays([pa.array(i[order[starts]]), pa.array(ends - starts), *(pa.array(b, pa.binary()) for b in blocks)], ["_i", "n", "x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= PACK:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+
+    return run
+
+
 def local_train_then_vote(df: DataFrame, worker: str, features: str, labels: str, layers: list[Layer], epochs: int, lr: float, strategy: int = 0) -> list[Layer]:
     """Train on each worker's rows alone, then combine each parameter by median or mean.
 
-    All workers train together, one job an epoch: tasks send partial gradients per worker and parameter, and only
+    All workers train together, one job an epoch over rows packed once into blocks of doubles: tasks send partial gradients per worker and parameter, and only
     workers x parameters (MAX_LOCAL at most, or an error) reach the driver. A null worker is a worker of its own.
     """
     data = df.select(F.col(worker).alias("_w"), features, labels).where(F.col(features).isNotNull() & F.col(labels).isNotNull())
@@ -236,7 +268,9 @@ def local_train_then_vote(df: DataFrame, worker: str, features: str, labels: str
     n = np.array([r["n"] for r in rows], float)
     params = np.tile(first, (len(rows), 1))
     numbers = spark.createDataFrame([(r["_w"], i) for i, r in enumerate(rows)], StructType([StructField("_w", data.schema["_w"].dataType), StructField("_i", LongType())]))
-    data = data.join(F.broadcast(numbers), data["_w"].eqNullSafe(numbers["_w"])).select("_i", features, labels).persist()
+    lists = [F.col(c).cast("array<double>").alias(c) for c in (features, labels)]
+    data = data.join(F.broadcast(numbers), data["_w"].eqNullSafe(numbers["_w"])).select("_i", *lists)
+    data = data.mapInArrow(_packed(features, labels), "_i long, n long, x binary, y binary").persist()
 
     def shaped(flat: np.ndarray) -> list[Layer]:
         out, k = [], 0
@@ -249,17 +283,18 @@ def local_train_then_vote(df: DataFrame, worker: str, features: str, labels: str
         for _ in range(epochs if at else 0):
             sent = spark.sparkContext.broadcast(params)
 
-            def partial(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            def partial(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 total: dict[int, np.ndarray] = {}
-                for pdf in frames:
-                    for i, some in pdf.groupby("_i"):
-                        _, g = _gradients(np.array(some[features].tolist(), float), np.array(some[labels].tolist(), float), shaped(sent.value[i]))
-                        flat = np.concatenate([x.ravel() for x in g])
-                        total[i] = total[i] + flat if i in total else flat
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        x, y = (np.frombuffer(row[c]).reshape(row["n"], -1) for c in "xy")
+                        _, g = _gradients(x, y, shaped(sent.value[row["_i"]]))
+                        flat = np.concatenate([v.ravel() for v in g])
+                        total[row["_i"]] = total[row["_i"]] + flat if row["_i"] in total else flat
                 for i, g in total.items():
-                    yield pd.DataFrame({"_i": i, "i": np.arange(len(g)), "g": g})
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i)), pa.array(np.arange(len(g))), pa.array(g)], ["_i", "i", "g"])
 
-            got = data.mapInPandas(partial, "_i long, i long, g double").groupBy("_i", "i").agg(F.sum("g").alias("g")).toPandas()  # workers x parameters
+            got = data.mapInArrow(partial, "_i long, i long, g double").groupBy("_i", "i").agg(F.sum("g").alias("g")).toPandas()  # workers x parameters
             sent.unpersist()
             step = np.zeros_like(params)
             step[got["_i"].to_numpy(), got["i"].to_numpy()] = got["g"].to_numpy()
