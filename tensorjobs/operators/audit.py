@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookup import small
 from .reduce import _with_group
 
 #: Program types that must have at least MIN_LINES lines, and tolerances of comparisons.
@@ -37,7 +38,7 @@ def outliers(df: DataFrame, group: str, key: str, value: str, digits: int = 8, s
     if upper is not None:
         rows = rows.where(F.col(value) < upper)
     moments = rows.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count("*").alias("n")).where("n >= 3 AND sd >= 1e-9").drop("n")
-    hits = _with_group(rows, moments, [group]).withColumn("z", F.abs(F.col(value) - F.col("mean")) / F.col("sd")).where(F.col("z") > sigmas)
+    hits = _with_group(rows, small(moments), [group]).withColumn("z", F.abs(F.col(value) - F.col("mean")) / F.col("sd")).where(F.col("z") > sigmas)
     return hits.groupBy(group, key, F.round(value, digits).alias("value")).agg(F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.max("z").alias("z"))
 
 

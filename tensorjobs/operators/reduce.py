@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
+from .lookup import small
+
 EPS = 1e-5
 REDUCE = {0: "sum", 1: "avg", 2: "max", 3: "min"}
 VOTES = {0: "median", 1: "mean", 3: "min", 4: "max"}
@@ -150,7 +152,7 @@ def softmax(x: Column) -> Column:
 
 
 def _with_group(df: DataFrame, of: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """df with the columns of `of`, a row per group; null keys are a group too."""
+    """df with the columns of `of`, a row per group; null keys are a group too. Few groups are best sent along (`lookup.small`): else all rows of one meet in a task."""
     of = of.withColumnsRenamed({k: f"_of_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
     return df.join(of, same, how).drop(*(f"_of_{k}" for k in keys))
@@ -159,9 +161,9 @@ def _with_group(df: DataFrame, of: DataFrame, keys: list[str], how: str = "inner
 def softmax_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """df with `softmax` of a long column per group, rows with null keys being a group; the group's maximum and sum are aggregates joined back, not a window over a large group."""
     top = df.groupBy(*keys).agg(F.max(value).alias("_top"))
-    shifted = _with_group(df, top, keys).withColumn("_e", F.exp(F.col(value) - F.col("_top")))
+    shifted = _with_group(df, small(top), keys).withColumn("_e", F.exp(F.col(value) - F.col("_top")))
     total = shifted.groupBy(*keys).agg(F.sum("_e").alias("_total"))
-    return _with_group(shifted, total, keys).withColumn("softmax", F.col("_e") / F.col("_total")).drop("_top", "_e", "_total")
+    return _with_group(shifted, small(total), keys).withColumn("softmax", F.col("_e") / F.col("_total")).drop("_top", "_e", "_total")
 
 
 def layer_norm(x: Column, gamma: Column | None = None, beta: Column | None = None) -> Column:
@@ -186,7 +188,7 @@ def batch_norm(df: DataFrame, channel: str, value: str, params: DataFrame | None
     else:
         moments = moments.withColumns({"gamma": F.lit(1.0), "beta": F.lit(0.0)})
     scaled = (F.col(value) - F.col("_m")) / F.sqrt(F.col("_q") + EPS) * F.coalesce("gamma", F.lit(1.0)) + F.coalesce("beta", F.lit(0.0))
-    return _with_group(df, moments, [channel]).withColumn("normed", scaled).drop("_m", "_q", "gamma", "beta")
+    return _with_group(df, small(moments), [channel]).withColumn("normed", scaled).drop("_m", "_q", "gamma", "beta")
 
 
 def mean_std(df: DataFrame, keys: list[str], value: str) -> DataFrame:
