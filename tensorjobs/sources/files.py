@@ -9,6 +9,10 @@ CHAT = "messages array<struct<role:string,content:string>>, instruction string,
 GOLDEN = "key string, type string, test_vectors array<struct<inputs:map<string,double>,expected:map<string,double>>>, hash string, date string"
 
 
+#: Bytes of text whose tensors a task sorts by name.
+PART = 16 << 20
+
+
 def dtype_of(name: Column) -> Column:
     return F.when(name.isin("f64", "F64", "double"), "f64").when(name.isin("i32", "I32", "int"), "i32").otherwise("f32")
 
@@ -18,6 +22,7 @@ def read_named_tensors(spark: SparkSession, path: str) -> DataFrame:
 
     Blank lines and those beginning with # or ; are skipped; too few values are filled with zeros, too many dropped;
     i32 truncates, f32 rounds to single precision; of a name given twice the later line (by file, then place) holds.
+    Names are dealt over as many tasks as the size of the files asks for.
     """
     lines = spark.read.text(path).select(F.trim("value").alias("s"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
     get = lambda key: F.regexp_extract("s", rf"\b{key}=(\S*)", 1)
@@ -29,8 +34,10 @@ def read_named_tensors(spark: SparkSession, path: str) -> DataFrame:
     size = F.aggregate("shape", F.lit(1), lambda a, x: a * x)
     padded = F.slice(F.concat("values", F.array_repeat(F.lit(0.0), F.greatest(size - F.size("values"), F.lit(0)))), F.lit(1), size)
     stored = F.transform(padded, lambda x: F.when(F.col("dtype") == "i32", x.cast("int").cast("double")).when(F.col("dtype") == "f32", x.cast("float").cast("double")).otherwise(x))
+    size_ = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size_ // PART))
     last = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("file"), F.desc("line")))
-    return rows.withColumn("data", stored).withColumn("_r", last).where("_r = 1").select("name", "dtype", "shape", "data")
+    return rows.withColumn("data", stored).repartition(parts, "name").withColumn("_r", last).where("_r = 1").select("name", "dtype", "shape", "data")
 
 
 def write_named_tensors(df: DataFrame, path: str) -> None:
