@@ -89,10 +89,15 @@ def kmeans(df: DataFrame, features: str, k: int, rounds: int = 10, seed: int = 0
     return centers, nearest_centroid(df, features, centers)
 
 
+#: Distances that a task holds at once (a few arrays of this size).
+TILE = 1_000_000
+
+
 def pairwise_nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine", block: int = 4096) -> DataFrame:
     """(query_id, vec_id, distance): the k nearest points of each stated query, by exact blocked products.
 
     Both have id and v; rows with null ids or vectors take no part. A block of queries meets a block of points once; only k rows a query leave each pair of blocks.
+    A task makes TILE distances at a time.
     """
     queries, points = (df.where("id IS NOT NULL AND v IS NOT NULL") for df in (queries, points))
     blocks = lambda df: max(1, -(-df.count() // block))
@@ -100,23 +105,26 @@ def pairwise_nearest(queries: DataFrame, points: DataFrame, k: int, metric: str
     q = queries.select(F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(npts - 1))).alias("pb"), "id", "v")
     p = points.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(npts)).cast("int").alias("pb"), "id", "v")
 
+    def some(x: np.ndarray, y: np.ndarray, asked: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        if metric == "euclid":
+            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+        else:
+            d = -(x @ y.T)
+            if metric == "cosine":
+                n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
+                d = np.where(n > 1e-12, 1 + d / np.maximum(n, 1e-300), 1.0)
+        d = np.where(ids[None] == asked[:, None], np.inf, d)
+        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(d, at, 1)
+        other = ids[at] != asked[:, None]
+        return pd.DataFrame({"query_id": np.repeat(asked, at.shape[1])[other.ravel()], "vec_id": ids[at][other], "distance": found[other]})
+
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) and len(b):
             b = b.sort_values("id")
             x, y, ids = np.array(a.v.tolist(), float), np.array(b.v.tolist(), float), b.id.to_numpy()
-            if metric == "euclid":
-                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-            else:
-                d = -(x @ y.T)
-                if metric == "cosine":
-                    n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
-                    d = np.where(n > 1e-12, 1 + d / np.maximum(n, 1e-300), 1.0)
-            asked = a.id.to_numpy()
-            d = np.where(ids[None] == asked[:, None], np.inf, d)
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            found = np.take_along_axis(d, at, 1)
-            other = ids[at] != asked[:, None]
-            return pd.DataFrame({"query_id": np.repeat(asked, at.shape[1])[other.ravel()], "vec_id": ids[at][other], "distance": found[other]})
+            step = max(1, TILE // len(y))
+            return pd.concat([some(x[lo : lo + step], y, a.id.to_numpy()[lo : lo + step], ids) for lo in range(0, len(x), step)])
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
 
     found = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(run, "query_id long, vec_id long, distance double")
