@@ -40,7 +40,7 @@ def session_votes(stream: DataFrame, ts: str, key: str = "request", value: str =
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Results that are read from the state at once.
+#: Results in an element of the state's lists at most.
 STEP = 100_000
 
 
@@ -52,7 +52,7 @@ def votes_by_timer(
     All strategies: median, mean, min, max (else the mean), and quorum: the value with most results within tol (itself too), the first by
     `pos` of equals; agree says whether `k` results or more do. For the others agree is null. It equals `vote` and `vote_quorum` over the same rows.
 
-    The results of a request are a list in the state store; a timer, moved on by each result, ends the vote and clears the list, so
+    The results of a request are a list of packed pieces (one a micro-batch or STEP results) in the state store; a timer, moved on by each result, ends the vote and clears the list, so
     state holds the requests of the last gap only. Results of null value or time take no part, those that come after their vote (or later than
     `late` behind the stream) are a vote of their own or dropped with the watermark. One request's results must fit a task. The session must use the
     store ROCKSDB (spark.sql.streaming.stateStore.providerClass).
@@ -73,7 +73,7 @@ class _Vote(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.results = handle.getListState("results", "value double, pos long")
+        self.results = handle.getListState("results", "value binary, pos binary")
         self.until = handle.getValueState("until", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
@@ -81,9 +81,8 @@ class _Vote(StatefulProcessor):
         last = before
         for pdf in rows:
             if len(pdf):
-                for lo in range(0, len(pdf), STEP):
-                    some = pdf.iloc[lo : lo + STEP]
-                    self.results.appendList(list(zip(some["value"].astype(float).tolist(), some["pos"].fillna(0).astype(int).tolist(), strict=True)))
+                v, pos = pdf["value"].to_numpy(float), pdf["pos"].fillna(0).to_numpy(np.int64)
+                self.results.appendList([(v[lo : lo + STEP].tobytes(), pos[lo : lo + STEP].tobytes()) for lo in range(0, len(v), STEP)])
                 last = max(last, int(pdf["ts"].max().timestamp() * 1000) + self.wait)
         if last != before:
             if before:
@@ -94,7 +93,7 @@ class _Vote(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         rows = list(self.results.get())
-        v, pos = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], np.int64)
+        v, pos = np.frombuffer(b"".join(r[0] for r in rows)), np.frombuffer(b"".join(r[1] for r in rows), np.int64)
         agree = None
         if self.strategy == "quorum":
             value, most = quorum(v, pos, self.tol)
