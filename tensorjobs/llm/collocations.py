@@ -41,7 +41,7 @@ INSIDE, TOP = 50, 2000
 MODULUS, LIMIT = 32, 256
 LEAST_BITS, MOST_BITS = 22, 30
 #: n-grams that a task counts before it puts them out.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 #: Parts in which a language is ranked first.
 PARTS = 64
 _PLAIN = bytes(10 if c in PAUSES else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
